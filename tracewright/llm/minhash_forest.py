@@ -186,7 +186,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     pairs = rows.mapInArrow(lambda it: _neighbours(it, least), "a long, b long, agree double")
     pairs = materialize(pairs.groupBy("a", "b").agg(F.max("agree").alias("agree")), "mh-pairs")
     involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = texts.join(involved, "doc_id").mapInArrow(lambda it: _sets(it, words), "doc_id long, hashes binary")
+    # merged whatever the sizes: broadcasting the ids at small sizes would only hide that texts are shuffled once
+    sets = texts.join(involved.hint("merge"), "doc_id").mapInArrow(lambda it: _sets(it, words), "doc_id long, hashes binary")
     sets = materialize(spread(sets, "doc_id"), "mh-sets")
 
     def confirmed(some: DataFrame, name: str) -> DataFrame:

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash_forest
+from . import minhash_forest, sharding, unigram, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_unigram": unigram.op6_unigram,
     "op7_minhash_forest": minhash_forest.op7_minhash_forest,
+    "op8_virtual_slots": sharding.op8_virtual_slots,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLES: dict[str, str] = {
     "op7_minhash_forest": minhash_forest.ORACLE,
+    "op10_warc": warc.ORACLE,
 }

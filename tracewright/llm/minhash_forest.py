@@ -14,8 +14,9 @@ partitioned (a dense region spreads over tasks), each text meets at most
 group hangs together: pairs that are already connected are not compared again.
 
 Defined results: null or blank texts have an empty set and link with nothing;
-texts below five words have one shingle; repeated ids are folded to one row;
-extra columns are ignored.
+texts below five words have one shingle; rows that share an id give one row,
+which links what any of them links, with the larger set's size; rows without an
+id take no part; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -171,7 +172,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     """doc_id, n_shingles, component_id, kept for every distinct doc_id of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     per_cent = round(100 * threshold)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = texts.mapInArrow(lambda it: _sketches(it, words), "doc_id long, n_shingles long, fp_a long, fp_b long, sig binary")
     sketch = materialize(sketch, "mh-sketch")
     full = sketch.where("n_shingles > 0")
@@ -222,9 +223,9 @@ def op7_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: that of the smallest doc_id."""
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """``docs`` with one document of each near-duplicate group: that of the smallest doc_id; rows without one stay."""
+    gone = near_duplicates(docs).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""

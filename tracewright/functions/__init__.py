@@ -1 +1 @@
-
+"""Column functions: formats, names, instruction classes."""

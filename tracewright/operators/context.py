@@ -26,7 +26,8 @@ def gpu_activity(spans: DataFrame, counters: DataFrame) -> DataFrame:
 
 def _packed(df: DataFrame, name: str, order: list) -> DataFrame:
     """All rows of a small result as one array of structs, in order."""
-    rows = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o_"), F.struct(*df.columns).alias("v_"))))
+    less = lambda x, y: F.when(x["o_"] < y["o_"], -1).when(x["o_"] > y["o_"], 1).otherwise(0)
+    rows = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o_"), F.struct(*df.columns).alias("v_"))), less)
     return df.agg(F.transform(rows, lambda x: x["v_"]).alias(name))
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spans as S
 from .cct import prefixes
+from .lineage import cut
 
 
 def children_of(spans: DataFrame, n: int = 10) -> DataFrame:
@@ -34,23 +33,28 @@ def cross_thread_children(spans: DataFrame) -> DataFrame:
 
 
 def depths(spans: DataFrame, most: int = 64) -> DataFrame:
-    """Depth of each span below its root along parent links (a recursive query; ids as the last span has them)."""
+    """Depth of each span below its root along parent links, ``most`` at most.
+
+    Pointer doubling: each round joins every span to its ancestor's ancestor, so
+    the number of rounds is the logarithm of the greatest depth; lineage is cut
+    between rounds.
+    """
     last = S.ids(spans).select("span_id")
     link = spans.where("span_id is not null and span_id <> ''").groupBy("span_id").agg(F.max_by("parent_span_id", "seq").alias("parent"))
     known = last.select(F.col("span_id").alias("parent"), F.lit(True).alias("known"))
     link = link.join(known, "parent", "left").select("span_id", F.when(F.col("known"), F.col("parent")).alias("parent"))
-    # pointer doubling: each round joins every span to its ancestor's ancestor, log(depth) rounds in all
     state = link.select("span_id", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("depth"))
-    steps = 1
-    while steps < most:
+    steps, state = 1, cut(state)
+    while steps < most and state.where("up is not null").limit(1).count():
         two = state.select(F.col("span_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
-        state = state.join(two, "up", "left").select("span_id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"))
+        state = cut(state.join(two, "up", "left").select("span_id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth")))
         steps *= 2
     return state.select("span_id", "depth")
 
 
 # ------------------------------------------------------------------ containment tree
 
+PIECE = 8192
 _TREE = "pid long, tid long, seq long, name string, category string, duration_ns long, parent_seq long, path array<string>"
 
 
@@ -95,11 +99,6 @@ def _nest(rows: pd.DataFrame) -> pd.DataFrame:
     return out[["pid", "tid", "seq", "name", "category", "duration_ns", "parent_seq", "path"]]
 
 
-def _sessions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        yield _nest(rows)
-
-
 def containment(spans: DataFrame) -> DataFrame:
     """Each timed span with its parent in the thread's call tree and its path of names.
 
@@ -112,12 +111,15 @@ def containment(spans: DataFrame) -> DataFrame:
     open_until = F.max("end_ns").over(w.rowsBetween(Window.unboundedPreceding, -1))
     linked = F.max(F.when(F.coalesce("parent_span_id", F.lit("")) != "", 1).otherwise(0)).over(Window.partitionBy("pid", "tid"))
     rows = rows.withColumn("new", F.when((linked == 0) & (F.col("start_ns") >= open_until), 1).otherwise(0))
-    rows = rows.withColumn("piece", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # many short pieces go together, so that a group is worth a call
+    rows = rows.withColumn("place", F.row_number().over(w))
+    begin = F.max(F.when(F.col("new") == 1, F.col("place"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("piece", F.floor(F.coalesce(begin, F.lit(0)) / PIECE)).drop("new", "place")
 
     def nest(pdf: pd.DataFrame) -> pd.DataFrame:
         return _nest(pdf.sort_values(["start_ns", "seq"], kind="stable").reset_index(drop=True))
 
-    return rows.groupBy("pid", "tid", "piece").applyInPandas(lambda pdf: nest(pdf), _TREE)
+    return rows.groupBy("pid", "tid", "piece").applyInPandas(nest, _TREE)
 
 
 def call_tree(spans: DataFrame) -> DataFrame:

@@ -10,10 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import classify as C
-from ..functions import formats as X
-from ..functions import names as N
-from ..operators import activity, cct, context, diff, flame, hierarchy, hotspots, insns, intervals, joins, roofline
+from ..operators import activity, hotspots, intervals
 from ..operators import spans as S
 from . import views as V
 
@@ -33,14 +30,6 @@ def query(name: str, sql: str | None = None, *tables: str) -> Callable:
     return add
 
 
-def _big(c: str) -> str:
-    return f"cast({c} AS bigint)"
-
-
-def _round(df: DataFrame, *cols: str) -> DataFrame:
-    return df
-
-
 # ------------------------------------------------------------------ aggregation over spans
 
 query(
@@ -251,3 +240,6 @@ SELECT lane, cast(sum(greatest(0, end_ns - greatest(start_ns, coalesce(seen, sta
     "spans",
 )(lambda s, d: intervals.lane_utilisation(V.spans(s, d)))
 query("ruler", "SELECT cast(t AS integer) AS tick, cast(floor(t * ((max(end_ns) - min(start_ns)) / 10)) AS bigint) AS offset_ns FROM spans, generate_series(0, 10) g(t) WHERE duration_ns > 0 GROUP BY t", "spans")(lambda s, d: intervals.ruler(V.spans(s, d)))
+
+
+from . import catalog_structure  # noqa: E402, F401

@@ -68,7 +68,7 @@ def frame_with_source(frame: Column, file: Column, line: Column) -> Column:
 
 def hex_to_long(x: Column) -> Column:
     """A hexadecimal number (with or without 0x); null if it is none."""
-    digits = F.regexp_replace(F.lower(F.trim(x)), "^0x", "")
+    digits = F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), "^0x", ""), "^0+(?=.)", "")
     return F.when(digits.rlike("^[0-9a-f]{1,15}$"), F.conv(digits, 16, 10).cast("bigint"))
 
 

@@ -1 +1 @@
-
+"""Writers: trace documents, telemetry payloads, folded stacks, summaries."""

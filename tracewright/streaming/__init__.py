@@ -1 +1 @@
-
+"""Structured Streaming: ingest, attachment, pairing, balances, windows."""

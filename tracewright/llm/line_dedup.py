@@ -221,14 +221,17 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, digest: bool =
     info = stay.join(gone, "doc_id", "full")
     info = materialize(info, "line-stay")
     release(first)
-    row = F.struct("doc_id", "n_near", *([] if digest else [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]))
-    flat = has_id.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])
-    joined = (texts if digest else flat).join(info, "doc_id", "left").select(row.alias("row"), F.col("text").cast("string").alias("text"), "stay")
+    # other columns travel packed, so that their names can't clash
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    packed = F.struct(F.lit(0).alias("none"), *([] if digest else [F.col(f"`{c}`") for c in others])).alias("packed")
+    flat = has_id.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), packed)
+    joined = flat.join(info, "doc_id", "left").select(F.struct("doc_id", "n_near", "packed").alias("row"), "text", "stay")
     kind = dict(joined.dtypes)["row"]
     out = joined.mapInArrow(_rebuild, f"row {kind}, text string, n_lines long, n_kept long")
     if digest:
         return out.select("row.doc_id", "n_lines", "n_kept", F.coalesce("row.n_near", F.lit(0)).alias("n_near"), "text")
-    back = [F.col("text") if c == "text" else F.col(f"row.`{c}`").cast(t).alias(c) for c, t in docs.dtypes]
+    source = {"doc_id": F.col("row.doc_id"), "text": F.col("text")}
+    back = [source.get(c, F.col(f"row.packed.`{c}`")).cast(t).alias(c) for c, t in docs.dtypes]
     out = out.where("n_lines = 0 or n_kept > 0").select(*back)
     return out.unionByName(docs.where("doc_id is null"))
 

@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Seeds are word trigrams of the test items.  How many training documents hold
-each trigram is counted over all documents; every stretch of ``STRETCH``
-trigrams of an item keeps its rarest one, so an item's seeds are rare ones
+Seeds are word bigrams of the test items.  How many training documents hold
+each bigram is counted over all documents; every stretch of ``STRETCH``
+bigrams of an item keeps its rarest one, so an item's seeds are rare ones
 spread over its whole length, however often the item itself was copied.
 Documents are then read once more: where seeds hit, the passage around them is
 aligned with the item by Smith-Waterman over words, which scores edited and
@@ -15,7 +15,7 @@ against all documents).  An alignment is skipped only when the words that
 passage and item share cannot reach the threshold.
 
 Defined results: null and empty texts hold nothing; items without words match
-nothing, items under three words match as whole sequences; equal item texts
+nothing, items under two words match as whole sequences; equal item texts
 all count; rows that share a doc_id count as one document.
 """
 
@@ -31,14 +31,14 @@ from pyspark.sql import functions as F
 from . import textkernel as K
 from .common import slices, table, utf8
 
-GRAM, STRETCH, THRESHOLD = 3, 4, 0.5
+GRAM, STRETCH, THRESHOLD = 2, 2, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 32 << 20
 RESULT = "doc_id long, item_id long, score double, first_word int, last_word int"
 
 
 class Items:
-    """The words and trigrams of a block of test items."""
+    """The words and n-grams of a block of test items."""
 
     def __init__(self, ids: list[int], texts: list[str | None]):
         data, offs = utf8(pa.array(texts, pa.string()))
@@ -181,7 +181,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, b
         shared = spark.sparkContext.broadcast(some)
         counted = texts.mapInArrow(lambda it, s=shared: _count(it, s), "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
         df = np.zeros(len(some.grams), np.int64)
-        for r in counted.collect():  # a row for each trigram of the block
+        for r in counted.collect():  # a row for each n-gram of the block
             df[r.gram] = r.df
         both = spark.sparkContext.broadcast((some, some.seeds(df)))
         found = found.unionByName(texts.mapInArrow(lambda it, s=both: _align(it, s, threshold), RESULT))

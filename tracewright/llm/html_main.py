@@ -47,6 +47,8 @@ BAD_TOKENS = frozenset(
     "dialog disclaimer footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination popup privacy promo promoted promotion "
     "recommended related reply replies respond rss search share sharing shoutbox sidebar signup skip skyscraper social sponsor sponsored subscribe tags toolbar tracking widget".split()
 )
+# Elements that say nothing about their words, wherever they were seen.
+PLAIN_TAGS = frozenset("div span section table tbody thead tr td th ul ol li dl dd dt center font b i em strong a u small details figure".split())
 GOOD_TAGS = frozenset("p h1 h2 h3 blockquote pre".split())
 
 _TOKEN = re.compile(
@@ -63,7 +65,7 @@ _PART = re.compile(r"[a-z]+")
 
 def features(name: str, attrs: str) -> tuple[tuple[str, ...], bool]:
     """Tokens that describe an element, and whether it is hidden."""
-    out, hidden = ["<" + name], False
+    out, hidden = [] if name in PLAIN_TAGS else ["<" + name], False
     if attrs and not attrs.isspace():
         for key, a, b, c in _ATTR.findall(attrs):
             key, value = key.lower(), (a or b or c).lower()

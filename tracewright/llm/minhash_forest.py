@@ -4,8 +4,9 @@ Every text becomes the set of its distinct five-word shingles and a MinHash
 signature of ``TREES * DEPTH`` slots.  Tree t sorts all texts by its own
 ``DEPTH`` slots; neighbours in that order share the longest prefixes, and those
 whose common prefix is deep enough for their region are candidates.  The depth
-asked for adapts: where more than ``REGION`` texts share a prefix, a longer
-one is asked for.  Candidates are confirmed on full shingle sets.
+asked for adapts, from ``LEAST_DEPTH`` to ``MOST_DEPTH``: where more than
+``REGION`` texts share a prefix, a longer one is asked for.  Candidates are
+confirmed on full shingle sets.
 
 Scale: texts with equal sets are folded into one representative before any
 comparison, so a group of copies costs one row.  The sorted orders are range
@@ -32,7 +33,7 @@ from . import textkernel as K
 from .common import binary_column, components, fixed_binary, materialize, partitions, release, slices, spread, table, utf8
 
 WORDS, THRESHOLD = 5, 0.75
-TREES, DEPTH, WINDOW, REGION, LEAST_DEPTH = 16, 8, 4, 16, 2
+TREES, DEPTH, WINDOW, REGION, LEAST_DEPTH, MOST_DEPTH = 16, 8, 6, 16, 1, 3
 _A, _B = K.stream(11, TREES * DEPTH) | np.uint64(1), K.stream(12, TREES * DEPTH)
 _BITS = np.uint8([bin(i).count("1") for i in range(256)])
 
@@ -99,7 +100,7 @@ def adaptive_depth(lcp: np.ndarray) -> np.ndarray:
     """For every row of a sorted order (lcp[i]: shared slots of rows i and i+1), the prefix depth its region asks for."""
     n = len(lcp) + 1
     depth = np.full(n, LEAST_DEPTH, np.int64)
-    for d in range(LEAST_DEPTH, DEPTH):
+    for d in range(LEAST_DEPTH, MOST_DEPTH):
         edge = np.flatnonzero(lcp < d)
         start = np.concatenate([[0], edge + 1])
         size = np.diff(np.append(start, n))
@@ -180,7 +181,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     reps = full.select("doc_id", "sig").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     rows = reps.mapInArrow(_tree_rows, "tree int, key binary, doc_id long, bits binary")
     n = max(partitions(spark), 2 * TREES)
-    rows = rows.repartitionByRange(n, "tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id")
+    # equal keys in another order in each tree, so that what sorts next to them meets other ones of them each time
+    order = ("tree", "key", F.xxhash64("doc_id", "tree"))
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     # a bit of a slot agrees by chance half of the time; four standard deviations below the threshold
     share = threshold + (1 - threshold) / 2
     least = share - 4 * (share * (1 - share) / (TREES * DEPTH)) ** 0.5

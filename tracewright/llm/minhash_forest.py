@@ -6,7 +6,8 @@ signature of ``TREES * DEPTH`` slots.  Tree t sorts all texts by its own
 whose common prefix is deep enough for their region are candidates.  The depth
 asked for adapts, from ``LEAST_DEPTH`` to ``MOST_DEPTH``: where more than
 ``REGION`` texts share a prefix, a longer one is asked for.  Candidates are
-confirmed on full shingle sets.
+confirmed on full shingle sets.  Where windows left members of a group out, texts
+close to it are compared with all of them (``rescued``).
 
 Scale: texts with equal sets are folded into one representative before any
 comparison, so a group of copies costs one row.  The sorted orders are range
@@ -33,7 +34,7 @@ from . import textkernel as K
 from .common import binary_column, components, fixed_binary, materialize, partitions, release, slices, spread, table, utf8
 
 WORDS, THRESHOLD = 5, 0.75
-TREES, DEPTH, WINDOW, REGION, LEAST_DEPTH, MOST_DEPTH = 16, 8, 6, 16, 1, 3
+TREES, DEPTH, WINDOW, REGION, LEAST_DEPTH, MOST_DEPTH, BLOCK = 16, 8, 6, 16, 1, 3, 256
 _A, _B = K.stream(11, TREES * DEPTH) | np.uint64(1), K.stream(12, TREES * DEPTH)
 _BITS = np.uint8([bin(i).count("1") for i in range(256)])
 
@@ -169,6 +170,58 @@ def _confirm(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where)], ["a", "b"])
 
 
+def _cross(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.RecordBatch]:
+    """For each (block of texts, block of a group's members): the texts that link with some member."""
+    for batch in batches:
+        who, group = [], []
+        for comp, one, two in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            mine, theirs = one.values, two.values
+            other = [np.frombuffer(x.as_buffer(), np.uint64) for x in theirs.field("hashes")]
+            for doc, x in zip(mine.field("doc_id").to_pylist(), mine.field("hashes")):
+                x = np.frombuffer(x.as_buffer(), np.uint64)
+                for y in other:
+                    if 100 * min(len(x), len(y)) < per_cent * max(len(x), len(y)):
+                        continue
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= per_cent * (len(x) + len(y) - both):
+                        who.append(doc)
+                        group.append(comp)
+                        break
+        yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(group, pa.int64())], ["doc_id", "comp"])
+
+
+def rescued(label: DataFrame, pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """``label`` with the links that a window may have missed.
+
+    In a crowded region a text meets only some members of a group.  Those that
+    came close to one but link with none they met are compared with all members
+    of the group, block by block; what links joins the groups.
+    """
+    la = label.select(F.col("id").alias("a"), F.col("component_id").alias("ca"))
+    lb = label.select(F.col("id").alias("b"), F.col("component_id").alias("cb"))
+    apart = pairs.join(la, "a", "left").join(lb, "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
+    close = apart.select("a", F.col("cb").alias("comp")).union(apart.select(F.col("b").alias("a"), F.col("ca").alias("comp"))).distinct()
+    size = label.groupBy("component_id").agg(F.count("*").alias("size")).where(F.col("size") > WINDOW).withColumnRenamed("component_id", "comp")
+    close = materialize(close.join(size, "comp").select(F.col("a").alias("doc_id"), "comp", "size"), "mh-close")
+    if close.limit(1).count() == 0:
+        return label
+    cell = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.ceil(n / BLOCK).cast("long")).alias("cell")
+    row = F.collect_list(F.struct("doc_id", "hashes"))
+    many = close.groupBy("comp").agg(F.count("*").alias("n"))
+    mine = close.join(many, "comp").join(sets, "doc_id").groupBy("comp", cell(F.col("n"), 1)).agg(row.alias("f"))
+    member = label.select(F.col("id").alias("doc_id"), F.col("component_id").alias("comp")).join(size, "comp").join(many.select("comp"), "comp", "left_semi")
+    theirs = member.join(sets, "doc_id").groupBy("comp", cell(F.col("size"), 2)).agg(row.alias("g"))
+    met = mine.select("comp", "f").join(theirs.select("comp", "g"), "comp").repartition(partitions(label.sparkSession))
+    found = met.select("comp", "f", "g").mapInArrow(lambda it: _cross(it, per_cent), "doc_id long, comp long").distinct()
+    own = label.select(F.col("id").alias("doc_id"), "component_id")
+    edges = found.join(own, "doc_id", "left").select(F.coalesce("component_id", "doc_id").alias("a"), F.col("comp").alias("b"), "doc_id")
+    edges = materialize(edges, "mh-rescued")
+    joined = components(edges.select("a", "b"), "mh-cc3").select(F.col("id").alias("component_id"), F.col("component_id").alias("least"))
+    alone = edges.where("a = doc_id").select(F.col("doc_id").alias("id")).distinct().join(label.select("id"), "id", "left_anti").withColumn("component_id", F.col("id"))
+    every = label.select("id", "component_id").unionByName(alone)
+    return every.join(joined, "component_id", "left").select("id", F.coalesce("least", "component_id").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every distinct doc_id of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -212,7 +265,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     rest = rest.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("a"), F.col("cb").alias("b")), F.struct(F.col("ca").alias("a"), F.col("b")))).alias("p"))
     rest = rest.select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).distinct().join(best, ["a", "b"], "left_anti")
     more = confirmed(rest, "mh-more")
-    label = components(links.union(more), "mh-cc2").select(F.col("id").alias("rep"), F.col("component_id").alias("cid"))
+    label = materialize(components(links.union(more), "mh-cc2"), "mh-label2")
+    label = rescued(label, pairs, sets, per_cent).select(F.col("id").alias("rep"), F.col("component_id").alias("cid"))
     by_class = materialize(classes.join(label, "rep", "left").select("fp_a", "fp_b", "n_shingles", F.coalesce("cid", "rep").alias("cid")), "mh-class-label")
     out = sketch.select("doc_id", "n_shingles", "fp_a", "fp_b").join(by_class, ["fp_a", "fp_b", "n_shingles"], "left")
     release(pairs)

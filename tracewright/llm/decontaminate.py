@@ -21,6 +21,7 @@ all count; rows that share a doc_id count as one document.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,7 +123,8 @@ def _align(batches: Iterator[pa.RecordBatch], shared, threshold: float) -> Itera
     items, (grams, begin, of_item, place) = shared.value
     known = Lookup(grams)
     length = np.diff(items.at)
-    sorted_words = [np.sort(items.h[a:b]) for a, b in zip(items.at[:-1], items.at[1:])]
+    need = threshold * MATCH * length
+    counted = [Counter(items.h[a:b].tolist()) for a, b in zip(items.at[:-1], items.at[1:])]
     for batch in batches:
         ids = np.asarray(batch.column(0))
         data, offs = utf8(batch.column(1))
@@ -145,21 +147,20 @@ def _align(batches: Iterator[pa.RecordBatch], shared, threshold: float) -> Itera
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(doc)) - 1
             best: dict[tuple[int, int], tuple] = {}
-            for a, b in zip(first, last):
-                d, t = int(doc[a]), int(item[a])
-                n, m = int(length[t]), int(at[d + 1] - at[d])
-                slack = n // 2 + 2
-                lo, hi = max(0, int(origin[a]) - slack), min(m, int(origin[b]) + n + slack)
-                text = h[at[d] + lo : at[d] + hi]
-                need = threshold * MATCH * n
-                mine = sorted_words[t]
-                both = np.isin(text, mine)
-                if MATCH * min(int(both.sum()), int(np.isin(mine, text).sum())) < need:
+            d, t = doc[first], item[first]
+            slack = length[t] // 2 + 2
+            lo = at[d] + np.maximum(0, origin[first] - slack)
+            hi = np.minimum(at[d + 1], at[d] + origin[last] + length[t] + slack)
+            for d_, t_, lo_, hi_ in zip(d.tolist(), t.tolist(), lo.tolist(), hi.tolist()):
+                own = counted[t_]
+                # words in common bound the score
+                if MATCH * sum(map(own.__getitem__, own.keys() & set(h[lo_:hi_].tolist()))) < need[t_]:
                     continue
-                score, s, e = smith_waterman(text, items.h[items.at[t] : items.at[t + 1]])
-                if score >= need and score > best.get((d, t), (0,))[0]:
-                    best[d, t] = (score, lo + s, lo + e)
-            out += [(ids[i + d], items.ids[t], s / (MATCH * float(length[t])), lo, hi) for (d, t), (s, lo, hi) in best.items()]
+                score, s, e = smith_waterman(h[lo_:hi_], items.h[items.at[t_] : items.at[t_ + 1]])
+                if score >= need[t_] and score > best.get((d_, t_), (0,))[0]:
+                    base = lo_ - int(at[d_])
+                    best[d_, t_] = (score, base + s, base + e)
+            out += [(ids[i + d_], items.ids[t_], s / (MATCH * float(length[t_])), a, b) for (d_, t_), (s, a, b) in best.items()]
         if out:
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], [x.split()[0] for x in RESULT.split(", ")])

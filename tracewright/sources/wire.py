@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 from ..functions.names import hex_to_long
 from ..schema import category, empty_tags
 
-FIELDS = {"span": 7, "inst": 6, "ctr": 6, "stk": 5, "pcsa": 7}
+_INT, _REAL = r"-?\d{1,19}", r"(?:[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?|[-+]?(?:nan|inf|NaN|Infinity))"
+RECORD = (
+    rf"^(?:span:[^:]*:{_INT}:{_INT}:{_INT}:{_INT}:|inst:[^:]*:{_INT}:{_INT}:{_INT}:|ctr:[^:]*:{_INT}:{_INT}:[^:]*:{_REAL}(?::|$)"
+    rf"|stk:{_INT}:{_INT}:{_INT}:|pcsa:{_INT}:{_INT}:[^:]*:[0-9a-fA-F]{{1,15}}:\d{{1,9}}:{_INT}\s*$)"
+)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -21,28 +25,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """Lines (value, and seq where there is one) with their kind and raw fields; ``ok`` says whether the numbers are numbers."""
+    """Lines (value, and seq where there is one) with their kind and raw fields; ``ok`` says whether a reader takes them.
+
+    One regular expression decides: a plain filter that comes before any field is cut out.
+    """
     kind = F.split_part("value", F.lit(":"), F.lit(1))
-    part = F.when(kind == "stk", F.split("value", ":", 5)).otherwise(F.split("value", ":", 7))
-    rows = lines.withColumn("kind", kind).withColumn("p", part)
-    whole = lambda *k: _all([F.try_element_at("p", F.lit(i)).try_cast("bigint").isNotNull() for i in k])
-    size = F.size("p")
-    ok = (
-        F.when(kind == "span", (size >= 7) & whole(3, 4, 5, 6))
-        .when(kind == "inst", (size >= 6) & whole(3, 4, 5))
-        .when(kind == "ctr", (size >= 6) & whole(3, 4) & F.try_element_at("p", F.lit(6)).try_cast("double").isNotNull())
-        .when(kind == "stk", (size >= 5) & whole(2, 3, 4))
-        .when(kind == "pcsa", (size >= 7) & whole(2, 3, 6, 7) & hex_to_long(F.try_element_at("p", F.lit(5))).isNotNull())
-        .otherwise(F.lit(False))
-    )
-    return rows.withColumn("ok", F.coalesce(ok, F.lit(False)))
-
-
-def _all(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
+    part = F.when(F.col("value").startswith("stk:"), F.split("value", ":", 5)).otherwise(F.split("value", ":", 7))
+    ok = F.coalesce(F.col("value").rlike(RECORD), F.lit(False))
+    return lines.select(*lines.columns, kind.alias("kind"), ok.alias("ok"), part.alias("p"))
 
 
 def _of(parsed: DataFrame, kind: str) -> DataFrame:

@@ -54,21 +54,22 @@ def unit(x: np.ndarray) -> np.ndarray | None:
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out, dims = [], []
+        out, half, dims = [], [], []
         for v in batch.column(1):
             x = None
             if v.is_valid and not v.values.null_count:
                 x = unit(np.asarray(v.values, dtype=np.float64))
             out.append(None if x is None else x.tobytes())
+            half.append(None if x is None else x.astype(np.float32).tobytes())
             dims.append(0 if x is None else len(x))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(dims, pa.int32())], ["vec_id", "x", "dim"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(half, pa.binary()), pa.array(dims, pa.int32())], ["vec_id", "x", "x32", "dim"])
 
 
 def matrix(col: pa.Array, kind=np.float64) -> np.ndarray:
-    """Rows of binary vectors of one length."""
+    """Rows of binary vectors of one length and kind."""
     raw, offs = utf8(col)
     n = len(offs) - 1
-    return np.frombuffer(raw.tobytes(), np.float64).reshape(n, -1).astype(kind) if n else np.zeros((0, 1), kind)
+    return np.frombuffer(raw.tobytes(), kind).reshape(n, -1) if n else np.zeros((0, 1), kind)
 
 
 def _projected(batches: Iterator[pa.RecordBatch], bits: int, seed: int) -> Iterator[pa.RecordBatch]:
@@ -77,14 +78,14 @@ def _projected(batches: Iterator[pa.RecordBatch], bits: int, seed: int) -> Itera
         dims = np.asarray(batch.column(2))
         for dim in np.unique(dims):
             some = batch.take(pa.array(np.flatnonzero(dims == dim)))
-            x = matrix(some.column(1))
-            planes = np.random.default_rng([seed, int(dim)]).standard_normal((TREES, bits + 1, int(dim)))
+            x = matrix(some.column(1), np.float32)
+            planes = np.random.default_rng([seed, int(dim)]).standard_normal((TREES, bits + 1, int(dim))).astype(np.float32)
             for t in range(TREES):
                 y = x @ planes[t].T
                 code = (y[:, :bits] > 0) @ (1 << np.arange(bits)[::-1])
                 code = code ^ (code >> 1) if bits > 1 else code
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(x), t, np.int32)), pa.array(code.astype(np.int64)), pa.array(y[:, bits]), some.column(0), some.column(1), some.column(2)],
+                    [pa.array(np.full(len(x), t, np.int32)), pa.array(code.astype(np.int64)), pa.array(y[:, bits].astype(np.float64)), some.column(0), some.column(1), some.column(2)],
                     ["tree", "code", "place", "vec_id", "x", "dim"],
                 )
 
@@ -153,7 +154,7 @@ def descend(graph: DataFrame, vectors: DataFrame, k: int, round_: int) -> DataFr
     back = _sampled(back, k)
     own = graph.select(F.col("u").alias("c"), F.col("u").alias("m"))
     member = forward.union(back).union(own).distinct()
-    member = member.join(vectors.select(F.col("vec_id").alias("m"), "x", "dim"), "m")
+    member = member.join(vectors.select(F.col("vec_id").alias("m"), F.col("x32").alias("x"), "dim"), "m")
     groups = member.groupBy("c", "dim").agg(F.collect_list(F.struct("m", "x")).alias("g")).where(F.size("g") > 1).select("g")
     found = groups.mapInArrow(lambda it: _local_join(it, k), EDGES)
     return top_lists(graph.union(found), k)
@@ -289,17 +290,17 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = vectors.sparkSession
     n = partitions(spark)
     raw = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
-    units = raw.mapInArrow(_units, "vec_id long, x binary, dim int").groupBy("vec_id").agg(F.min(F.struct("dim", "x")).alias("v"))
-    units = materialize(units.select("vec_id", "v.x", "v.dim"), "nn-units")
+    units = raw.mapInArrow(_units, "vec_id long, x binary, x32 binary, dim int").groupBy("vec_id").agg(F.min(F.struct("dim", "x", "x32")).alias("v"))
+    units = materialize(units.select("vec_id", "v.x", "v.x32", "v.dim"), "nn-units")
     valid = units.where("dim > 0")
     # equal directions: one representative, that of the smallest id
     fold = valid.groupBy("dim", F.sha2("x", 256).alias("digest")).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     fold = materialize(fold, "nn-fold")
     reps = valid.join(fold.select(F.col("rep").alias("vec_id"), "copies"), "vec_id")
-    reps = materialize(reps.select("vec_id", "x", "dim", "copies"), "nn-reps")
+    reps = materialize(reps.select("vec_id", "x", "x32", "dim", "copies"), "nn-reps")
     count = reps.count()
     bits = max(0, int(np.ceil(np.log2(max(1, count / BLOCK)))))
-    started = reps.select("vec_id", "x", "dim").mapInArrow(lambda it: _projected(it, bits, 1), "tree int, code long, place double, vec_id long, x binary, dim int")
+    started = reps.select("vec_id", F.col("x32").alias("x"), "dim").mapInArrow(lambda it: _projected(it, bits, 1), "tree int, code long, place double, vec_id long, x binary, dim int")
     started = started.repartitionByRange(max(n, TREES), "tree", "dim", "code", "place").sortWithinPartitions("tree", "dim", "code", "place")
     graph = materialize(top_lists(started.mapInArrow(lambda it: _block_edges(it, K), EDGES), K), "nn-graph")
     audited = reps.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, count // AUDIT))) == 0).limit(4 * AUDIT).collect()

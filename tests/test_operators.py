@@ -145,3 +145,16 @@ def test_tools(spark, sf):
     assert len(json.loads(tools.execute(spans, "query_spans", {"limit": 3}))) == 3
     assert "error" in json.loads(tools.execute(spans, "nope")) and "error" in json.loads(tools.execute(spans, "get_hotspots", {"x": 1}))
     assert len(tools.schema()) == 7
+
+
+def test_positions(spark):
+    """Both ways to pick values by position agree with sorting."""
+    from tracewright.operators.ranks import pick
+
+    rng = random.Random(2)
+    rows = [(g, rng.randrange(10**12) if g == "a" else rng.randrange(5)) for g in "ab" for _ in range(1001)] + [("c", 7)]
+    places = {"p50": lambda n: F.floor(n / 2), "p99": lambda n: F.least(F.floor(n * 0.99), n - 1)}
+    want = {g: (v[len(v) // 2], v[min(int(len(v) * 0.99), len(v) - 1)]) for g in "abc" for v in [sorted(x for k, x in rows if k == g)]}
+    df = spark.createDataFrame(rows, "g string, v long")
+    for most in (1_000_000, 0):
+        assert {r.g: (r.p50, r.p99) for r in pick(df, "g", "v", places, most).collect()} == want

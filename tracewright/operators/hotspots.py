@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import GPU_TIMELINE
 from . import spans as S
+from .ranks import pick
 
 
 def hotspots(spans: DataFrame) -> DataFrame:
@@ -36,34 +37,16 @@ def top_hotspots(spans: DataFrame, n: int = 10, category: str | None = None, min
     return S.with_wall(top, spans).withColumns({"avg_ns": F.col("total_ns") / F.col("count"), "pct_wall": F.lit(100.0) * F.col("total_ns") / F.col("wall_ns")}).drop("wall_ns")
 
 
-def picked(order: str, where: Column | None = None) -> Column:
-    """Sorted durations, to pick percentiles from by position."""
-    return F.sort_array(F.collect_list(order if where is None else F.when(where, F.col(order))))
-
-
 def kernel_details(spans: DataFrame, name: str) -> DataFrame:
-    """Statistics of all spans whose name holds ``name``.
-
-    Percentiles are picked by position (n // 2 and n * 9 // 10 from 0) with a
-    ranking window after a shuffle-free filter; the ranks are counted in place of
-    gathering durations, so no group is collected.
-    """
-    found = S.select(spans, name_contains=name)
-    n = found.count()
-    if not n:
-        return found.limit(0).select(F.lit(0).cast("bigint").alias("match_count"))
-    by_value = found.groupBy("duration_ns").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.orderBy("duration_ns"))  # over distinct durations
-
-    def at(k: int) -> Column:
-        return F.min(F.when(F.col("upto") > k, F.col("duration_ns")))
-
-    ranks = by_value.withColumn("upto", upto).agg(at(n // 2).alias("p50_ns"), at(min(n - 1, int(n * 0.9))).alias("p90_ns"))
-    stats = found.agg(
+    """Statistics of all spans whose name holds ``name``; percentiles are picked by position (n // 2 and n * 9 // 10 from 0)."""
+    found = S.select(spans, name_contains=name).withColumn("all_", F.lit(""))
+    stats = found.groupBy("all_").agg(
         F.count("*").alias("match_count"), F.sum("duration_ns").alias("total_ns"), F.min("duration_ns").alias("min_ns"), F.max("duration_ns").alias("max_ns"),
         F.count_distinct("category").alias("n_categories"),
     )
-    out = S.with_wall(stats.crossJoin(ranks), spans)
+    ninety = lambda n: F.least(n - 1, F.floor(n * 0.9))
+    ranks = pick(found, "all_", "duration_ns", {"p50_ns": lambda n: F.floor(n / 2), "p90_ns": ninety})
+    out = S.with_wall(stats.join(ranks, "all_"), spans)
     return out.select("match_count", "total_ns", "min_ns", "max_ns", "p50_ns", "p90_ns", "n_categories", (F.col("total_ns") / F.col("match_count")).alias("avg_ns"), (F.lit(100.0) * F.col("total_ns") / F.col("wall_ns")).alias("pct_wall"))
 
 
@@ -83,11 +66,9 @@ def launched_from(spans: DataFrame, name: str, n: int = 3) -> DataFrame:
 def category_overview(spans: DataFrame, last: int = 14) -> DataFrame:
     """Share, mean, p99 (picked by position) and the latest durations of each category."""
     w = Window.partitionBy("category")
-    counted = spans.groupBy("category", "duration_ns").agg(F.count("*").alias("c"))
-    counted = counted.withColumns({"upto": F.sum("c").over(w.orderBy("duration_ns")), "n": F.sum("c").over(w)})
-    place = F.least(F.floor(F.col("n") * 0.99), F.col("n") - 1)
-    p99 = counted.groupBy("category").agg(F.min(F.when(F.col("upto") > place, F.col("duration_ns"))).alias("p99_ns"))
-    recent = spans.withColumn("k", F.row_number().over(w.orderBy(F.desc("seq")))).where(F.col("k") <= last)
+    p99 = pick(spans, "category", "duration_ns", {"p99_ns": lambda n: F.least(F.floor(n * 0.99), n - 1)})
+    # Spark keeps the first ranks of each partition before it shuffles
+    recent = spans.select("category", "seq", "duration_ns").withColumn("k", F.row_number().over(w.orderBy(F.desc("seq")))).where(F.col("k") <= last)
     recent = recent.groupBy("category").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "duration_ns"))), lambda x: x["duration_ns"]).alias("recent"))
     every = F.sum("total_ns").over(Window.partitionBy())
     out = by_category(spans).withColumns({"pct": F.lit(100.0) * F.col("total_ns") / every, "avg_ns": F.col("total_ns") / F.col("count")})

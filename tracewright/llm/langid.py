@@ -13,7 +13,7 @@ Four sources of evidence are added up as log probabilities:
 
 Trigrams overlap and repeat, so the text's mean log likelihood counts as if it
 had ``TEXT_GRAMS`` independent ones at most.  A document is kept if the text
-is more like a language than like noise and the posterior reaches
+is no less likely in its language than even noise would be and the posterior reaches
 ``LEAST_POSTERIOR``.
 
 Scale: texts are read twice and never shuffled while hosts fit a broadcast
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import textkernel as K
 from .common import materialize, slices, table, utf8
 
-SAMPLE, BUCKETS, SMOOTH = 400, 1 << 15, 0.05
+SAMPLE, BUCKETS, SMOOTH, NOISE = 400, 1 << 15, 0.05, 0.05
 TEXT_GRAMS, LEAST_POSTERIOR, KAPPA, MOST_LANGUAGES, BROADCAST_HOSTS = 200, 0.5, 20.0, 64, 50_000
 # Country suffixes with one main language.
 SUFFIX = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "jp": "ja", "cn": "zh", "ru": "ru"}
@@ -73,7 +73,8 @@ class Model:
     def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages = languages
         p = (counts + SMOOTH) / (counts.sum(axis=0, keepdims=True) + SMOOTH * BUCKETS)
-        self.log = np.log(p).astype(np.float32)
+        # a share of any text is none of its language: numbers, codes, names
+        self.log = np.log((1 - NOISE) * p + NOISE / BUCKETS).astype(np.float32)
 
     def mean(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Mean log likelihood of each text in each language, and its number of trigrams."""
@@ -150,7 +151,7 @@ def _fused(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
     names = model.languages
     index = {k: i for i, k in enumerate(names)}
     n = len(names)
-    noise = -np.log(BUCKETS)
+    noise = -np.log(BUCKETS) - 1
     for batch in batches:
         row, text, declared, suffix, own = batch.columns
         data, offs = utf8(text)

@@ -34,7 +34,7 @@ from . import textkernel as K
 from .common import binary_column, components, fixed_binary, materialize, partitions, release, slices, spread, table, utf8
 
 WORDS, THRESHOLD = 5, 0.75
-TREES, DEPTH, WINDOW, REGION, LEAST_DEPTH, MOST_DEPTH, BLOCK = 16, 8, 6, 16, 1, 3, 256
+TREES, DEPTH, WINDOW, REGION, LEAST_DEPTH, MOST_DEPTH, BLOCK = 16, 8, 2, 16, 1, 3, 256
 _A, _B = K.stream(11, TREES * DEPTH) | np.uint64(1), K.stream(12, TREES * DEPTH)
 _BITS = np.uint8([bin(i).count("1") for i in range(256)])
 

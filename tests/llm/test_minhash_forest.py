@@ -101,4 +101,4 @@ def test_kernel_words():
 def test_adaptive_depth():
     lcp = np.array([1, 1] + [3] * 40 + [0, 5])
     d = M.adaptive_depth(lcp)
-    assert d[0] == M.LEAST_DEPTH and (d[3:40] == 4).all() and d[-1] == M.LEAST_DEPTH
+    assert d[:2].tolist() == [2, 2] and (d[2:43] == M.MOST_DEPTH).all() and d[43:].tolist() == [M.LEAST_DEPTH] * 2

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import names as N
-from ..operators import cct, context, diff, flame, hierarchy, hotspots, joins
+from ..operators import cct, context, diff, flame, hierarchy, joins
 from ..operators import spans as S
 from . import views as V
 from .catalog import _PARENT, query

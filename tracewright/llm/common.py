@@ -170,7 +170,6 @@ def components(edges: DataFrame, name: str = "cc", most_rounds: int = 60) -> Dat
     live = materialize(live.mapInArrow(_local_forest, "a long, b long").distinct(), f"{name}-edges")
     vertices = live.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     label = materialize(vertices.select("id", F.col("id").alias("root")), f"{name}-label")
-    first = True
     for k in range(most_rounds):
         if live.limit(1).count() == 0:
             break
@@ -188,7 +187,7 @@ def components(edges: DataFrame, name: str = "cc", most_rounds: int = 60) -> Dat
         new = materialize(new, f"{name}-label")
         for old in (live, label, move):
             release(old)
-        live, label, first = nxt, new, False
+        live, label = nxt, new
     else:
         raise RuntimeError("components did not settle")
     release(live)

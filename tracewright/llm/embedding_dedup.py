@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, fixed_binary, materialize, partitions, release, table, utf8
+from .common import components, materialize, partitions, release, table, utf8
 
 THRESHOLD, K, TREES, BLOCK, ROUNDS, AUDIT, GROUP = 0.95, 12, 6, 256, 2, 256, 512
 MORE_ROUNDS = 3

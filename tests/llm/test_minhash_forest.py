@@ -102,3 +102,27 @@ def test_adaptive_depth():
     lcp = np.array([1, 1] + [3] * 40 + [0, 5])
     d = M.adaptive_depth(lcp)
     assert d[:2].tolist() == [2, 2] and (d[2:43] == M.MOST_DEPTH).all() and d[43:].tolist() == [M.LEAST_DEPTH] * 2
+
+
+def test_pairs_in_crowded_regions(spark):
+    """A pair is found among many texts that share a long passage with it, but not enough to link."""
+    rng = random.Random(3)
+    word = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], {}
+    for k in range(6):
+        passage = word(140)
+        rows += [(1000 * k + i, " ".join(passage + word(70))) for i in range(200)]
+        rows += [(1000 * k + i, " ".join(passage + word(20))) for i in (500, 501)]
+        want[1000 * k + 501] = 1000 * k + 500
+    got = {r.doc_id: r.component_id for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: want.get(i, i) for i, _ in rows}
+
+
+def test_prefix_lengths():
+    """Two sets that reach the threshold share one of their first shingles in any order."""
+    rng = random.Random(4)
+    for _ in range(2000):
+        x, y = ({rng.randrange(24) for _ in range(rng.randrange(1, 40))} for _ in range(2))
+        x, y = sorted((x, y), key=len)
+        if 100 * len(x & y) >= 75 * len(x | y):
+            assert set(sorted(y)[: M.prefix_lengths(len(y), 75)[0]]) & set(sorted(x)[: M.prefix_lengths(len(x), 75)[1]])

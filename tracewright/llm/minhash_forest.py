@@ -6,8 +6,8 @@ signature of ``TREES * DEPTH`` slots.  Tree t sorts all texts by its own
 whose common prefix is deep enough for their region are candidates.  The depth
 asked for adapts, from ``LEAST_DEPTH`` to ``MOST_DEPTH``: where more than
 ``REGION`` texts share a prefix, a longer one is asked for.  Candidates are
-confirmed on full shingle sets.  Where windows left members of a group out, texts
-close to it are compared with all of them (``rescued``).
+confirmed on full shingle sets.  Texts that share ``MOST_DEPTH`` slots with more
+others than the window holds are joined exactly, by a prefix filter (``crossing``).
 
 Scale: texts with equal sets are folded into one representative before any
 comparison, so a group of copies costs one row.  The sorted orders are range
@@ -34,7 +34,7 @@ from . import textkernel as K
 from .common import binary_column, components, fixed_binary, materialize, partitions, release, slices, spread, table, utf8
 
 WORDS, THRESHOLD = 5, 0.75
-TREES, DEPTH, WINDOW, REGION, LEAST_DEPTH, MOST_DEPTH, BLOCK = 16, 8, 2, 16, 1, 3, 256
+TREES, DEPTH, WINDOW, REGION, LEAST_DEPTH, MOST_DEPTH, BLOCK, LOADS = 16, 8, 2, 16, 1, 3, 256, 17
 _A, _B = K.stream(11, TREES * DEPTH) | np.uint64(1), K.stream(12, TREES * DEPTH)
 _BITS = np.uint8([bin(i).count("1") for i in range(256)])
 
@@ -117,8 +117,16 @@ def _neighbours(batches: Iterator[pa.RecordBatch], least_bits: float) -> Iterato
 
     Regions are judged within a batch; the rows around a partition's edge still
     meet in the other trees, whose partitions end elsewhere.
+
+    A text that shares ``MOST_DEPTH`` slots with more texts than it can meet here,
+    or that lies at a partition's edge, is given as a pair with itself: it is crowded.
     """
     tail = None
+
+    def crowded(ids: np.ndarray) -> pa.RecordBatch:
+        ids = np.unique(ids)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids), pa.array(np.zeros(len(ids)))], ["a", "b", "agree"])
+
     width = TREES * DEPTH
     for batch in batches:
         n = batch.num_rows
@@ -138,6 +146,12 @@ def _neighbours(batches: Iterator[pa.RecordBatch], least_bits: float) -> Iterato
         same = (key[:-1] == key[1:]) & (tree[:-1] == tree[1:])[:, None]
         lcp = np.where(same.all(axis=1), DEPTH, same.argmin(axis=1))
         depth = adaptive_depth(lcp)
+        start = np.concatenate([[0], np.flatnonzero(lcp < MOST_DEPTH) + 1])
+        size = np.diff(np.append(start, len(ids)))
+        many = size > WINDOW + 1
+        many[0] |= not old
+        yield crowded(ids[np.repeat(many, size)])
+        last = ids[start[-1] :]
         pa_, pb_, pe_ = [], [], []
         shared = lcp.copy()
         for step in range(1, WINDOW + 1):
@@ -152,9 +166,11 @@ def _neighbours(batches: Iterator[pa.RecordBatch], least_bits: float) -> Iterato
             pa_.append(np.minimum(ids[a], ids[a + step]))
             pb_.append(np.maximum(ids[a], ids[a + step]))
             pe_.append(agree)
-        tail = tuple(x[-WINDOW:] for x in now)
+        tail = tuple(x[-WINDOW - 1 :] for x in now)
         if pa_:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (pa_, pb_, pe_)], ["a", "b", "agree"])
+    if tail is not None:
+        yield crowded(last)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.RecordBatch]:
@@ -170,56 +186,69 @@ def _confirm(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where)], ["a", "b"])
 
 
-def _cross(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.RecordBatch]:
-    """For each (block of texts, block of a group's members): the texts that link with some member."""
+def _loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles fall into each of ``2 ** LOADS`` cells of hashes."""
+    total = np.zeros(1 << LOADS, np.int64)
+    for batch in batches:
+        raw, _ = utf8(batch.column(0))
+        h = np.frombuffer(raw.tobytes(), np.uint64)
+        total += np.bincount((h >> np.uint64(64 - LOADS)).astype(np.int64), minlength=1 << LOADS)
+    cell = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[cell])], ["load", "n"])
+
+
+def prefix_lengths(n: int, per_cent: int) -> tuple[int, int]:
+    """How many of its first shingles, in one order for all texts, a text of ``n`` must share one of with a partner that is no larger, and with one no smaller."""
+    return n + 1 + (-per_cent * n) // 100, n + 1 + (-2 * per_cent * n) // (100 + per_cent)
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], shared, per_cent: int) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    """The first shingles of each text, those of the emptiest cells first."""
+    load = shared.value
     for batch in batches:
-        who, group = [], []
-        for comp, one, two in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-            mine, theirs = one.values, two.values
-            other = [np.frombuffer(x.as_buffer(), np.uint64) for x in theirs.field("hashes")]
-            for doc, x in zip(mine.field("doc_id").to_pylist(), mine.field("hashes")):
-                x = np.frombuffer(x.as_buffer(), np.uint64)
-                for y in other:
-                    if 100 * min(len(x), len(y)) < per_cent * max(len(x), len(y)):
-                        continue
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * both >= per_cent * (len(x) + len(y) - both):
-                        who.append(doc)
-                        group.append(comp)
-                        break
-        yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(group, pa.int64())], ["doc_id", "comp"])
-
-
-def rescued(label: DataFrame, pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """``label`` with the links that a window may have missed.
-
-    In a crowded region a text meets only some members of a group.  Those that
-    came close to one but link with none they met are compared with all members
-    of the group, block by block; what links joins the groups.
+        token, at, size, long_ = [], [], [], []
+        for x in batch.column(2):
+            h = np.frombuffer(x.as_buffer(), np.uint64)
+            probe, _ = prefix_lengths(len(h), per_cent)
+            token.append(h[np.lexsort((h, load[h >> np.uint64(64 - LOADS)]))[:probe]].view(np.int64))
+            at.append(np.arange(probe, dtype=np.int32))
+            size.append(len(h))
+            long_.append(probe)
+        if token:
+            row = np.repeat(np.arange(batch.num_rows), long_)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(token)), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(np.repeat(np.int32(size), long_)), pa.array(np.concatenate(at))],
+                ["token", "doc_id", "comp", "n", "pos"],
+            )
+
+
+def crossing(label: DataFrame, crowded: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """All pairs (a, b) of crowded texts of different components that may link, by an exact prefix filter.
+
+    In a crowded region a text meets only some of the others, so what it missed is
+    looked for here: two texts that link share one of their rarest shingles.
+    Shingles that only one component has are left out; a shingle of many texts is
+    dealt to blocks.
     """
-    la = label.select(F.col("id").alias("a"), F.col("component_id").alias("ca"))
-    lb = label.select(F.col("id").alias("b"), F.col("component_id").alias("cb"))
-    apart = pairs.join(la, "a", "left").join(lb, "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
-    close = apart.select("a", F.col("cb").alias("comp")).union(apart.select(F.col("b").alias("a"), F.col("ca").alias("comp"))).distinct()
-    size = label.groupBy("component_id").agg(F.count("*").alias("size")).where(F.col("size") > WINDOW).withColumnRenamed("component_id", "comp")
-    close = materialize(close.join(size, "comp").select(F.col("a").alias("doc_id"), "comp", "size"), "mh-close")
-    if close.limit(1).count() == 0:
-        return label
-    cell = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.ceil(n / BLOCK).cast("long")).alias("cell")
-    row = F.collect_list(F.struct("doc_id", "hashes"))
-    many = close.groupBy("comp").agg(F.count("*").alias("n"))
-    mine = close.join(many, "comp").join(sets, "doc_id").groupBy("comp", cell(F.col("n"), 1)).agg(row.alias("f"))
-    member = label.select(F.col("id").alias("doc_id"), F.col("component_id").alias("comp")).join(size, "comp").join(many.select("comp"), "comp", "left_semi")
-    theirs = member.join(sets, "doc_id").groupBy("comp", cell(F.col("size"), 2)).agg(row.alias("g"))
-    met = mine.select("comp", "f").join(theirs.select("comp", "g"), "comp").repartition(partitions(label.sparkSession))
-    found = met.select("comp", "f", "g").mapInArrow(lambda it: _cross(it, per_cent), "doc_id long, comp long").distinct()
-    own = label.select(F.col("id").alias("doc_id"), "component_id")
-    edges = found.join(own, "doc_id", "left").select(F.coalesce("component_id", "doc_id").alias("a"), F.col("comp").alias("b"), "doc_id")
-    edges = materialize(edges, "mh-rescued")
-    joined = components(edges.select("a", "b"), "mh-cc3").select(F.col("id").alias("component_id"), F.col("component_id").alias("least"))
-    alone = edges.where("a = doc_id").select(F.col("doc_id").alias("id")).distinct().join(label.select("id"), "id", "left_anti").withColumn("component_id", F.col("id"))
-    every = label.select("id", "component_id").unionByName(alone)
-    return every.join(joined, "component_id", "left").select("id", F.coalesce("least", "component_id").alias("component_id"))
+    spark = sets.sparkSession
+    mine = crowded.join(sets, "doc_id")
+    counts = mine.select("hashes").mapInArrow(_loads, "load int, n long").groupBy("load").agg(F.sum("n").alias("n")).toPandas()
+    load = np.zeros(1 << LOADS, np.int64)
+    load[counts["load"].to_numpy(np.int64)] = counts["n"]
+    shared = spark.sparkContext.broadcast(load)
+    mine = mine.join(label.select(F.col("id").alias("doc_id"), F.col("component_id").alias("comp")), "doc_id", "left").select("doc_id", F.coalesce("comp", "doc_id").alias("comp"), "hashes")
+    rows = materialize(mine.mapInArrow(lambda it: _prefixes(it, shared, per_cent), "token long, doc_id long, comp long, n int, pos int"), "mh-prefix")
+    many = rows.groupBy("token").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("cells"))
+    rows = rows.join(many, "token").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("cells")).cast("int")).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    x = rows.select("token", F.col("mine").alias("i"), F.col("theirs").alias("j"), F.col("doc_id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("pos").alias("px"))
+    y = rows.where(f"pos <= n - ceil({2 * per_cent} * n / {100 + per_cent})")
+    y = y.select("token", F.col("theirs").alias("i"), F.col("mine").alias("j"), F.col("doc_id").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("pos").alias("py"))
+    met = x.join(y, ["token", "i", "j"]).where("cx <> cy and (ny < nx or (ny = nx and y < x))")
+    # what follows the shared shingle must suffice, in both
+    met = met.where(f"100 * ny >= {per_cent} * nx and {100 + per_cent} * least(nx - px, ny - py) >= {per_cent} * (nx + ny)")
+    pairs = materialize(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "mh-crossing")
+    release(rows)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
@@ -241,8 +270,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     share = threshold + (1 - threshold) / 2
     least = share - 4 * (share * (1 - share) / (TREES * DEPTH)) ** 0.5
     pairs = rows.mapInArrow(lambda it: _neighbours(it, least), "a long, b long, agree double")
-    pairs = materialize(pairs.groupBy("a", "b").agg(F.max("agree").alias("agree")), "mh-pairs")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    written = materialize(pairs.groupBy("a", "b").agg(F.max("agree").alias("agree")), "mh-pairs")
+    pairs, crowded = written.where("a <> b"), written.where("a = b").select(F.col("a").alias("doc_id"))
+    involved = written.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     # merged whatever the sizes: broadcasting the ids at small sizes would only hide that texts are shuffled once
     sets = texts.join(involved.hint("merge"), "doc_id").mapInArrow(lambda it: _sets(it, words), "doc_id long, hashes binary")
     sets = materialize(spread(sets, "doc_id"), "mh-sets")
@@ -266,10 +296,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     rest = rest.select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).distinct().join(best, ["a", "b"], "left_anti")
     more = confirmed(rest, "mh-more")
     label = materialize(components(links.union(more), "mh-cc2"), "mh-label2")
-    label = rescued(label, pairs, sets, per_cent).select(F.col("id").alias("rep"), F.col("component_id").alias("cid"))
+    # what the windows left out, in full
+    found = confirmed(crossing(label, crowded, sets, per_cent), "mh-found")
+    label = materialize(components(links.union(more).union(found), "mh-cc3"), "mh-label3").select(F.col("id").alias("rep"), F.col("component_id").alias("cid"))
     by_class = materialize(classes.join(label, "rep", "left").select("fp_a", "fp_b", "n_shingles", F.coalesce("cid", "rep").alias("cid")), "mh-class-label")
     out = sketch.select("doc_id", "n_shingles", "fp_a", "fp_b").join(by_class, ["fp_a", "fp_b", "n_shingles"], "left")
-    release(pairs)
+    release(written)
     release(sets)
     out = out.select("doc_id", "n_shingles", F.coalesce("cid", "doc_id").alias("component_id"))
     return out.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -126,3 +126,18 @@ def test_prefix_lengths():
         x, y = sorted((x, y), key=len)
         if 100 * len(x & y) >= 75 * len(x | y):
             assert set(sorted(y)[: M.prefix_lengths(len(y), 75)[0]]) & set(sorted(x)[: M.prefix_lengths(len(x), 75)[1]])
+
+
+def test_group_around_a_late_text(spark):
+    """Copies that link with one text, but not with one another, are one group, wherever that text's id lies."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+    rows = [(700, " ".join(base))]
+    for i in range(600):
+        v = [*base]
+        for at in rng.sample(range(0, 300, 5), 7):
+            v[at] = f"e{rng.randrange(10**9)}"
+        rows.append((i, " ".join(v)))
+    want = brute(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {c for _, c in want.values()} == {0} and got == want

@@ -251,6 +251,18 @@ def crossing(label: DataFrame, crowded: DataFrame, sets: DataFrame, per_cent: in
     return pairs
 
 
+def between(pairs: DataFrame, links: DataFrame, label: DataFrame) -> DataFrame:
+    """Candidates that cross from one component to another, also against the other one's hub: the text with the most links, from which its members were likely made."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n")).join(label, "id")
+    hub = degree.groupBy("component_id").agg(F.max(F.struct("n", (-F.col("id")).alias("id"))).alias("m")).select("component_id", (-F.col("m.id")).alias("hub"))
+    own = label.join(hub, "component_id")
+    la = own.select(F.col("id").alias("a"), F.col("component_id").alias("ca"), F.col("hub").alias("ha"))
+    lb = own.select(F.col("id").alias("b"), F.col("component_id").alias("cb"), F.col("hub").alias("hb"))
+    rest = pairs.join(la, "a", "left").join(lb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", F.coalesce("ha", "a").alias("ha"), F.coalesce("hb", "b").alias("hb"))
+    rest = rest.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("a"), F.col("hb").alias("b")), F.struct(F.col("ha").alias("a"), F.col("b")))).alias("p"))
+    return rest.select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every distinct doc_id of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -286,19 +298,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     # First every text's likeliest partner, then whatever still crosses from one group to another.
     either = pairs.select("a", "b", "agree", F.col("a").alias("me")).union(pairs.select("a", "b", "agree", F.col("b").alias("me")))
     best = either.groupBy("me").agg(F.max(F.struct("agree", F.xxhash64("a", "b").alias("h"), "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    links = confirmed(best, "mh-links")
-    label = materialize(components(links, "mh-cc"), "mh-label")
-    la = label.select(F.col("id").alias("a"), F.col("component_id").alias("ca"))
-    lb = label.select(F.col("id").alias("b"), F.col("component_id").alias("cb"))
-    rest = pairs.join(la, "a", "left").join(lb, "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
-    # also against the first text of the other group, from which its copies were likely made
-    rest = rest.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("a"), F.col("cb").alias("b")), F.struct(F.col("ca").alias("a"), F.col("b")))).alias("p"))
-    rest = rest.select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).distinct().join(best, ["a", "b"], "left_anti")
-    more = confirmed(rest, "mh-more")
-    label = materialize(components(links.union(more), "mh-cc2"), "mh-label2")
+    tried = materialize(best, "mh-tried")
+    links = confirmed(tried, "mh-links")
+    while True:
+        label = materialize(components(links, "mh-cc"), "mh-label")
+        rest = materialize(between(pairs, links, label).join(tried, ["a", "b"], "left_anti"), "mh-rest")
+        more = confirmed(rest, "mh-more")
+        if more.limit(1).count() == 0:
+            break
+        links, tried = links.union(more), tried.union(rest)
     # what the windows left out, in full
     found = confirmed(crossing(label, crowded, sets, per_cent), "mh-found")
-    label = materialize(components(links.union(more).union(found), "mh-cc3"), "mh-label3").select(F.col("id").alias("rep"), F.col("component_id").alias("cid"))
+    label = materialize(components(links.union(found), "mh-cc2"), "mh-label2").select(F.col("id").alias("rep"), F.col("component_id").alias("cid"))
     by_class = materialize(classes.join(label, "rep", "left").select("fp_a", "fp_b", "n_shingles", F.coalesce("cid", "rep").alias("cid")), "mh-class-label")
     out = sketch.select("doc_id", "n_shingles", "fp_a", "fp_b").join(by_class, ["fp_a", "fp_b", "n_shingles"], "left")
     release(written)

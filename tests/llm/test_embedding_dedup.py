@@ -51,3 +51,19 @@ def test_empty(spark):
     assert E.near_vectors(spark.createDataFrame([], VEC)).count() == 0
     rows = spark.createDataFrame([(1, [1.0, 0.0], None, None), (1, [1.0, 0.0], None, None), (2, [1.0, 0.0], 3, "a")], VEC)
     assert sorted(tuple(r)[:3] for r in E.near_vectors(rows).collect()) == [(1, 1, 1), (2, 1, 1)]
+
+
+def test_full_lists_hide_no_links(spark, monkeypatch):
+    """Two tight bunches whose lists are full of own members are one component if they link."""
+    rng = np.random.default_rng(12)
+    one = E.unit(rng.standard_normal(32))
+    side = rng.standard_normal(32)
+    side = E.unit(side - (side @ one) * one)
+    two = 0.96 * one + np.sqrt(1 - 0.96**2) * side
+    rows = [(i, (c + 0.004 * rng.standard_normal(32)).tolist()) for i, c in enumerate([one] * 30 + [two] * 30)]
+    rows += [(100 + i, rng.standard_normal(32).tolist()) for i in range(100)]
+    want = brute(rows)
+    assert {want[i][1] for i in range(60)} == {0} and min(want[i][0] for i in range(60)) > 29
+    # with an audit of about one vector, so that it doesn't find the links itself
+    monkeypatch.setattr(E, "AUDIT", 1)
+    assert run(spark, rows) == want

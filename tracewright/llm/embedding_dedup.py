@@ -5,8 +5,10 @@ orders sorted by random projections, then refined: each round, every vector
 looks among the neighbours (and those that name it) of its neighbours, and
 keeps its ``K`` most similar.  Threshold edges join vectors into components.
 
-A vector whose whole list reaches the threshold is saturated: its list is
-enlarged to its whole component, whose members are counted rather than listed.
+A vector whose whole list reaches the threshold is saturated: its list may hide
+links, so saturated vectors of different components are compared in full where
+their cells are near enough (``hidden_links``), and the members of the component
+are counted rather than listed.
 Around a component's mean direction, members within half the threshold angle
 of it are linked with one another by the triangle inequality, so they need no
 comparison; the others are compared in blocks.  No pair of a group is ever
@@ -196,6 +198,76 @@ def _audit(batches: Iterator[pa.RecordBatch], shared, threshold: float) -> Itera
                 yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
 
+# ------------------------------------------------------------------ links that full lists hide
+
+
+def _balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Mean direction of each cell and the largest angle of a member to it."""
+    for batch in batches:
+        mean, radius = [], []
+        for group in batch.column(3):
+            x = matrix(group.values.field("x"))
+            m = unit(x.sum(axis=0))
+            mean.append((x[0] if m is None else m).tobytes())
+            radius.append(np.pi if m is None else float(np.arccos(np.clip(x @ m, -1, 1)).max()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mean, pa.binary()), pa.array(radius, pa.float64())], ["comp", "dim", "cell", "g", "mean", "radius"])
+
+
+def _near_balls(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of cells of different components that are near enough, by the triangle inequality, to hold a link."""
+    reach = float(np.arccos(threshold)) + 1e-6
+    for batch in batches:
+        one, two = [], []
+        for f, g in zip(batch.column(0), batch.column(1)):
+            f, g = f.values, g.values
+            angle = np.arccos(np.clip(matrix(f.field("mean")) @ matrix(g.field("mean")).T, -1, 1))
+            near = angle <= np.asarray(f.field("radius"))[:, None] + np.asarray(g.field("radius"))[None, :] + reach
+            near &= np.asarray(f.field("comp"))[:, None] < np.asarray(g.field("comp"))[None, :]
+            a, b = np.nonzero(near)
+            one.append(np.asarray(f.field("ball"))[a])
+            two.append(np.asarray(g.field("ball"))[b])
+        if one:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(one)), pa.array(np.concatenate(two))], ["one", "two"])
+
+
+def _one_link(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """A link of each two cells, if they have any: one joins their components."""
+    for batch in batches:
+        a, b = [], []
+        for f, g in zip(batch.column(0), batch.column(1)):
+            f, g = f.values, g.values
+            s = matrix(f.field("x")) @ matrix(g.field("x")).T
+            i, j = np.unravel_index(s.argmax(), s.shape)
+            if s[i, j] >= threshold:
+                u, v = f.field("vec_id")[int(i)].as_py(), g.field("vec_id")[int(j)].as_py()
+                a.append(min(u, v)), b.append(max(u, v))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def hidden_links(graph: DataFrame, label: DataFrame, vectors: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Links (a, b) between components whose members' lists are full of nearer neighbours.
+
+    A link that neither list holds is one of two saturated vectors, so only these
+    are compared: in cells of a component, those near enough to another's.
+    """
+    n = partitions(vectors.sparkSession)
+    full = graph.groupBy("u").agg(F.count("*").alias("n"), F.min("s").alias("s")).where((F.col("n") >= k) & (F.col("s") >= threshold - 1e-4)).select(F.col("u").alias("vec_id"))
+    full = full.join(label.select(F.col("id").alias("vec_id"), F.col("component_id").alias("comp")), "vec_id").join(vectors.select("vec_id", "x", "dim"), "vec_id")
+    size = full.groupBy("comp").agg(F.count("*").alias("size"))
+    cell = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.ceil(F.col("size") / GROUP).cast("long"))
+    cells = full.join(size, "comp").groupBy("comp", "dim", cell.alias("cell")).agg(F.collect_list(F.struct("vec_id", "x")).alias("g"))
+    balls = cells.mapInArrow(_balls, "comp long, dim int, cell long, g array<struct<vec_id:long,x:binary>>, mean binary, radius double")
+    balls = materialize(balls.withColumn("ball", F.xxhash64("comp", "cell")), "nn-balls")
+    deal = max(1, -(-balls.count() // GROUP))
+    row = F.collect_list(F.struct("ball", "comp", "mean", "radius"))
+    blocks = balls.groupBy("dim", F.pmod(F.xxhash64("ball", F.lit(4)), F.lit(deal)).alias("block"))
+    met = blocks.agg(row.alias("f")).select("dim", "f").join(blocks.agg(row.alias("h")).select("dim", "h"), "dim").select("f", "h").repartition(n)
+    near = materialize(met.mapInArrow(lambda it: _near_balls(it, threshold), "one long, two long"), "nn-near")
+    one, two = balls.select(F.col("ball").alias("one"), F.col("g").alias("f")), balls.select(F.col("ball").alias("two"), F.col("g").alias("h"))
+    both = near.join(one, "one").join(two, "two").select("f", "h").repartition(n)
+    return materialize(both.mapInArrow(lambda it: _one_link(it, threshold), "a long, b long"), "nn-hidden")
+
+
 # ------------------------------------------------------------------ counting links within components
 
 
@@ -330,7 +402,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         k = 2 * k  # a longer list finds what a short one, full of nearer neighbours, couldn't hold
         release(links)
         release(label)
-    if lost:
+    hidden = hidden_links(graph, label, reps, k, threshold)
+    if lost or hidden.limit(1).count():
+        links = links.union(hidden)
         label = materialize(components(links.union(missed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), "nn-cc2"), "nn-label")
     members = label.withColumnRenamed("id", "vec_id").join(reps, "vec_id").select(F.col("component_id").alias("comp"), "vec_id", "x", "copies")
     counted = materialize(count_links(members, threshold).join(label.withColumnRenamed("id", "vec_id"), "vec_id"), "nn-counts")

@@ -46,3 +46,13 @@ def test_address(spark):
     one = spark.createDataFrame([("https://Blog.Example.DE/x?y",), ("src0",), ("a.b.c",), ("",), (None,)], "u string")
     got = [tuple(r) for r in one.select(*G.address(F.col("u"))).collect()]
     assert got == [("blog.example.de", "example.de", "de"), ("src0", "src0", "src0"), ("a.b.c", "b.c", "c"), ("", "", ""), ("", "", "")]
+
+
+def test_more_than_64_languages(spark):
+    """Every declared language has a model, the rarest too."""
+    letters = "abcdefghij"
+    tags = [a + b for a in letters for b in letters][:70]
+    rows = [(k * 10 + i, " ".join([f"{t}{t}k{t}", f"{t[::-1]}z{t}{t}"] * 6), t, f"http://{t}.example.org/") for k, t in enumerate(tags) for i in range(3 if k < 69 else 2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, url string")
+    got = {r.doc_id: (r.lang_id, r.kept) for r in G.identify(frame, F.col("text"), F.col("lang"), F.col("url")).select("row.doc_id", "lang_id", "kept").collect()}
+    assert got == {i: (t, True) for i, _, t, _ in rows}

@@ -3,7 +3,7 @@
 Four sources of evidence are added up as log probabilities:
 
 * text: a multinomial model of hashed byte trigrams for each language, fitted
-  on at most ``SAMPLE`` labelled texts of each language (chosen by hash);
+  on at most ``SAMPLE`` labelled texts of each language (chosen by hash); every declared language has one;
 * the declared markup language, by how often declarations agree with texts
   (counted over all documents and smoothed);
 * the address suffix, where it is that of a country with one main language;
@@ -18,7 +18,7 @@ is no less likely in its language than even noise would be and the posterior rea
 
 Scale: texts are read twice and never shuffled while hosts fit a broadcast
 (``BROADCAST_HOSTS``, counted first); beyond that, rows are joined by host and
-Spark splits skewed hosts.  Models are tables of fixed size.
+Spark splits skewed hosts.  Models are tables of buckets by languages.
 
 Defined results: null, empty or blank texts have no language (null) and aren't
 kept; missing declarations, hosts and suffixes are no evidence; equal rows get
@@ -38,7 +38,7 @@ from . import textkernel as K
 from .common import materialize, slices, table, utf8
 
 SAMPLE, BUCKETS, SMOOTH, NOISE = 400, 1 << 15, 0.05, 0.05
-TEXT_GRAMS, LEAST_POSTERIOR, KAPPA, MOST_LANGUAGES, BROADCAST_HOSTS = 200, 0.5, 20.0, 64, 50_000
+TEXT_GRAMS, LEAST_POSTERIOR, KAPPA, BROADCAST_HOSTS = 200, 0.5, 20.0, 50_000
 # Country suffixes with one main language.
 SUFFIX = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "jp": "ja", "cn": "zh", "ru": "ru"}
 SUFFIX_SHARE = 0.6
@@ -72,9 +72,11 @@ class Model:
 
     def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages = languages
-        p = (counts + SMOOTH) / (counts.sum(axis=0, keepdims=True) + SMOOTH * BUCKETS)
-        # a share of any text is none of its language: numbers, codes, names
-        self.log = np.log((1 - NOISE) * p + NOISE / BUCKETS).astype(np.float32)
+        self.log = np.empty(counts.shape, np.float32)
+        for c in range(counts.shape[1]):
+            p = (counts[:, c] + SMOOTH) / (counts[:, c].sum() + SMOOTH * BUCKETS)
+            # a share of any text is none of its language: numbers, codes, names
+            self.log[:, c] = np.log((1 - NOISE) * p + NOISE / BUCKETS)
 
     def mean(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Mean log likelihood of each text in each language, and its number of trigrams."""
@@ -95,15 +97,14 @@ def _blank(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((BUCKETS, n), np.int64)
     for batch in batches:
         lang = np.asarray(batch.column(0))
         data, offs = utf8(batch.column(1))
         for i, j in slices(offs):
             g, begin = grams(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-            np.add.at(total, (g, np.repeat(lang[i:j], np.diff(begin))), 1)
-    b, c = np.nonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(total[b, c])], ["bucket", "lang", "n"])
+            # as pairs that occur: a table of all would grow with the number of languages
+            key, total = np.unique(g * n + np.repeat(lang[i:j], np.diff(begin)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((key // n).astype(np.int32)), pa.array((key % n).astype(np.int32)), pa.array(total.astype(np.int64))], ["bucket", "lang", "n"])
 
 
 def primary(c: Column) -> Column:
@@ -116,7 +117,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """A text model from ``labelled`` (text, lang), on at most about ``sample`` texts of each language."""
     spark = labelled.sparkSession
     rows = labelled.select(primary(F.col("lang")).alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    found = rows.groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in found)
     if not languages:
         return Model(["und"], np.zeros((BUCKETS, 1)))
@@ -217,10 +218,14 @@ def identify(docs: DataFrame, text: Column, declared: Column, url: Column, model
             agree[r.top, index.get(r.declared, n)] += r.n
     agree /= agree.sum(axis=1, keepdims=True)
     overall /= overall.sum()
-    by = lambda *k: counted.groupBy(*k).agg(F.array(*[F.sum(F.when(F.col("top") == i, F.col("n")).otherwise(0)) for i in range(n)]).alias("c"))
+
+    def by(*k: str) -> DataFrame:
+        each = counted.groupBy(*k, "top").agg(F.sum("n").alias("n")).groupBy(*k).agg(F.map_from_entries(F.collect_list(F.struct("top", "n"))).alias("m"))
+        return each.select(*k, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long"))).alias("c"))
+
     hosts = by("host", "domain").withColumnRenamed("c", "hc").join(by("domain").withColumnRenamed("c", "dc"), "domain")
     hosts = hosts.select("host", F.concat("hc", "dc").alias("own"))
-    if hosts.count() <= BROADCAST_HOSTS:
+    if hosts.count() * max(n, 64) <= BROADCAST_HOSTS * 64:  # each host has two counts a language
         hosts = F.broadcast(hosts)
     everything = spark.sparkContext.broadcast((model, agree, overall))
     joined = base.join(hosts, "host", "left").select("row", "text", "declared", "suffix", "own")

@@ -56,3 +56,11 @@ def test_more_than_64_languages(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, url string")
     got = {r.doc_id: (r.lang_id, r.kept) for r in G.identify(frame, F.col("text"), F.col("lang"), F.col("url")).select("row.doc_id", "lang_id", "kept").collect()}
     assert got == {i: (t, True) for i, _, t, _ in rows}
+
+
+def test_sample_counts_copies_once(spark):
+    """A language of a few texts in many copies is fitted on all of these, once each."""
+    texts = {"en": ["the cat and the dog", "a house on the hill", "where is the river"], "de": ["der Hund und die Katze"]}
+    few = spark.createDataFrame([(t, la) for la, ts in texts.items() for t in ts], "text string, lang string")
+    many = spark.createDataFrame([(t, la) for la, ts in texts.items() for t in ts for _ in range(500)], "text string, lang string")
+    assert (G.fit(many, 5).log == G.fit(few, 5).log).all()

@@ -3,7 +3,7 @@
 Four sources of evidence are added up as log probabilities:
 
 * text: a multinomial model of hashed byte trigrams for each language, fitted
-  on at most ``SAMPLE`` labelled texts of each language (chosen by hash); every declared language has one;
+  on at most ``SAMPLE`` distinct labelled texts of each language (chosen by hash); every declared language has one;
 * the declared markup language, by how often declarations agree with texts
   (counted over all documents and smoothed);
 * the address suffix, where it is that of a country with one main language;
@@ -114,17 +114,17 @@ def primary(c: Column) -> Column:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """A text model from ``labelled`` (text, lang), on at most about ``sample`` texts of each language."""
+    """A text model from ``labelled`` (text, lang), on at most about ``sample`` distinct texts of each language."""
     spark = labelled.sparkSession
     rows = labelled.select(primary(F.col("lang")).alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
-    found = rows.groupBy("lang").count().collect()
+    found = rows.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in found)
     if not languages:
         return Model(["und"], np.zeros((BUCKETS, 1)))
     share = {r["lang"]: min(1.0, sample / r["count"]) for r in found}
     pick = F.create_map(*[F.lit(x) for k in languages for x in (k, share[k])])
     index = F.create_map(*[F.lit(x) for k, v in enumerate(languages) for x in (v, k)])
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < pick[F.col("lang")] * 1_000_003)
+    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < pick[F.col("lang")] * 1_000_003).distinct()
     chosen = chosen.select(index[F.col("lang")].alias("lang"), "text")
     n = len(languages)
     counts = chosen.mapInArrow(lambda it: _counted(it, n), "bucket int, lang int, n long").groupBy("bucket", "lang").agg(F.sum("n").alias("n")).toPandas()

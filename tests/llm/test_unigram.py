@@ -103,3 +103,29 @@ def test_query(spark, model):
     back = {r.doc_id: r.text for r in T.detokenize(out).where("doc_id < 100").collect()}
     assert back == dict(enumerate(TEXTS)) and out.where("doc_id = 3").first().tokens == model.encode_text("a")
     assert T.tokenize(spark.createDataFrame([], DOC)).count() == 0
+
+
+def test_texts_without_spaces(model):
+    rng = random.Random(5)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(400)), "".join(rng.choice("abcdefgh0123XYZ+/") for _ in range(900)), "ab" * 700, "a" * 1001]
+    for t in texts:
+        assert model.decode_ids(model.encode_text(t)) == t
+        assert score(model, t) == best_score(model, t)
+
+
+def test_parts_of_long_texts_make_no_difference(model, monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["die ", "漢字", "und", " aaaa", "b9", "  ", "\n", "é"]) for _ in range(1500)), "a" * 3000, "x y " * 900]
+    whole = [model.encode_text(t) for t in texts]
+    monkeypatch.setattr(T, "SLICE", 64)
+    assert [model.encode_text(t) for t in texts] == whole
+
+
+def test_time_is_linear_in_texts_without_spaces(model):
+    import time
+
+    for t in ("漢字仮名交じり文" * 100_000, "ab9" * 300_000):
+        began = time.perf_counter()
+        ids = model.encode_text(t)
+        assert time.perf_counter() - began < 20
+        assert model.decode_ids(ids) == t

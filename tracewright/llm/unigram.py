@@ -7,12 +7,23 @@ whitespace marker, and each text gets one in front.
 
 No piece holds a marker behind another character, so a best path over a text is
 the best paths over its runs (spaces and what follows up to the next space).
-Texts are therefore cut into runs, equal runs of a batch are solved once, and
+Texts are therefore cut into runs, equal runs of a slice are solved once, and
 all of them advance together in numpy: the trie walk by depth, Viterbi by
-position.  Nothing is cut off, whatever a text's length.
-
-Decoding is exact: a marker character in the text itself is kept apart by byte
-pieces.  Null and empty texts have no tokens and decode to an empty text.
+position.  A run is cut further wherever no piece crosses, which is exact too;
+what stays longer than ``LONG`` bytes (a text without spaces) is solved by a
+plain loop over its pieces, in time linear in its length.
+
+Scale: the texts of a batch are handled in slices of about ``SLICE`` bytes, and
+a longer text in parts that end between two of its runs or where no piece
+crosses, so that memory depends neither on a batch's size nor on a text's length.
+
+Defined results: nothing is cut off, whatever a text's length.  Decoding is
+exact: a marker character in the text itself is kept apart by byte pieces.  Null
+and empty texts have no tokens and decode to an empty text; of equally good
+segmentations that with the longer last piece wins (scores are multiples of
+2^-20, so sums are exact and ties are the same wherever a text is cut); rows are
+encoded one by one, equal ones alike and null keys like any other; an empty table
+gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +41,7 @@ from . import textkernel as K
 from .common import binary_column, slices, table, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-UNKNOWN_PENALTY = 10.0
+UNKNOWN_PENALTY, SLICE, LONG, GRID = 10.0, 1 << 18, 96, 1 << 20
 _RAW = K.stream(21, 256)
 
 
@@ -110,11 +121,27 @@ def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
         yield tag >> 3, x
 
 
+def _uncrossed(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The places of 0 to n - 1 that lie inside no arc."""
+    inner = b - a > 1
+    crossed = np.bincount(a[inner] + 1, minlength=n + 1)[:n] - np.bincount(b[inner], minlength=n + 1)[:n]
+    return np.flatnonzero(np.cumsum(crossed) == 0)
+
+
+def _followed(back: np.ndarray, a: np.ndarray, at: int, begin: int) -> Iterator[int]:
+    """The arcs of a best path from ``at`` back to ``begin``."""
+    while at > begin:
+        arc = int(back[at])
+        yield arc
+        at = int(a[arc])
+
+
 class Unigram:
     """Pieces with log scores, encoder and decoder.
 
-    ``rank_scores``: the file's scores are negative merge ranks, as in models of
-    merges; a piece of rank r then has the log score -log(1 + r), a Zipf law.
+    ``rank_scores``: the file holds negative merge ranks in place of log scores, as
+    models of merges do.  They say nothing of how likely a piece is, so a Zipf law
+    is assumed: a piece of rank r gets -log(1 + r).  False takes scores as they are.
     """
 
     def __init__(self, raw: bytes, rank_scores: bool = True):
@@ -131,6 +158,7 @@ class Unigram:
         if rank_scores:
             least = len(pieces)
             score = -np.log1p(np.where(-score > least, least, -score))
+        score = np.round(score * GRID) / GRID
         self.score = score
         self.unknown = float(score[normal].min()) - UNKNOWN_PENALTY
         surface = [b""] * len(pieces)
@@ -149,20 +177,17 @@ class Unigram:
         if (self.byte_piece < 0).any():
             raise ValueError("the model has no byte pieces")
         self.trie = DoubleArray(keys, normal)
+        self.longest = max(map(len, keys))
         self.flat = np.frombuffer(b"".join(surface), np.uint8)
         self.ends = np.concatenate([[0], np.cumsum([len(s) for s in surface])]).astype(np.int64)
 
     # ------------------------------------------------------------------ encoding
 
-    def _solve(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Piece ids of each run, and where each run's begin."""
-        n, runs = len(data), len(offs) - 1
-        lens = np.diff(offs)
-        run = np.repeat(np.arange(runs), lens)
-        end = offs[1:][run]
-        lead = (data & 0xC0) != 0x80
-        starts = np.flatnonzero(lead)
-        width = np.diff(np.append(starts, n))
+    def _arcs(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """From, to and piece (-1: unknown) of all pieces that occur within runs, and of characters that none covers."""
+        end = np.repeat(offs[1:], np.diff(offs))
+        starts = np.flatnonzero((data & 0xC0) != 0x80)
+        width = np.diff(np.append(starts, len(data)))
         base, check, value = self.trie.base, self.trie.check, self.trie.value
         state, at, origin = np.zeros(len(starts), np.int32), starts.copy(), np.arange(len(starts))
         arc_from, arc_to, arc_piece = [], [], []
@@ -184,61 +209,127 @@ class Unigram:
         arc_from.append(starts[none])
         arc_to.append(starts[none] + width[none])
         arc_piece.append(np.full(len(none), -1, np.int32))
-        a, b, p = np.concatenate(arc_from), np.concatenate(arc_to), np.concatenate(arc_piece)
+        return np.concatenate(arc_from), np.concatenate(arc_to), np.concatenate(arc_piece)
+
+    def _solve(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of each run, and where each run's begin."""
+        n = len(data)
+        if not n:
+            return np.zeros(0, np.int32), np.zeros(len(offs), np.int64)
+        a, b, p = self._arcs(data, offs)
+        order = np.lexsort((a, b))
+        a, b, p = a[order], b[order], p[order]
         gain = np.where(p >= 0, self.score[p], self.unknown)
-        of = run[a]
-        rel = b - offs[of]
-        order = np.lexsort((a, b, rel))
-        a, b, p, gain, of, rel = a[order], b[order], p[order], gain[order], of[order], rel[order]
-        # node of a position: its own index; a run's end gets a node of its own
-        na, nb = a + of, b + of
-        best = np.full(n + runs, -np.inf)
-        back = np.full(n + runs, -1, np.int64)
-        best[offs[:-1] + np.arange(runs)] = 0.0
-        steps = np.flatnonzero(np.diff(np.append(-1, rel)))
-        for lo, hi in zip(steps, np.append(steps[1:], len(rel))):
-            cand = best[na[lo:hi]] + gain[lo:hi]
-            node = nb[lo:hi]
+        # a best path passes through every place that no piece crosses: parts between these are solved by themselves
+        cuts = np.append(_uncrossed(a, b, n), n)
+        part = np.searchsorted(cuts, a, side="right") - 1
+        rel = b - cuts[part]
+        best = np.full(n + 1, -np.inf)
+        back = np.full(n + 1, -1, np.int64)
+        best[cuts[:-1]] = 0.0
+        last = np.full(len(cuts) - 1, -1, np.int64)  # the arc that ends each part: its end is the next one's begin
+        short = (np.diff(cuts) <= LONG)[part]
+        some = np.flatnonzero(short)
+        some = some[np.argsort(rel[some], kind="stable")]
+        sa, sb, sg, sr = a[some], b[some], gain[some], rel[some]
+        steps = np.flatnonzero(np.diff(np.append(-1, sr)))
+        for lo, hi in zip(steps, np.append(steps[1:], len(sr))):
+            cand = best[sa[lo:hi]] + sg[lo:hi]
+            node = sb[lo:hi]
             first = np.flatnonzero(np.diff(np.append(-1, node)))
             top = np.maximum.reduceat(cand, first)
-            size = np.diff(np.append(first, hi - lo))
-            win = np.flatnonzero(cand == np.repeat(top, size))
-            back[node[win[::-1]]] = lo + win[::-1]  # of equal sums the longest last piece, as it comes first
-            best[node[first]] = top
-        cur, live = offs[1:] + np.arange(runs), np.arange(runs)
-        got_run, got_arc = [], []
-        go = lens > 0
-        cur, live = cur[go], live[go]
+            win = np.flatnonzero(cand == np.repeat(top, np.diff(np.append(first, hi - lo))))
+            keep = win[np.unique(node[win], return_index=True)[1]]  # of equal sums the longest last piece, as it comes first
+            inside = cuts[part[some[lo + first]] + 1] != node[first]
+            best[node[first[inside]]] = top[inside]
+            back[node[keep[inside]]] = some[lo + keep[inside]]
+            last[part[some[lo + first[~inside]]]] = some[lo + keep[~inside]]
+        for k in np.flatnonzero(np.diff(cuts) > LONG):
+            self._walk(a, b, gain, int(cuts[k]), int(cuts[k + 1]), back, last, k)
+        # the paths, from the ends of the parts back to their begins
+        chosen = [last]
+        cur, begin = a[last], cuts[:-1]
+        go = cur > begin
+        cur, begin = cur[go], begin[go]
         while len(cur):
+            if len(cur) <= 8:  # only long ones are left: follow each by itself
+                chosen.append(np.array([x for c, s in zip(cur.tolist(), begin.tolist()) for x in _followed(back, a, c, s)], np.int64))
+                break
             arc = back[cur]
-            got_run.append(live)
-            got_arc.append(arc)
-            cur = na[arc]
-            go = a[arc] > offs[live]
-            cur, live = cur[go], live[go]
-        if not got_run:
-            return np.zeros(0, np.int32), np.zeros(runs + 1, np.int64)
-        r, arc = np.concatenate(got_run[::-1]), np.concatenate(got_arc[::-1])
-        order = np.argsort(r, kind="stable")
-        r, arc = r[order], arc[order]
+            chosen.append(arc)
+            cur = a[arc]
+            go = cur > begin
+            cur, begin = cur[go], begin[go]
+        arc = np.concatenate(chosen)
+        arc = arc[np.argsort(a[arc], kind="stable")]
         piece, size = p[arc], np.where(p[arc] >= 0, 1, b[arc] - a[arc])
         ids = np.repeat(piece, size)
         if (piece < 0).any():
             inside = np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)
             raw = data[np.repeat(a[arc], size) + np.where(ids < 0, inside, 0)]
             ids = np.where(ids < 0, self.byte_piece[raw], ids)
-        count = np.bincount(r, weights=size, minlength=runs).astype(np.int64)
-        return ids.astype(np.int32), np.concatenate([[0], np.cumsum(count)])
+        total = np.concatenate([[0], np.cumsum(size)])
+        return ids.astype(np.int32), total[np.searchsorted(a[arc], offs)]
+
+    @staticmethod
+    def _walk(a: np.ndarray, b: np.ndarray, gain: np.ndarray, lo: int, hi: int, back: np.ndarray, last: np.ndarray, k: int) -> None:
+        """The same for one long part, arc by arc; arcs are sorted by their ends."""
+        i, j = int(np.searchsorted(b, lo, side="right")), int(np.searchsorted(b, hi, side="right"))
+        best, via = [float("-inf")] * (hi - lo + 1), [-1] * (hi - lo + 1)
+        best[0] = 0.0
+        for arc, (x, y, g) in enumerate(zip((a[i:j] - lo).tolist(), (b[i:j] - lo).tolist(), gain[i:j].tolist()), i):
+            s = best[x] + g
+            if s > best[y]:
+                best[y], via[y] = s, arc
+        back[lo + 1 : hi] = via[1:-1]
+        last[k] = via[-1]
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts, and where each text's begin."""
+        ids, counts = [], []
+        for i, j in slices(offs, SLICE):
+            if j == i + 1 and offs[j] - offs[i] > 2 * SLICE:
+                each = [x for x, _ in self._parts(data[offs[i] : offs[j]])]
+                ids += each
+                counts.append(np.array([sum(map(len, each))], np.int64))
+            else:
+                x, begin = self._encode(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                ids.append(x)
+                counts.append(np.diff(begin))
+        return np.concatenate([*ids, np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum(np.concatenate([*counts, np.zeros(0, np.int64)]))]).astype(np.int64)
+
+    def _parts(self, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """A long text in parts that end between two runs or, within a long run, where no piece crosses."""
+        lo = 0
+        while lo < len(text):
+            blank = text[lo + SLICE : lo + 2 * SLICE] == 0x20
+            end = np.flatnonzero(blank[1:] & ~blank[:-1])
+            hi = lo + SLICE + int(end[0]) + 1 if len(end) else len(text) if lo + 2 * SLICE >= len(text) else self._inner_end(text, lo)
+            yield self._encode(text[lo:hi], np.array([0, hi - lo]), lo == 0)
+            lo = hi
+
+    def _inner_end(self, text: np.ndarray, lo: int) -> int:
+        """A place behind ``lo`` that no piece crosses, after about ``SLICE`` bytes if there is one."""
+        size = SLICE
+        while lo + size < len(text):
+            seen = text[lo : lo + size + self.longest]
+            a, b, _ = self._arcs(seen, np.array([0, len(seen)]))
+            free = _uncrossed(a, b, len(seen))
+            free = free[(free > 0) & (free <= size)]
+            if len(free):
+                return lo + int(free[-1])
+            size *= 2
+        return len(text)
+
+    def _encode(self, data: np.ndarray, offs: np.ndarray, front: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """The same of a slice; ``front``: a space goes before each text."""
         lens = np.diff(offs)
-        extra = (lens > 0).astype(np.int64)
+        extra = ((lens > 0) & front).astype(np.int64)
         at = np.concatenate([[0], np.cumsum(lens + extra)])
         text = np.full(at[-1], 0x20, np.uint8)
         mark = at[:-1][lens > 0]
         body = np.ones(at[-1], bool)
-        body[mark] = False
+        body[mark] = not front
         text[body] = data
         if not len(text):
             return np.zeros(0, np.int32), np.zeros(len(offs), np.int64)
@@ -297,7 +388,7 @@ def _tokenize(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBa
     names = ["row_id", "tokens", "n_tokens", "ids_crc32", "decoded_crc32", "round_trip"]
     for batch in batches:
         data, offs = utf8(batch.column(1))
-        for i, j in slices(offs, 2 << 20):
+        for i, j in slices(offs, 4 * SLICE):
             part, at = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
             ids, begin = model.encode(part, at)
             back, back_at = model.decode(ids, begin)

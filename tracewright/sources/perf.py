@@ -9,26 +9,57 @@ from ..functions.formats import perf_event, symbol
 from ..schema import empty_tags
 from .lines import explode_lines
 
-HEADER = r"^\s*(\S+)\s+(\d+)(?:/(\d+))?\s+(\d+\.\d+):\s*(?:\d+\s+\S+:\s+)?(?:[\da-f]+\s+)?(\S.*?)?\s*(?:\(([^)]+)\))?$"
-FRAME = r"^\s+([\da-f]{4,})\s+(\S.*?)(?:\s+\(([^)]+)\))?$"
-
-
 def read(spark: SparkSession, path: str) -> DataFrame:
     """block, value: samples, which are separated by blank lines (one block where there are none)."""
     return spark.read.text(path, lineSep="\n\n").withColumn("block", F.monotonically_increasing_id())
 
 
+def _words(c: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(c, "[\\t\\r]", " ")), " +")
+
+
+def _is_hex(c: Column) -> Column:
+    """Whether a word can be an address: nothing is left of it without hexadecimal digits."""
+    return (c != "") & (F.translate(c, "0123456789abcdef", "") == "")
+
+
+def _function(words: Column) -> Column:
+    """The function of an ``address function (object)`` list of words; address and object may be missing."""
+    rest = F.when((F.size(words) > 1) & _is_hex(F.get(words, F.lit(0))), F.slice(words, 2, F.size(words))).otherwise(words)
+    text = F.concat(F.lit(" "), F.array_join(rest, " "))
+    object_ = F.when(text.endswith(")"), F.length(F.substring_index(text, " (", -1)) + 2).otherwise(0)
+    return F.trim(F.left(text, F.length(text) - F.when(object_ > F.length(text), 0).otherwise(object_)))
+
+
 def samples(blocks: DataFrame) -> DataFrame:
-    """comm, pid, tid, start_ns, symbol and frames (outermost first) of each sample, flat or with stacks."""
-    rows = explode_lines(blocks.select("block", "value"), "block")
-    head = F.col("value").rlike(HEADER) & ~F.col("value").rlike(FRAME)
-    at = lambda n: F.regexp_extract("value", HEADER, n)
+    """comm, pid, tid, start_ns, symbol and frames (outermost first) of each sample, flat or with stacks.
+
+    Lines are taken apart by position.  A header holds a time stamp, the first
+    word that is a decimal number and a colon: before it come the command and
+    the process (``pid`` or ``pid/tid``), behind it the event (``count name:``) and, in
+    the flat form, the frame.  A frame is ``address function (object)``, indented.
+    """
     from pyspark.sql import Window
 
+    rows = explode_lines(blocks.select("block", "value"), "block").where(F.trim("value") != "")
+    rows = rows.withColumn("w", _words(F.col("value")))
+    stamps = F.transform("w", lambda x: x.endswith(":") & x.contains(".") & F.rtrim(F.translate(x, ":", "")).try_cast("decimal(30,9)").isNotNull())
+    rows = rows.withColumn("t", F.array_position(stamps, True).cast("int"))
+    who = F.split(F.get("w", F.col("t") - 2), "/")
+    rows = rows.withColumn("head", (F.col("t") >= 3) & F.get(who, F.lit(0)).try_cast("bigint").isNotNull())
     w = Window.partitionBy("block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("head", head).withColumn("sample", F.max(F.when(F.col("head"), F.col("pos"))).over(w)).where("sample is not null")
-    heads = rows.where("head").select("block", "sample", at(1).alias("comm"), at(2).try_cast("bigint").alias("pid"), at(3).try_cast("bigint").alias("tid"), F.floor(at(4).cast("decimal(30,9)") * 1_000_000_000).cast("bigint").alias("start_ns"), symbol(at(5)).alias("symbol"))
-    frames = rows.where(~F.col("head") & F.col("value").rlike(FRAME)).select("block", "sample", "pos", symbol(F.regexp_extract("value", FRAME, 2)).alias("f")).where("f <> ''")
+    rows = rows.withColumn("sample", F.max(F.when(F.col("head"), F.col("pos"))).over(w)).where("sample is not null")
+    stamp = F.translate(F.get("w", F.col("t") - 1), ":", "").try_cast("decimal(30,9)")
+    event = F.slice("w", F.col("t") + 1, F.size("w"))
+    counted = F.get(event, F.lit(0)).try_cast("bigint").isNotNull() & F.get(event, F.lit(1)).endswith(":")
+    named = F.get(event, F.lit(0)).endswith(":")
+    behind = F.when(counted, F.slice(event, 3, F.size("w"))).when(named, F.slice(event, 2, F.size("w"))).otherwise(event)
+    heads = rows.where("head").withColumn("behind", behind).select(
+        "block", "sample", F.array_join(F.slice("w", 1, F.greatest(F.col("t") - 2, F.lit(0))), " ").alias("comm"), F.get(who, F.lit(0)).try_cast("bigint").alias("pid"), F.get(who, F.lit(1)).try_cast("bigint").alias("tid"),
+        F.floor(stamp * 1_000_000_000).cast("bigint").alias("start_ns"), symbol(_function(F.col("behind"))).alias("symbol"),
+    )
+    indented = F.substring("value", 1, 1).isin(" ", "\t") & (F.size("w") > 1) & _is_hex(F.get("w", F.lit(0))) & (F.length(F.get("w", F.lit(0))) >= 4)
+    frames = rows.where(~F.col("head") & indented).select("block", "sample", "pos", symbol(_function(F.col("w"))).alias("f")).where("f <> ''")
     frames = frames.groupBy("block", "sample").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("pos")).alias("o"), "f"))), lambda x: x["f"]).alias("frames"))
     out = heads.join(frames, ["block", "sample"], "left")
     return out.select("block", "sample", "comm", "pid", F.coalesce("tid", "pid").alias("tid"), "start_ns", "symbol", F.coalesce("frames", F.array().cast("array<string>")).alias("frames"))
@@ -42,8 +73,9 @@ def spans(found: DataFrame) -> DataFrame:
     flat = found.where("size(frames) = 0").select("block", "sample", F.lit(0).alias("depth"), F.when(F.col("symbol") == "", "[cpu]").otherwise(F.col("symbol")).alias("name"), "pid", "tid", "start_ns", empty_tags().alias("tags"))
     out = stacked.unionByName(flat)
     empty = F.array().cast("array<string>")
-    seq = F.col("block") * F.lit(1 << 24) + F.col("sample") * F.lit(1 << 8) + F.col("depth")
-    return out.select(seq.cast("bigint").alias("seq"), "name", F.lit("cpu").alias("category"), "start_ns", F.lit(0).cast("bigint").alias("duration_ns"), F.col("start_ns").alias("end_ns"), "pid", "tid", "tags", empty.alias("stack_frames"), F.lit(None).cast("string").alias("span_id"), F.lit(None).cast("string").alias("parent_span_id"))
+    # numbered after a range sort: in order of arrival however many blocks, samples and frames there are
+    out = out.orderBy("block", "sample", "depth").withColumn("seq", F.monotonically_increasing_id())
+    return out.select("seq", "name", F.lit("cpu").alias("category"), "start_ns", F.lit(0).cast("bigint").alias("duration_ns"), F.col("start_ns").alias("end_ns"), "pid", "tid", "tags", empty.alias("stack_frames"), F.lit(None).cast("string").alias("span_id"), F.lit(None).cast("string").alias("parent_span_id"))
 
 
 def folded(found: DataFrame) -> DataFrame:

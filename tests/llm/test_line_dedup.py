@@ -91,3 +91,15 @@ def test_one_edit():
     a = np.arange(10)
     assert L.within_one_edit(a, a) and L.within_one_edit(a, np.delete(a, 3)) and L.within_one_edit(np.insert(a, 0, 99), a)
     assert not L.within_one_edit(a, np.delete(a, [1, 2])) and not L.within_one_edit(a, np.roll(a, 1))
+
+
+def test_different_texts_under_one_id(spark):
+    rows = [(1, "alpha beta gamma"), (2, "alpha beta gamma\nsecond line here"), (2, "unique words stay"), (2, "ALPHA beta gamma"), (3, "second line here")]
+    got = sorted((r.doc_id, r.text) for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, "alpha beta gamma"), (2, "second line here"), (2, "unique words stay")]
+
+
+def test_short_lines(spark):
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f X"), (3, "one two three four"), (4, "one two three five"), (5, "one two three"), (6, "one two six")]
+    got = sorted(r.doc_id for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [1, 3, 5, 6]

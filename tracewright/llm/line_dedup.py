@@ -3,7 +3,9 @@
 Lines are compared as sequences of words (A-Z lower-cased).  Of equal lines the
 earliest - by (doc_id, line number) - stays, wherever the others are.  A line of
 ``LEAST_WORDS`` words or more also goes if an earlier line is within one word
-edit (a word replaced, added or left out).
+edit (a word replaced, added or left out): below four words one edit would leave
+less than three quarters of a line alike.  The bound is one edit at any length,
+as a line has as many variants as there are ways to choose the deleted words.
 
 The near join follows the deletion-neighbourhood scheme: every line emits the
 hashes of all its variants with one word deleted, and its own.  Lines within
@@ -18,8 +20,10 @@ agree in their first or their last half (counted for the longer one's length),
 so the hashes of these halves are counted first.  That filter loses nothing.
 
 Defined results: null text stays null, blank lines always stay (they belong to
-the layout), rows with a null doc_id pass unchanged and take no part, rows that
-share a doc_id count as one document, equal rows included.  Extra columns stay.
+the layout), rows with a null doc_id pass unchanged and take no part.  A document
+is an id with a text: different texts under one id are different documents, in
+order of a hash of the text; equal rows are one document, and each of them keeps
+its lines.  An empty table gives no rows; extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,10 +38,11 @@ from pyspark.sql import functions as F
 from . import textkernel as K
 from .common import binary_column, materialize, release, slices, table, utf8
 
-LEAST_WORDS = 8
+LEAST_WORDS = 4
 _P = np.uint64(0x5851F42D4C957F2D)
 _INV = np.uint64(pow(int(_P), -1, 1 << 64))
 U64 = np.uint64
+ROW, KEYS = ["doc_id", "text_hash"], "doc_id long, text_hash long"  # what names a document
 
 
 def _powers(n: int) -> np.ndarray:
@@ -79,10 +84,10 @@ def _key(x: np.ndarray, n: np.ndarray, salt: int) -> np.ndarray:
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "line", "n_words", "h1", "h2", "keys"]
+    names = [*ROW, "line", "n_words", "h1", "h2", "keys"]
     for batch in batches:
-        ids = np.asarray(batch.column(0))
-        data, offs = utf8(batch.column(1))
+        ids, texts = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        data, offs = utf8(batch.column(2))
         for i, j in slices(offs):
             x = Lines(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             front, back, _ = x.sums()
@@ -99,14 +104,14 @@ def _line_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
             count = np.zeros(len(n), np.int64)
             count[long] = 4
             col = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][x.doc]), pa.array(x.number), pa.array(n.astype(np.int32)), pa.array(h1), pa.array(h2), col], names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][x.doc]), pa.array(texts[i:j][x.doc]), pa.array(x.number), pa.array(n.astype(np.int32)), pa.array(h1), pa.array(h2), col], names)
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The word hashes of the chosen lines of each text."""
     for batch in batches:
-        ids, chosen = np.asarray(batch.column(0)), batch.column(2)
-        data, offs = utf8(batch.column(1))
+        ids, texts, chosen = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(3)
+        data, offs = utf8(batch.column(2))
         for i, j in slices(offs):
             x = Lines(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             want = chosen.slice(i, j - i)
@@ -117,14 +122,14 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.concatenate([[0], np.cumsum(size)])
             h = x.h[np.arange(ends[-1]) + np.repeat(x.first[pick] - ends[:-1], size)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[i:j][x.doc[pick]]), pa.array(x.number[pick]), binary_column(np.frombuffer(h.tobytes(), np.uint8), 8 * ends)], ["doc_id", "line", "words"]
+                [pa.array(ids[i:j][x.doc[pick]]), pa.array(texts[i:j][x.doc[pick]]), pa.array(x.number[pick]), binary_column(np.frombuffer(h.tobytes(), np.uint8), 8 * ends)], [*ROW, "line", "words"]
             )
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keys of each line without its p-th word, and with all of them (p = -1)."""
     for batch in batches:
-        raw, offs = utf8(batch.column(2))
+        raw, offs = utf8(batch.column(3))
         h, at = np.frombuffer(raw.tobytes(), U64), offs // 8
         n = np.diff(at)
         if not len(n):
@@ -141,8 +146,8 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.concatenate([_key(v, n[line] - 1, 5), _key(own, n, 5)])
         who = np.concatenate([line, np.arange(len(n))])
         p = np.concatenate([place, np.full(len(n), -1)]).astype(np.int32)
-        ids, number = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(p), pa.array(ids[who]), pa.array(number[who])], ["v", "p", "doc_id", "line"])
+        ids, texts, number = (np.asarray(batch.column(c)) for c in range(3))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(p), pa.array(ids[who]), pa.array(texts[who]), pa.array(number[who])], ["v", "p", *ROW, "line"])
 
 
 def within_one_edit(x: np.ndarray, y: np.ndarray) -> bool:
@@ -161,9 +166,9 @@ def within_one_edit(x: np.ndarray, y: np.ndarray) -> bool:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good = [within_one_edit(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)) for x, y in zip(batch.column(2), batch.column(3))]
+        good = [within_one_edit(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)) for x, y in zip(batch.column(3), batch.column(4))]
         where = pa.array(np.flatnonzero(good))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where)], ["doc_id", "line"])
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(where) for c in range(3)], [*ROW, "line"])
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,26 +187,26 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_lines(texts: DataFrame, first: DataFrame) -> DataFrame:
-    """doc_id, line of first occurrences that have an earlier line within one edit."""
-    key = first.where("keys is not null and size(keys) > 0").select("doc_id", "line", F.explode("keys").alias("k"))
+    """Document and line of first occurrences that have an earlier line within one edit."""
+    key = first.where("keys is not null and size(keys) > 0").select(*ROW, "line", F.explode("keys").alias("k"))
     shared = key.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
-    chosen = key.join(shared, "k", "left_semi").groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
-    words = texts.join(chosen, "doc_id").select("doc_id", "text", "lines").mapInArrow(_word_rows, "doc_id long, line int, words binary").dropDuplicates(["doc_id", "line"])
+    chosen = key.join(shared, "k", "left_semi").groupBy(*ROW).agg(F.collect_set("line").alias("lines"))
+    words = texts.join(chosen, ROW).select(*ROW, "text", "lines").mapInArrow(_word_rows, f"{KEYS}, line int, words binary").dropDuplicates([*ROW, "line"])
     words = materialize(words, "line-words")
-    variants = materialize(words.mapInArrow(_variants, "v long, p int, doc_id long, line int"), "line-variants")
-    order = F.struct("doc_id", "line")
+    variants = materialize(words.mapInArrow(_variants, f"v long, p int, {KEYS}, line int"), "line-variants")
+    order = F.struct(*ROW, "line")
     # lines that differ in one word at the same place, against the earliest of them
     place = variants.where("p >= 0").groupBy("v", "p").agg(F.min(order).alias("e"), F.count("*").alias("n")).where("n > 1").drop("n")
-    replaced = variants.join(place, ["v", "p"]).where(order > F.col("e")).select("doc_id", "line", "e")
+    replaced = variants.join(place, ["v", "p"]).where(order > F.col("e")).select(*ROW, "line", "e")
     # lines that are others' variants, with a word more or less
     base = variants.groupBy("v").agg(F.min(F.when(F.col("p") < 0, order)).alias("x"), F.min(F.when(F.col("p") >= 0, order)).alias("y"))
     base = materialize(base.where("x is not null and y is not null"), "line-bases")
-    longer = variants.where("p >= 0").join(base.select("v", "x"), "v").where(order > F.col("x")).select("doc_id", "line", F.col("x").alias("e"))
-    shorter = base.where("y < x").select("x.doc_id", "x.line", F.col("y").alias("e"))
-    pairs = replaced.unionByName(longer).unionByName(shorter).select("doc_id", "line", F.col("e.doc_id").alias("ed"), F.col("e.line").alias("el")).distinct()
-    w, e = words.withColumnRenamed("words", "w"), words.select(F.col("doc_id").alias("ed"), F.col("line").alias("el"), F.col("words").alias("u"))
-    both = pairs.join(w, ["doc_id", "line"]).join(e, ["ed", "el"]).select("doc_id", "line", "w", "u")
-    out = materialize(both.mapInArrow(_verify, "doc_id long, line int").distinct(), "line-near")
+    longer = variants.where("p >= 0").join(base.select("v", "x"), "v").where(order > F.col("x")).select(*ROW, "line", F.col("x").alias("e"))
+    shorter = base.where("y < x").select("x.*", F.col("y").alias("e"))
+    pairs = replaced.unionByName(longer).unionByName(shorter).select(*ROW, "line", *[F.col(f"e.{c}").alias(f"e_{c}") for c in (*ROW, "line")]).distinct()
+    w, e = words.withColumnRenamed("words", "w"), words.select(*[F.col(c).alias(f"e_{c}") for c in (*ROW, "line")], F.col("words").alias("u"))
+    both = pairs.join(w, [*ROW, "line"]).join(e, ["e_doc_id", "e_text_hash", "e_line"]).select(*ROW, "line", "w", "u")
+    out = materialize(both.mapInArrow(_verify, f"{KEYS}, line int").distinct(), "line-near")
     for x in (words, variants, base):
         release(x)
     return out
@@ -210,22 +215,24 @@ def near_lines(texts: DataFrame, first: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, digest: bool = False) -> DataFrame:
     """``docs`` without repeated lines; with ``digest``: doc_id, n_lines, n_kept, n_near, text."""
     has_id = docs.where("doc_id is not null")
-    texts = has_id.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = texts.mapInArrow(lambda it: _line_rows(it, least_words), "doc_id long, line int, n_words int, h1 long, h2 long, keys array<long>")
-    first = lines.groupBy("h1", "h2", "n_words").agg(F.min(F.struct("doc_id", "line", "keys")).alias("f"))
-    first = materialize(first.select("f.doc_id", "f.line", "f.keys"), "line-first")
+    text = F.col("text").cast("string")
+    key = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")]
+    texts = has_id.select(*key)
+    lines = texts.mapInArrow(lambda it: _line_rows(it, least_words), f"{KEYS}, line int, n_words int, h1 long, h2 long, keys array<long>")
+    first = lines.groupBy("h1", "h2", "n_words").agg(F.min(F.struct(*ROW, "line", "keys")).alias("f"))
+    first = materialize(first.select("f.*"), "line-first")
     near = near_lines(texts, first)
-    stay = first.select("doc_id", "line").join(near, ["doc_id", "line"], "left_anti")
-    gone = near.groupBy("doc_id").agg(F.count("*").alias("n_near"))
-    stay = stay.groupBy("doc_id").agg(F.collect_list("line").alias("stay"))
-    info = stay.join(gone, "doc_id", "full")
+    stay = first.select(*ROW, "line").join(near, [*ROW, "line"], "left_anti")
+    gone = near.groupBy(*ROW).agg(F.count("*").alias("n_near"))
+    stay = stay.groupBy(*ROW).agg(F.collect_list("line").alias("stay"))
+    info = stay.join(gone, ROW, "full")
     info = materialize(info, "line-stay")
     release(first)
     # other columns travel packed, so that their names can't clash
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     packed = F.struct(F.lit(0).alias("none"), *([] if digest else [F.col(f"`{c}`") for c in others])).alias("packed")
-    flat = has_id.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), packed)
-    joined = flat.join(info, "doc_id", "left").select(F.struct("doc_id", "n_near", "packed").alias("row"), "text", "stay")
+    flat = has_id.select(*key, packed)
+    joined = flat.join(info, ROW, "left").select(F.struct("doc_id", "n_near", "packed").alias("row"), "text", "stay")
     kind = dict(joined.dtypes)["row"]
     out = joined.mapInArrow(_rebuild, f"row {kind}, text string, n_lines long, n_kept long")
     if digest:
@@ -250,7 +257,7 @@ o AS (SELECT *, array_to_string(ws, ' ') AS norm FROM l),
 f AS (SELECT doc_id, line, ws, norm FROM o WHERE len(ws) > 0 QUALIFY row_number() OVER (PARTITION BY norm ORDER BY doc_id, line) = 1),
 v AS (
   SELECT doc_id, line, len(ws) AS n, p, array_to_string(list_concat(ws[1:p - 1], ws[p + 1:]), ' ') AS v
-  FROM (SELECT *, unnest(generate_series(1, len(ws))) AS p FROM f WHERE len(ws) >= 8)),
+  FROM (SELECT *, unnest(generate_series(1, len(ws))) AS p FROM f WHERE len(ws) >= 4)),
 near AS (
   SELECT a.doc_id, a.line FROM v a JOIN v b ON a.v = b.v AND a.p = b.p AND (b.doc_id, b.line) < (a.doc_id, a.line)
   UNION SELECT a.doc_id, a.line FROM v a JOIN f b ON a.v = b.norm AND len(b.ws) >= 8 AND (b.doc_id, b.line) < (a.doc_id, a.line)

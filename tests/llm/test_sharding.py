@@ -1,5 +1,7 @@
 import zlib
 
+import pytest
+
 from tracewright.llm import sharding as S
 
 DOC = "doc_id long, text string, size string, slot int, shard string"
@@ -24,25 +26,74 @@ def test_laws(spark):
     assert all(len({r.shard for r in got if r.virtual_slot == v}) == 1 for v in {r.virtual_slot for r in got})
 
 
+def test_like_plain_python(spark):
+    """Every column, from a slot for each id to places within shards."""
+    xxhash = pytest.importorskip("xxhash")
+    rows = [r for r in rows_of() if r[0] is not None and r[0] != 9100]
+    slot = lambda i: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64(i.to_bytes(8, "little"), seed=42).intdigest()) % S.SLOTS
+    size = {i: len((t or "").encode()) + 16 for i, t, *_ in rows}
+    total = dict.fromkeys(range(S.SLOTS), 0)
+    for i, n in size.items():
+        total[slot(i)] += n
+    load, count, shard = [0] * 40, [0] * 40, {}
+    for s in sorted(total, key=lambda s: (-total[s], s)):
+        to = min(range(40), key=lambda k: (load[k], count[k], k))
+        shard[s], load[to], count[to] = to, load[to] + total[s], count[to] + 1
+    next_ = [0] * 40
+    want = set()
+    for i in sorted(size, key=lambda i: (slot(i), i)):
+        k = shard[slot(i)]
+        want.add((i, size[i], "bytes", k, next_[k], slot(i), 0, 1))
+        next_[k] += 1
+    got = S.assign(spark.createDataFrame(rows, DOC))[0].collect()
+    assert {(r.doc_id, r.size, r.law, r.shard, r.slot, r.virtual_slot, r.part, r.map_version) for r in got} == want
+
+
+@pytest.mark.parametrize("hot", [7, None])
+def test_many_rows_of_one_id(spark, hot):
+    rows = [(hot, "x" * 1000, "s", 1, "t")] * 400 + [(i, "y" * 1000, "s", 1, "t") for i in range(100, 900)]
+    got = S.assign(spark.createDataFrame(rows, DOC))[0].collect()
+    load, places = {}, {}
+    for r in got:
+        load[r.shard] = load.get(r.shard, 0) + r.size
+        places.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == 1200 and len(load) == 40 and max(load.values()) - min(load.values()) <= 4 * 1016
+    assert all(sorted(v) == list(range(len(v))) for v in places.values())
+
+
 def test_rebalancing():
-    sizes = {s: 100 + s % 7 for s in range(S.SLOTS)}
+    sizes = {(s, 0): 100 + s % 7 for s in range(S.SLOTS)}
     one = S.SlotMap.balanced(sizes, 40)
     two = one.rebalanced(sizes, 41)
-    moved = [(a, b) for a, b in zip(one.shard, two.shard) if a != b]
+    moved = [(one.shard[k], two.shard[k]) for k in sizes if one.shard[k] != two.shard[k]]
     assert two.version == 2 and {b for _, b in moved} == {40} and len(moved) <= S.SLOTS // 41 + 41
-    total = [sum(sizes[s] for s, x in enumerate(two.shard) if x == k) for k in range(41)]
+    total = [sum(sizes[s] for s, x in two.shard.items() if x == k) for k in range(41)]
     assert max(total) - min(total) < 0.05 * max(total)
     three = two.rebalanced(sizes, 40)
-    assert max(three.shard) == 39
-    grown = dict(sizes) | {s: 5000 for s, x in enumerate(one.shard) if x == 3}
+    assert max(three.shard.values()) == 39
+    grown = sizes | {s: 5000 for s, x in one.shard.items() if x == 3} | {(5, 1): 700}
     four = one.rebalanced(grown, 40)
-    load = [sum(grown[s] for s, x in enumerate(four.shard) if x == k) for k in range(40)]
-    assert max(load) < 1.2 * sum(load) / 40
+    load = [sum(grown[s] for s, x in four.shard.items() if x == k) for k in range(40)]
+    assert max(load) < 1.2 * sum(load) / 40 and four.parts == {5: 2}
+
+
+def test_stored_map_is_loaded_and_edited(spark, tmp_path):
+    path = f"file://{tmp_path}/maps"
+    assert S.SlotMap.load(spark, path) is None
+    first, one = S.assign(spark.createDataFrame([(i, "x" * 500, "s", 1, "t") for i in range(2000)], DOC), path=path)
+    before = {r.doc_id: r.shard for r in first.collect()}
+    rows = [(i, "x" * 500, "s", 1, "t") for i in range(2000)] + [(5000, "y" * 300, "s", 1, "t")] * 900
+    second, two = S.assign(spark.createDataFrame(rows, DOC), path=path)
+    got = second.collect()
+    assert (one.version, two.version) == (1, 2) and S.SlotMap.load(spark, path) == S.SlotMap(2, 40, two.shard) and S.SlotMap.load(spark, path, 1).shard == one.shard
+    assert sum(before[r.doc_id] != r.shard for r in got if r.doc_id < 2000) < 100  # few records move
+    load = {}
+    for r in got:
+        load[r.shard] = load.get(r.shard, 0) + r.size
+    assert max(load.values()) < 1.1 * sum(load.values()) / 40
 
 
-def test_stored_map_and_empty(spark):
-    frame = S.SlotMap.balanced({0: 5, 1: 7}, 2, slots=4).frame(spark, {0: 3, 1: 2})
-    assert frame.count() == 4 and frame.first().version == 1
+def test_empty(spark):
     assert S.assign(spark.createDataFrame([], DOC))[0].count() == 0
 
 

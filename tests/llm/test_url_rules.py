@@ -29,7 +29,7 @@ def brute(rows, labels):
     every = [frozenset(tok[i]) for i, _ in labels if tok.get(i)]
     least = ceil(U.SUPPORT * len(bad))
     rules = set()
-    for size in range(1, U.MOST_ITEMS + 1):
+    for size in range(1, 1 + max(map(len, bad), default=0)):
         for c in {frozenset(c) for b in bad for c in combinations(sorted(b), size)}:
             n = sum(c <= b for b in bad)
             if n >= least and n >= U.CONFIDENCE * sum(c <= e for e in every):
@@ -47,6 +47,26 @@ def test_against_brute_force(spark):
     assert got == want and want
 
 
+def test_rules_of_four_tokens(spark):
+    """No three of the four tokens are sure enough."""
+    marks = ["a", "b", "c", "d"]
+    urls = ["http://x.org/" + "/".join(m for m in marks if m != out) + f"/{k}" for out in marks for k in range(40)] + [f"http://x.org/a/b/c/d/{k}" for k in range(30)]
+    df = spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(urls)], PAGE).selectExpr("page_id", "replace(url, 'x.org', 'x.com') AS url")
+    labels = [(i, i >= 160) for i in range(len(urls))]
+    got = U.judge(df, spark.createDataFrame(labels, LABEL)).where("verdict = 'block'")
+    assert {r.page_id for r in got.collect()} == set(range(160, 190)) and got.first().mined_rule == "p:a p:b p:c p:d"
+
+
+def test_deep_paths_and_copies(spark):
+    """Forty segments that always come together are one class; copies of an address count once."""
+    deep = "/".join(f"s{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(40))
+    urls = [f"http://bad.net/{deep}/{k}" for k in range(20)] + [f"http://good.net/w{k}" for k in range(20)] + ["http://good.net/w1"] * 500 + [None, None]
+    df = spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(urls)], PAGE)
+    labels = spark.createDataFrame([(i, i < 20) for i in range(540)], LABEL)
+    got = {r.page_id for r in U.judge(df, labels).where("verdict = 'block'").collect()}
+    assert got == set(range(20))
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(1, None, None, None), (2, "", None, 1), (3, "no scheme", None, 1), (None, "http://a.com/en/1", None, 1), (4, "http://a.com/en/1", "x", 1), (4, "http://a.com/en/1", "x", 1), (5, "http://" + "x" * 50000 + ".net/de/9", "x", 1)], PAGE)
     none = spark.createDataFrame([], LABEL)

@@ -2,23 +2,33 @@
 
 Each address becomes a set of tokens (labels of its host, domain, suffix, path
 segments with digits masked, names of query parameters).  Spark's FP-growth
-mines the token combinations that are frequent among pages labelled bad; those
-of up to ``MOST_ITEMS`` tokens whose confidence over all labelled pages reaches
-``CONFIDENCE`` and that no shorter rule already implies become rules.  An
+mines the token combinations, of any number of tokens, that are frequent among
+addresses labelled bad; those whose confidence over all labelled addresses
+reaches ``CONFIDENCE`` and that no smaller rule already implies become rules.  An
 inverted index finds the rules of an address: each rule is filed under its
 rarest token, addresses look up their own tokens, and the rule's other tokens
 are checked.
 
+Tokens that occur in exactly the same labelled addresses (a host and its domain,
+the segments of a fixed path) can't be told apart by any label: they form one
+class, and mining and matching go by classes.  That changes no verdict, and keeps
+the number of combinations from doubling with each of them.
+
+Labels are those of the label table, whose ids are taken as page ids; an address
+is bad if any label of a page that has it says so (quality 0 or toxic).
+
 Before that, fixed rules decide: a rule (host, path) fits its host and all
 subdomains if the address's path starts with the rule's; the longest wins.
 
 Scale: mining and matching run over distinct addresses, one row each however
-many pages share it.  The rule table is broadcast after its size was checked,
-and joined by shuffle beyond.
+many pages share it.  Tables of classes and rules are broadcast after their size
+was checked, and joined by shuffle beyond.
 
 Defined results: null urls and urls without ``://`` have an empty host and
-path, no tokens, no rule and the verdict allow; without bad labels there are no
-mined rules; equal rows are judged alike; extra columns are ignored.
+path, no tokens, no rule and the verdict allow; pages without an id are judged
+like others but have no labels; without bad labels there are no mined rules; of
+several rules the surest is named, of equally sure ones the last by its text; equal
+rows are judged alike; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-SUPPORT, CONFIDENCE, MOST_ITEMS, BROADCAST_RULES = 0.02, 0.7, 3, 100_000
+SUPPORT, CONFIDENCE, BROADCAST_RULES = 0.02, 0.7, 100_000
 # Verdict, host, path.
 RULES = [
     ("block", "com", "/en/"),
@@ -37,8 +47,6 @@ RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-# Words in a host that label its pages bad, besides the labels given.
-SEEDS = ["casino", "pills", "spam", "viagra", "porn", "lottery"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -70,46 +78,64 @@ def fixed_rule(host: Column, path: Column) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """rule_id, items, key, n_bad, confidence from ``labelled`` (items, bad, n: how many pages)."""
+def _sized(small: DataFrame) -> DataFrame:
+    """``small``, to be broadcast if it has few rows (counted)."""
+    return F.broadcast(small) if small.count() <= BROADCAST_RULES else small
+
+
+def classes(labelled: DataFrame, support: float) -> DataFrame:
+    """token, cls, df: tokens frequent among bad addresses, and the class of those that occur in the same labelled addresses."""
+    bad = labelled.where("bad").count()
+    each = labelled.select(F.explode("items").alias("token"), "bad", F.xxhash64("url").alias("a"), F.xxhash64("url", F.lit(1)).alias("b"))
+    seen = each.groupBy("token").agg(F.count("*").alias("df"), F.count_if("bad").alias("n"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b")).where(F.col("n") >= F.ceil(F.lit(support) * bad))
+    name = seen.groupBy("df", "a", "b").agg(F.min("token").alias("cls"))
+    return materialize(seen.join(name, ["df", "a", "b"]).select("token", "cls", "df"), "url-classes")
+
+
+def by_class(addresses: DataFrame, known: DataFrame) -> DataFrame:
+    """url and the classes of its tokens, for addresses that have any."""
+    each = addresses.select("url", F.explode("items").alias("token")).join(_sized(known.select("token", "cls")), "token")
+    return each.groupBy("url").agg(F.collect_set("cls").alias("items"))
+
+
+def mine(labelled: DataFrame, known: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """rule_id, items, key, n_bad, confidence from distinct ``labelled`` addresses (url, items, bad) and the ``known`` classes."""
     from pyspark.ml.fpm import FPGrowth
 
     kind = {"rule_id": "long", "items": "array<string>", "n_items": "int", "key": "string", "n_bad": "long", "confidence": "double"}
-    labelled = materialize(labelled.where(F.size("items") > 0), "url-labelled")
-    bad = labelled.where("bad").select("items", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i")).select("items")
+    rows = labelled.select("url", "bad").join(by_class(labelled, known), "url", "left")
+    rows = materialize(rows.select("url", "bad", F.coalesce("items", F.array().cast("array<string>")).alias("items")), "url-classed")
+    bad = rows.where("bad").select("items")
     if bad.limit(1).count() == 0:
         return labelled.where("false").select(*[F.lit(None).cast(t).alias(c) for c, t in kind.items()])
     sets = FPGrowth(itemsCol="items", minSupport=support, minConfidence=1.0).fit(bad).freqItemsets
-    sets = sets.where(F.size("items") <= MOST_ITEMS).select(F.array_sort("items").alias("items"), F.col("freq").alias("n_bad"))
+    sets = sets.select(F.array_sort("items").alias("items"), F.col("freq").alias("n_bad"))
     sets = materialize(sets.withColumn("rule_id", F.xxhash64("items")), "url-sets")
-    counts = labelled.select(F.explode("items").alias("key"), "n").groupBy("key").agg(F.sum("n").alias("df"))
+    counts = known.groupBy(F.col("cls").alias("key")).agg(F.max("df").alias("df"))
     keyed = sets.select("rule_id", "items", "n_bad", F.explode("items").alias("key")).join(counts, "key")
     keyed = keyed.groupBy("rule_id").agg(F.first("items").alias("items"), F.first("n_bad").alias("n_bad"), F.min(F.struct("df", "key")).alias("k"))
     keyed = materialize(keyed.select("rule_id", "items", "n_bad", F.col("k.key").alias("key")), "url-keyed")
-    total = look_up(labelled.select(F.col("items").alias("tokens"), "n"), keyed, ["n"]).groupBy("rule_id").agg(F.sum("n").alias("n_all"))
+    total = look_up(rows, keyed).groupBy("rule_id").agg(F.count("*").alias("n_all"))
     rules = keyed.join(total, "rule_id").withColumn("confidence", F.col("n_bad") / F.col("n_all")).where(F.col("confidence") >= confidence)
     rules = materialize(rules.select("rule_id", "items", F.size("items").alias("n_items"), "key", F.col("n_bad").cast("long"), "confidence"), "url-rules")
-    # a rule that a shorter one implies at no less confidence says nothing new
+    # a rule that a smaller one implies at no less confidence says nothing new
     short = rules.select(F.col("items").alias("part"), F.col("n_items").alias("m"), F.col("key").alias("key"), F.col("confidence").alias("c"), F.col("rule_id").alias("r"))
     wide = rules.select("rule_id", "items", "n_items", "confidence", F.explode("items").alias("key"))
     implied = wide.join(short, "key").where((F.col("m") < F.col("n_items")) & (F.col("c") >= F.col("confidence")) & (F.size(F.array_except("part", "items")) == 0))
     return materialize(rules.join(implied.select("rule_id").distinct(), "rule_id", "left_anti"), "url-pruned")
 
 
-def look_up(addresses: DataFrame, rules: DataFrame, keep: list[str]) -> DataFrame:
-    """Rows of ``addresses`` (tokens) with each rule that holds for them, through the inverted index."""
-    slim = rules.select("rule_id", "items", "key")
-    if rules.count() <= BROADCAST_RULES:
-        slim = F.broadcast(slim)
-    probe = addresses.select(*keep, "tokens", F.explode("tokens").alias("key"))
-    return probe.join(slim, "key").where(F.size(F.array_except("items", "tokens")) == 0).select(*keep, "rule_id")
+def look_up(addresses: DataFrame, rules: DataFrame) -> DataFrame:
+    """url of ``addresses`` (url, items) with each rule that holds for it, through the inverted index."""
+    slim = rules.select("rule_id", F.col("items").alias("part"), "key")
+    probe = addresses.select("url", "items", F.explode("items").alias("key"))
+    return probe.join(_sized(slim), "key").where(F.size(F.array_except("part", "items")) == 0).select("url", "rule_id")
 
 
-def labels_of(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """page_id, bad: rows of ``labels`` (doc_id, quality, toxic) by page, and pages whose host holds a seed word."""
-    given = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("page_id")).agg(F.max((F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)).alias("bad"))
-    seeded = pages.where(host_of(F.col("url")).rlike("|".join(SEEDS))).select("page_id", F.lit(True).alias("bad"))
-    return given.unionByName(seeded).groupBy("page_id").agg(F.max("bad").alias("bad"))
+def labels_of(labels: DataFrame) -> DataFrame:
+    """page_id, bad from rows of ``labels`` (doc_id, quality, toxic)."""
+    bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
+    return labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("page_id")).agg(F.max(bad).alias("bad"))
 
 
 def judge(pages: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -117,10 +143,13 @@ def judge(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     url = F.col("url")
     host, path = host_of(url), path_of(url)
-    known = rows.join(labelled, "page_id").groupBy("url", "bad").agg(F.count("*").cast("int").alias("n"))
-    rules = mine(known.select(tokens(host, path, url).alias("items"), "bad", "n"))
-    distinct = rows.where("url is not null").select("url").distinct().select("url", tokens(host, path, url).alias("tokens"))
-    hits = look_up(distinct, rules, ["url"]).join(F.broadcast(rules.select("rule_id", "items", "confidence")) if rules.count() <= BROADCAST_RULES else rules.select("rule_id", "items", "confidence"), "rule_id")
+    taken = tokens(host, path, url).alias("items")
+    given = rows.where("url is not null").join(labelled, "page_id").groupBy("url").agg(F.max("bad").alias("bad"))
+    given = materialize(given.select("url", taken, "bad").where(F.size("items") > 0), "url-labelled")
+    known = classes(given, SUPPORT)
+    rules = mine(given, known)
+    distinct = rows.where("url is not null").select("url").distinct().select("url", taken)
+    hits = look_up(by_class(distinct, known), rules).join(_sized(rules.select("rule_id", "items", "confidence")), "rule_id")
     hits = hits.groupBy("url").agg(F.max(F.struct("confidence", F.array_join("items", " ").alias("mined_rule"))).alias("hit"))
     rule, verdict = fixed_rule(F.col("host"), F.col("path"))
     out = rows.join(hits, "url", "left").select("page_id", host.alias("host"), path.alias("path"), "hit")
@@ -130,7 +159,7 @@ def judge(pages: DataFrame, labelled: DataFrame) -> DataFrame:
 
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return judge(pages, labels_of(pages, table(spark, sf_dir, "labels"))).drop("mined_rule")
+    return judge(pages, labels_of(table(spark, sf_dir, "labels"))).drop("mined_rule")
 
 
 _FOLD = f"'{UPPER}', '{LOWER}'"
@@ -148,28 +177,19 @@ f AS (
     list_filter(string_split(path, '/'), lambda x: x <> '') AS ps,
     list_filter(string_split(coalesce(regexp_extract(url, '(?s)^[^#]*?\?([^#]*)', 1), ''), '&'), lambda x: x <> '') AS qs FROM u),
 t AS (
-  SELECT DISTINCT page_id, unnest(list_concat(list_transform(ls, lambda x: 'h:' || x), ['d:' || array_to_string(ls[greatest(len(ls) - 1, 1):], '.')],
-    list_transform(ps, lambda x: 'p:' || regexp_replace(translate(x, {_FOLD}), '[0-9]+', '#', 'g')), list_transform(qs, lambda x: 'q:' || split_part(x, '=', 1)))) AS tok
-  FROM f WHERE len(ls) > 0),
-lab AS (
-  SELECT page_id, bool_or(bad) AS bad FROM (
-    SELECT doc_id AS page_id, coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 AS bad FROM labels
-    UNION ALL SELECT page_id, true FROM f WHERE regexp_matches(host, '{"|".join(SEEDS)}')) GROUP BY page_id),
-tl AS (SELECT t.*, lab.bad FROM t JOIN lab USING (page_id)),
-n AS (SELECT ceil({SUPPORT} * count(DISTINCT page_id)) AS least FROM tl WHERE bad),
-fr AS (SELECT tok FROM tl WHERE bad GROUP BY tok HAVING count(*) >= (SELECT least FROM n)),
-k AS (SELECT * FROM tl SEMI JOIN fr USING (tok)),
-c AS (
-  SELECT page_id, bad, tok AS a, NULL AS b, NULL AS c FROM k
-  UNION ALL SELECT x.page_id, x.bad, x.tok, y.tok, NULL FROM k x JOIN k y ON x.page_id = y.page_id AND x.tok < y.tok
-  UNION ALL SELECT x.page_id, x.bad, x.tok, y.tok, z.tok FROM k x JOIN k y ON x.page_id = y.page_id AND x.tok < y.tok JOIN k z ON z.page_id = x.page_id AND y.tok < z.tok),
-r AS (
-  SELECT a, b, c FROM c GROUP BY a, b, c
-  HAVING count(*) FILTER (bad) >= (SELECT least FROM n) AND count(*) FILTER (bad) >= {CONFIDENCE} * count(*)),
-h AS (
-  SELECT DISTINCT t.page_id FROM r JOIN t ON t.tok = r.a
-  WHERE (r.b IS NULL OR EXISTS (SELECT 1 FROM t y WHERE y.page_id = t.page_id AND y.tok = r.b)) AND (r.c IS NULL OR EXISTS (SELECT 1 FROM t z WHERE z.page_id = t.page_id AND z.tok = r.c)))
+  SELECT url, list_sort(list_distinct(list_concat(list_transform(ls, lambda x: 'h:' || x), ['d:' || array_to_string(ls[greatest(len(ls) - 1, 1):], '.')],
+    list_transform(ps, lambda x: 'p:' || regexp_replace(translate(x, {_FOLD}), '[0-9]+', '#', 'g')), list_transform(qs, lambda x: 'q:' || split_part(x, '=', 1))))) AS items
+  FROM (SELECT DISTINCT url, ls, ps, qs FROM f WHERE len(ls) > 0)),
+lab AS (SELECT doc_id AS page_id, bool_or(coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+tl AS (SELECT t.url, items, bad FROM t JOIN (SELECT url, bool_or(bad) AS bad FROM f JOIN lab USING (page_id) GROUP BY url) USING (url)),
+n AS (SELECT ceil({SUPPORT} * count(*)) AS least FROM tl WHERE bad),
+fr AS (SELECT tok FROM (SELECT unnest(items) AS tok FROM tl WHERE bad) GROUP BY tok HAVING count(*) >= (SELECT least FROM n)),
+fq AS (SELECT coalesce(list(tok), []) AS toks FROM fr),
+k AS (SELECT t.url, bad, list_filter(t.items, lambda x: list_contains(toks, x)) AS items FROM t LEFT JOIN tl USING (url), fq),
+c AS (SELECT url, bad, array_to_string(list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 1), ' ') AS part FROM (SELECT *, unnest(generate_series(1, (1 << len(items)) - 1)) AS m FROM k)),
+r AS (SELECT part FROM c WHERE bad IS NOT NULL GROUP BY part HAVING count(*) FILTER (bad) >= (SELECT least FROM n) AND count(*) FILTER (bad) >= {CONFIDENCE} * count(*)),
+h AS (SELECT DISTINCT url FROM c SEMI JOIN r USING (part))
 SELECT f.page_id, f.host, f.path, f.rule,
-  CASE WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN h.page_id IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
-FROM f LEFT JOIN h ON f.page_id = h.page_id
+  CASE WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN h.url IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM f LEFT JOIN h ON f.url = h.url
 """

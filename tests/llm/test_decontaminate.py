@@ -86,3 +86,49 @@ def test_copied_everywhere(spark):
     rows = spark.createDataFrame([*docs, *many], "doc_id long, text string")
     got = {r.doc_id for r in D.leaks(rows, spark.createDataFrame([(0, " ".join(items[0]), 0)], ITEM)).collect()}
     assert {i for i, _ in many} <= got
+
+
+def test_seeds_are_rare():
+    """A pair of words that many documents hold is lengthened until few do."""
+    items = D.Items([1], ["of the old mill by the river in the spring of the year"])
+    text = items.h.tolist()
+    df = np.zeros(len(items.grams), np.int64)
+    for n in range(D.GRAM, D.LONGEST + 1):
+        x, _, first = D.grams(items.h, items.at, n)
+        for g, f in zip(x, first):
+            df[np.searchsorted(items.grams, g)] = 1000 if n == 2 and f in (0, 5, 7, 10) else 3 if n == 2 else 1
+    found, begin, _, place = items.seeds(df, 20)
+    own = df[np.searchsorted(items.grams, found)]
+    assert own.max() <= 3 and begin[-1] == len(place) and set(np.diff(np.sort(place))) <= {1, 2} and len(text) == 13
+
+
+def test_common_seeds_cost_no_alignments(spark, monkeypatch):
+    """Documents full of an item's commonest pair are not aligned with it."""
+    docs = [(i, "of the " * 50 + f"w{i}") for i in range(300)] + [(999, "x y the spring of the old year z")]
+    bench = spark.createDataFrame([(0, "the spring of the old year came", 0)], ITEM)
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    assert [(r.doc_id, r.first_word, r.last_word) for r in D.leaks(rows, bench).collect()] == [(999, 2, 8)]
+
+
+def test_ties_and_shared_ids(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f x x x x x x x x x x x x a b c d e f"), (2, "q q a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.score, r.first_word, r.last_word) for r in D.leaks(docs, spark.createDataFrame([(0, "a b c d e f", 0)], ITEM)).collect())
+    assert got == [(1, 1.0, 0, 6), (2, 1.0, 0, 6)]
+
+
+def test_recall_on_edited_copies(spark):
+    """Copies with a fifth of their words replaced, among documents that share the common words."""
+    rng = random.Random(8)
+    common, vocab = "the of and to in a is that it for".split(), [f"w{k}" for k in range(3000)]
+    say = lambda n: [rng.choice(common) if rng.random() < 0.5 else rng.choice(vocab) for _ in range(n)]
+    items = {k: say(30) for k in range(40)}
+    docs = [(i, say(200)) for i in range(800)]
+    for i, w in docs[:200]:
+        p = list(items[i % 40])
+        for x in rng.sample(range(30), 6):
+            p[x] = rng.choice(vocab)
+        w[50:50] = p
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.leaks(rows, spark.createDataFrame([(k, " ".join(v), 0) for k, v in items.items()], ITEM)).collect()}
+    found = sum((i, i % 40) in got for i in range(200))
+    assert found >= 196 and not [i for i, _ in got if i >= 200]

@@ -1,22 +1,29 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Seeds are word bigrams of the test items.  How many training documents hold
-each bigram is counted over all documents; every stretch of ``STRETCH``
-bigrams of an item keeps its rarest one, so an item's seeds are rare ones
-spread over its whole length, however often the item itself was copied.
-Documents are then read once more: where seeds hit, the passage around them is
-aligned with the item by Smith-Waterman over words, which scores edited and
-paraphrased copies too.  A document leaks an item if the alignment reaches
-``THRESHOLD`` of the score of a verbatim copy.
+How many training documents hold each n-gram of the test items, for n from
+``GRAM`` to ``LONGEST``, is counted over all documents.  The seed of a place in an item is the
+shortest n-gram from there that is rare: at most ``RARE`` of all documents (or ``FEW`` of them,
+in a small corpus) hold it; where none is, the longest.  Of each ``STRETCH`` neighbouring
+places the rarest seed is kept, so seeds cover an item's whole length, however
+often the item itself was copied, and short ones, which survive edits, are
+used wherever they are rare enough.  Documents are then read once more: where seeds
+hit, the passage around them is aligned with the item by Smith-Waterman over
+words, which scores edited and paraphrased copies too.  A document leaks an item
+if the alignment reaches ``THRESHOLD`` of the score of a verbatim copy.
 
 Scale: texts are never shuffled.  Items travel to the executors in blocks of at
 most ``BLOCK_BYTES`` (checked; a larger benchmark makes more blocks, each run
-against all documents).  An alignment is skipped only when the words that
+against all documents).  A common word pair of an item costs no alignments, as
+it is lengthened until it is rare.  Hits are handled for as many documents at a time
+as have about ``HITS`` of them.  An alignment is skipped only when the words that
 passage and item share cannot reach the threshold.
 
 Defined results: null and empty texts hold nothing; items without words match
 nothing, items under two words match as whole sequences; equal item texts
-all count; rows that share a doc_id count as one document.
+all count; of equally good passages of a document the first counts; rows that
+share a doc_id count as one document, with the best of their passages; rows
+without an id take no part in ``leaks`` and stay in ``decontaminate``; empty tables
+give no leaks; extra columns are ignored or stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,12 +39,25 @@ from pyspark.sql import functions as F
 from . import textkernel as K
 from .common import slices, table, utf8
 
-GRAM, STRETCH, THRESHOLD = 2, 2, 0.5
+GRAM, LONGEST, STRETCH, THRESHOLD = 2, 5, 2, 0.5
+RARE, FEW, HITS = 0.001, 20, 1 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 32 << 20
 RESULT = "doc_id long, item_id long, score double, first_word int, last_word int"
 
 
+def grams(h: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text and first word of all ``n``-grams; texts of fewer than ``GRAM`` words have themselves as the only one."""
+    if n == GRAM:
+        x, of, start = K.shingles(h, at, n)
+        return x, of, at[:-1][of] + np.arange(len(x)) - start[:-1][of]
+    if len(h) < n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    first = np.flatnonzero(of[: len(h) - n + 1] == of[n - 1 :])
+    return K.chain(h, n)[first], of[first], first
+
+
 class Items:
     """The words and n-grams of a block of test items."""
 
@@ -45,22 +65,29 @@ class Items:
         data, offs = utf8(pa.array(texts, pa.string()))
         self.ids = np.array(ids, np.int64)
         self.h, self.at = K.word_hashes(data, offs)
-        g, of, start = K.shingles(self.h, self.at, GRAM)
-        self.gram, self.of, self.start = g, of, start
-        self.place = np.arange(len(g)) - start[:-1][of]
-        self.grams, self.which = np.unique(g, return_inverse=True)
+        each = [grams(self.h, self.at, n) for n in range(GRAM, LONGEST + 1)]
+        self.size = np.repeat(np.arange(GRAM, LONGEST + 1), [len(x) for x, _, _ in each])
+        self.gram, self.of, self.first = (np.concatenate([x[c] for x in each]) for c in range(3))
+        self.grams, self.which = np.unique(self.gram, return_inverse=True)
 
-    def seeds(self, df: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def seeds(self, df: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Sorted seed grams; for each, a run of (item, place) entries."""
         count = df[self.which]
-        chosen = np.zeros(len(self.gram), bool)
-        for a, b in zip(self.start[:-1], self.start[1:]):
-            for i in range(a, max(a + 1, b - STRETCH + 1)) if b > a else ():
-                chosen[i + int(np.argmin(count[i : min(b, i + STRETCH)]))] = True
-        chosen = np.flatnonzero(chosen)
-        order = chosen[np.argsort(self.gram[chosen], kind="stable")]
-        grams, begin = np.unique(self.gram[order], return_index=True)
-        return grams, np.append(begin, len(order)), self.of[order], self.place[order]
+        # of each place the shortest rare n-gram, else the longest
+        order = np.lexsort((np.where(count <= bound, self.size, 2 * LONGEST - self.size), count > bound, self.first))
+        own = order[np.unique(self.first[order], return_index=True)[1]]
+        # of each stretch the rarest
+        place = self.first[own] - self.at[self.of[own]]
+        last = np.append(self.of[own][1:] != self.of[own][:-1], True)
+        chosen = np.zeros(len(own), bool)
+        begin = np.append(0, np.flatnonzero(last) + 1)
+        for a, b in zip(begin[:-1], begin[1:]):
+            for i in range(a, max(a + 1, b - STRETCH + 1)):
+                chosen[i + int(np.argmin(count[own[i : min(b, i + STRETCH)]]))] = True
+        own, place = own[chosen], place[chosen]
+        order = np.argsort(self.gram[own], kind="stable")
+        found, begin = np.unique(self.gram[own][order], return_index=True)
+        return found, np.append(begin, len(order)), self.of[own][order], place[order]
 
 
 class Lookup:
@@ -81,17 +108,21 @@ class Lookup:
 
 
 def _count(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-    grams = shared.value.grams
-    known, df = Lookup(grams), np.zeros(len(grams), np.int64)
+    """How many documents hold each n-gram of the items, and (gram -1) how many there are."""
+    known = Lookup(shared.value.grams)
+    df, rows = np.zeros(len(known.known), np.int64), 0
     for batch in batches:
         data, offs = utf8(batch.column(1))
+        rows += batch.num_rows
         for i, j in slices(offs):
             h, at = K.word_hashes(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-            x, of, _ = K.shingles(h, at, GRAM)
-            pos, k = known.find(x)
-            df += np.bincount(np.unique(of[pos] * len(grams) + k) % len(grams), minlength=len(grams)) if len(pos) else 0
+            for n in range(GRAM, LONGEST + 1):
+                x, of, _ = grams(h, at, n)
+                pos, k = known.find(x)
+                if len(pos):
+                    df += np.bincount(np.unique(of[pos] * len(df) + k) % len(df), minlength=len(df))
     some = np.flatnonzero(df)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["gram", "df"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], rows))], ["gram", "df"])
 
 
 def smith_waterman(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
@@ -120,46 +151,66 @@ def smith_waterman(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
 
 
 def _align(batches: Iterator[pa.RecordBatch], shared, threshold: float) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-    items, (grams, begin, of_item, place) = shared.value
-    known = Lookup(grams)
+    items, (seeds, begin, of_item, place) = shared.value
+    known = Lookup(seeds)
     length = np.diff(items.at)
     need = threshold * MATCH * length
     counted = [Counter(items.h[a:b].tolist()) for a, b in zip(items.at[:-1], items.at[1:])]
+
+    def align(entry: np.ndarray, doc: np.ndarray, where: np.ndarray, h: np.ndarray, at: np.ndarray, best: dict) -> None:
+        """Align the passages around hits (seed entry, document, word) with their items."""
+        item = of_item[entry]
+        origin = where - place[entry]  # where the item would begin
+        order = np.lexsort((origin, item, doc))
+        doc, item, origin = doc[order], item[order], origin[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (origin[1:] - origin[:-1] > length[item[1:]])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(doc)) - 1
+        d, t = doc[first], item[first]
+        slack = length[t] // 2 + 2
+        lo = at[d] + np.maximum(0, origin[first] - slack)
+        hi = np.minimum(at[d + 1], at[d] + origin[last] + length[t] + slack)
+        for d_, t_, lo_, hi_ in zip(d.tolist(), t.tolist(), lo.tolist(), hi.tolist()):
+            own = counted[t_]
+            # words in common bound the score
+            if MATCH * sum(map(own.__getitem__, own.keys() & set(h[lo_:hi_].tolist()))) < need[t_]:
+                continue
+            score, s, e = smith_waterman(h[lo_:hi_], items.h[items.at[t_] : items.at[t_ + 1]])
+            if score >= need[t_] and score > best.get((d_, t_), (0,))[0]:
+                base = lo_ - int(at[d_])
+                best[d_, t_] = (score, base + s, base + e)
+
     for batch in batches:
         ids = np.asarray(batch.column(0))
         data, offs = utf8(batch.column(1))
         out = []
         for i, j in slices(offs):
             h, at = K.word_hashes(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-            x, of, start = K.shingles(h, at, GRAM)
-            pos, k = known.find(x)
-            if not len(pos):
+            hits = []
+            for n in range(GRAM, LONGEST + 1):
+                x, of, first = grams(h, at, n)
+                pos, k = known.find(x)
+                hits.append((of[pos], first[pos] - at[of[pos]], k))
+            of, word, k = (np.concatenate([x[c] for x in hits]) for c in range(3))
+            if not len(of):
                 continue
+            order = np.argsort(of, kind="stable")
+            of, word, k = of[order], word[order], k[order]
             many = begin[k + 1] - begin[k]
-            entry = np.arange(many.sum()) + np.repeat(begin[k] - (np.cumsum(many) - many), many)
-            doc, where = np.repeat(of[pos], many), np.repeat(pos - start[:-1][of[pos]], many)
-            item = of_item[entry]
-            origin = where - place[entry]  # where the item would begin
-            order = np.lexsort((origin, item, doc))
-            doc, item, origin = doc[order], item[order], origin[order]
-            new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (origin[1:] - origin[:-1] > length[item[1:]])
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(doc)) - 1
+            total = np.cumsum(many)
+            cuts, lo_ = [], 0
+            while lo_ < len(of):  # documents that have about HITS hits together
+                hi_ = int(np.searchsorted(total, (total[lo_ - 1] if lo_ else 0) + HITS, side="right"))
+                hi_ = int(np.searchsorted(of, of[min(hi_, len(of) - 1)], side="left")) if hi_ < len(of) else len(of)
+                hi_ = hi_ if hi_ > lo_ else int(np.searchsorted(of, of[lo_], side="right"))
+                cuts.append((lo_, hi_))
+                lo_ = hi_
             best: dict[tuple[int, int], tuple] = {}
-            d, t = doc[first], item[first]
-            slack = length[t] // 2 + 2
-            lo = at[d] + np.maximum(0, origin[first] - slack)
-            hi = np.minimum(at[d + 1], at[d] + origin[last] + length[t] + slack)
-            for d_, t_, lo_, hi_ in zip(d.tolist(), t.tolist(), lo.tolist(), hi.tolist()):
-                own = counted[t_]
-                # words in common bound the score
-                if MATCH * sum(map(own.__getitem__, own.keys() & set(h[lo_:hi_].tolist()))) < need[t_]:
-                    continue
-                score, s, e = smith_waterman(h[lo_:hi_], items.h[items.at[t_] : items.at[t_ + 1]])
-                if score >= need[t_] and score > best.get((d_, t_), (0,))[0]:
-                    base = lo_ - int(at[d_])
-                    best[d_, t_] = (score, base + s, base + e)
+            for p, q in cuts:
+                m = many[p:q]
+                entry = np.arange(m.sum()) + np.repeat(begin[k[p:q]] - (np.cumsum(m) - m), m)
+                align(entry, np.repeat(of[p:q], m), np.repeat(word[p:q], m), h, at, best)
             out += [(ids[i + d_], items.ids[t_], s / (MATCH * float(length[t_])), a, b) for (d_, t_), (s, a, b) in best.items()]
         if out:
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
@@ -181,13 +232,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, b
             continue
         shared = spark.sparkContext.broadcast(some)
         counted = texts.mapInArrow(lambda it, s=shared: _count(it, s), "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
-        df = np.zeros(len(some.grams), np.int64)
+        df, rows = np.zeros(len(some.grams), np.int64), 0
         for r in counted.collect():  # a row for each n-gram of the block
-            df[r.gram] = r.df
-        both = spark.sparkContext.broadcast((some, some.seeds(df)))
+            if r.gram < 0:
+                rows = r.df
+            else:
+                df[r.gram] = r.df
+        both = spark.sparkContext.broadcast((some, some.seeds(df, max(FEW, RARE * rows))))
         found = found.unionByName(texts.mapInArrow(lambda it, s=both: _align(it, s, threshold), RESULT))
-    best = F.max(F.struct("score", F.col("first_word"), F.col("last_word"))).alias("b")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.score", "b.first_word", "b.last_word")
+    best = F.min(F.struct((-F.col("score")).alias("less"), "first_word", "last_word")).alias("b")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("b.less")).alias("score"), "b.first_word", "b.last_word")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -1,3 +1,6 @@
+import math
+
+import pytest
 from pyspark.sql import functions as F
 
 from tracewright.llm import langid as G
@@ -64,3 +67,79 @@ def test_sample_counts_copies_once(spark):
     few = spark.createDataFrame([(t, la) for la, ts in texts.items() for t in ts], "text string, lang string")
     many = spark.createDataFrame([(t, la) for la, ts in texts.items() for t in ts for _ in range(500)], "text string, lang string")
     assert (G.fit(many, 5).log == G.fit(few, 5).log).all()
+
+
+def buckets(text):
+    """Trigram buckets of a text, one by one."""
+    raw = text.encode()
+    if not raw:
+        return []
+    fold = lambda b: b + 32 if 65 <= b <= 90 else 0x20 if b in (9, 10, 11, 12, 13) else 0x30 if 48 <= b <= 57 else b
+    raw = [0x20, *map(fold, raw), 0x20]
+    return [((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761 % (1 << 32)) >> 17 for i in range(len(raw) - 2)]
+
+
+def plain(rows, sample):
+    """Language, posterior and decision of each (text, declared, host), by plain loops over dictionaries; ``sample``: the texts to fit on."""
+    langs = sorted({d for _, d, _ in rows if d})
+    fitted = {la: {} for la in langs}
+    for t, d in sample:
+        for b in buckets(t):
+            fitted[d][b] = fitted[d].get(b, 0) + 1
+    size = {la: sum(fitted[la].values()) for la in langs}
+    logp = lambda la, b: math.log((1 - G.NOISE) * (fitted[la].get(b, 0) + G.SMOOTH) / (size[la] + G.SMOOTH * G.BUCKETS) + G.NOISE / G.BUCKETS)
+    mean, blank = [], []
+    for t, _, _ in rows:
+        g = buckets(t or "")
+        mean.append({la: sum(logp(la, b) for b in g) / len(g) if g else 0.0 for la in langs} | {"n": len(g)})
+        blank.append(not (t or "").strip(" \t\n\x0b\x0c\r"))
+    top = [None if b else max(langs, key=lambda la: m[la]) for m, b in zip(mean, blank)]
+    n, taught = len(langs), {t for t, _ in sample}
+    agree = {la: {d: 0.5 + (5 * n if la == d else 0) for d in [*langs, "?"]} for la in langs}
+    overall, host = dict.fromkeys(langs, 1.0), {}
+    for (t, d, h), la in zip(rows, top):
+        if la:
+            overall[la] += 1
+            host.setdefault(h, dict.fromkeys(langs, 0))[la] += 1
+            if d and t not in taught:
+                agree[la][d] += 1
+    out = []
+    for (t, d, h), la, m, b in zip(rows, top, mean, blank):
+        score = {}
+        for k in langs:
+            own = {x: host.get(h, {}).get(x, 0) - (x == la) for x in langs}
+            prior = (own[k] + G.KAPPA * overall[k] / sum(overall.values())) / (sum(own.values()) + G.KAPPA)
+            prior = (own[k] + G.KAPPA * prior) / (sum(own.values()) + G.KAPPA)
+            score[k] = m[k] * min(m["n"], G.TEXT_GRAMS) + math.log(prior) + (math.log(agree[k][d] / sum(agree[k].values())) if d else 0)
+        best = max(langs, key=lambda k: score[k])
+        sure = 1 / sum(math.exp(score[k] - score[best]) for k in langs)
+        out.append((None, 0.0, False) if b else (best, sure, sure >= G.LEAST_POSTERIOR and max(m[k] for k in langs) > -math.log(G.BUCKETS) - 1))
+    return out
+
+
+@pytest.mark.parametrize("sample", [400, 8])
+def test_posterior_against_brute_force(spark, sf, monkeypatch, sample):
+    monkeypatch.setattr(G, "SAMPLE", sample)
+    monkeypatch.setattr(G.fit, "__defaults__", (sample,))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("text", F.substring("text", 1, 600)).cache()
+    got = [(r.text, r.lang, r.source, r.lang_id, r.posterior, r.kept) for r in G.documents_identified(docs).select("row.text", "row.lang", "row.source", "lang_id", "posterior", "kept").collect()]
+    model = G.fit(docs, sample)
+    chosen = docs.where(G.sampled(F.col("text"), G.primary(F.col("lang")), model.share)).select("text", G.primary(F.col("lang")).alias("lang")).distinct()
+    want = plain([(t, d, s) for t, d, s, *_ in got], [tuple(r) for r in chosen.collect()])
+    for (_, _, _, la, p, k), (wla, wp, wk) in zip(got, want):
+        assert la == wla and abs(p - wp) < 1e-4 and k == wk
+
+
+def test_ties_go_to_the_first_language(spark):
+    rows = [(i, "one and the same text", la, f"h{i}", None, None, None) for i, la in enumerate(("b" + x for x in "ba"))] + [(9, "one and the same text", None, None, None, None, None)]
+    got = {r.doc_id: r.lang_id for r in G.documents_identified(spark.createDataFrame(rows, DOC)).select("row.doc_id", "lang_id").collect()}
+    assert got[9] == "ba"
+
+
+def test_pages(spark, sf):
+    """Text without tags, the declared language of the markup and the address."""
+    got = G.language_of_pages(spark, sf)
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    said = pages.select("page_id", F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("said"))
+    assert got.count() == pages.count() and got.columns == ["page_id", "lang", "posterior", "kept"]
+    assert got.join(said, "page_id").where("lang = said and kept").count() >= 0.9 * pages.count()

@@ -4,8 +4,9 @@ Four sources of evidence are added up as log probabilities:
 
 * text: a multinomial model of hashed byte trigrams for each language, fitted
   on at most ``SAMPLE`` distinct labelled texts of each language (chosen by hash); every declared language has one;
-* the declared markup language, by how often declarations agree with texts
-  (counted over all documents and smoothed);
+* the declared markup language, by how often declarations agree with texts, counted
+  and smoothed over all documents but those whose texts the model was fitted on
+  (these agree with their declaration because they were taught to);
 * the address suffix, where it is that of a country with one main language;
 * the host: how often each language occurs there, smoothed towards its domain,
   that towards the whole corpus.  These priors are grouped aggregates over all
@@ -68,10 +69,10 @@ def grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Log probabilities of buckets (rows) in languages (columns)."""
+    """Log probabilities of buckets (rows) in languages (columns); ``share``: which part of each one's texts it was fitted on."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray):
-        self.languages = languages
+    def __init__(self, languages: list[str], counts: np.ndarray, share: dict[str, float] | None = None):
+        self.languages, self.share = languages, share or {}
         self.log = np.empty(counts.shape, np.float32)
         for c in range(counts.shape[1]):
             p = (counts[:, c] + SMOOTH) / (counts[:, c].sum() + SMOOTH * BUCKETS)
@@ -113,6 +114,14 @@ def primary(c: Column) -> Column:
     return F.when(tag != "", tag)
 
 
+def sampled(text: Column, lang: Column, share: dict[str, float]) -> Column:
+    """Whether a text is among those a model is fitted on: a share of each language's, by hash."""
+    if not share:
+        return F.lit(False)
+    part = F.create_map(*[F.lit(x) for k in sorted(share) for x in (k, share[k])])[lang]
+    return F.coalesce(F.pmod(F.xxhash64(text), F.lit(1_000_003)) < part * 1_000_003, F.lit(False))
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """A text model from ``labelled`` (text, lang), on at most about ``sample`` distinct texts of each language."""
     spark = labelled.sparkSession
@@ -122,15 +131,14 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     if not languages:
         return Model(["und"], np.zeros((BUCKETS, 1)))
     share = {r["lang"]: min(1.0, sample / r["count"]) for r in found}
-    pick = F.create_map(*[F.lit(x) for k in languages for x in (k, share[k])])
     index = F.create_map(*[F.lit(x) for k, v in enumerate(languages) for x in (v, k)])
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < pick[F.col("lang")] * 1_000_003).distinct()
+    chosen = rows.where(sampled(F.col("text"), F.col("lang"), share)).distinct()
     chosen = chosen.select(index[F.col("lang")].alias("lang"), "text")
     n = len(languages)
     counts = chosen.mapInArrow(lambda it: _counted(it, n), "bucket int, lang int, n long").groupBy("bucket", "lang").agg(F.sum("n").alias("n")).toPandas()
     table_ = np.zeros((BUCKETS, n))
     table_[counts["bucket"], counts["lang"]] = counts["n"]
-    return Model(languages, table_)
+    return Model(languages, table_, share)
 
 
 def _tops(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
@@ -143,7 +151,7 @@ def _tops(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]
             mean, _ = model.mean(part, at)
             top.append(np.where(_blank(part, at), -1, mean.argmax(axis=1)))
         top = np.concatenate(top) if top else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(top.astype(np.int32))], ["declared", "host", "domain", "top"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(top.astype(np.int32))], ["declared", "host", "domain", "taught", "top"])
 
 
 def _fused(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
@@ -204,17 +212,18 @@ def identify(docs: DataFrame, text: Column, declared: Column, url: Column, model
     model = model or fit(base.select("text", F.col("declared").alias("lang")))
     n = len(model.languages)
     shared = spark.sparkContext.broadcast(model)
-    tops = base.select("text", "declared", "host", "domain").mapInArrow(lambda it: _tops(it, shared), "declared string, host string, domain string, top int")
-    counted = tops.where("top >= 0").groupBy("host", "domain", "declared", "top").agg(F.count("*").alias("n"))
+    taught = sampled(F.col("text"), F.col("declared"), model.share).alias("taught")
+    tops = base.select("text", "declared", "host", "domain", taught).mapInArrow(lambda it: _tops(it, shared), "declared string, host string, domain string, taught boolean, top int")
+    counted = tops.where("top >= 0").groupBy("host", "domain", "declared", "taught", "top").agg(F.count("*").alias("n"))
     counted = materialize(counted, "lang-counts")
     agree = np.full((n, n + 1), 0.5)  # language of the text, declared language (the last: any other)
     agree[np.arange(n), np.arange(n)] += 5 * n
     index = {k: i for i, k in enumerate(model.languages)}
     known = F.when(F.col("declared").isin(model.languages), F.col("declared")).when(F.col("declared").isNotNull(), F.lit("?"))
     overall = np.ones(n)
-    for r in counted.groupBy(known.alias("declared"), "top").agg(F.sum("n").alias("n")).collect():
+    for r in counted.groupBy(known.alias("declared"), "taught", "top").agg(F.sum("n").alias("n")).collect():
         overall[r.top] += r.n
-        if r.declared is not None:
+        if r.declared is not None and not r.taught:
             agree[r.top, index.get(r.declared, n)] += r.n
     agree /= agree.sum(axis=1, keepdims=True)
     overall /= overall.sum()

@@ -27,7 +27,7 @@ def test_without_article_element():
     [
         (None, ""), ("", ""), ("<nav>menu</nav>", ""), ("plain words", "plain words"), ("<p>a\n  b\t<b>c</b>d</p>", "a b cd"), ("<p>a<br>b</p><p>c", "a b\n\nc"), ("<p>x &amp;amp; y &lt;b&gt; &#8364; &eacute;</p>", "x &amp; y <b> € é"),
         ("<p>one</p><!-- <p>no</p> --><p>two</p>", "one\n\ntwo"), ("<p>a < b and c > d</p>", "a < b and c > d"), ("<p>unclosed <b>bold<p>next", "unclosed bold\n\nnext"), ("<p title='a>b'>x</p>", "x"),
-        ("<script>never closed <p>x</p>", ""), ("<p>shown</p><p hidden>not</p><p style='display: none'>nor this</p>", "shown"), ("<p>" + "word " * 50000 + "</p>", ("word " * 50000).strip()), ("<P>Upper</P><DIV CLASS=AD>buy</DIV>", "Upper"),
+        ("<script>never closed <p>x</p>", ""), ("<head><title>x<body><p>text</p>", "text"), ('<head><script>document.write("<body>");</script></head><body><p>a b</p>', "a b"), ("<p>shown</p><p hidden>not</p><p style='display: none'>nor this</p>", "shown"), ("<p>" + "word " * 50000 + "</p>", ("word " * 50000).strip()), ("<P>Upper</P><DIV CLASS=AD>buy</DIV>", "Upper"),
     ],
 )
 def test_small_pages(page, want):
@@ -47,10 +47,73 @@ def test_articles_of_the_table(spark, sf):
         assert got[p.page_id].text == "\n\n".join(b for b in blocks if b) and got[p.page_id].n_chars == len(got[p.page_id].text)
 
 
+def test_table_without_article_elements(spark, sf):
+    """Weights learned from marked pages find the same texts where the marks are taken away."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    weights = H.fit(pages)
+    rows = pages.collect()
+    same = sum(H.main_text(p.html.replace("<article>", "<div>").replace("</article>", "</div>"), weights) == H.main_text(p.html, weights) for p in rows)
+    assert same >= 0.95 * len(rows)
+
+
+PROSE = " ".join(f"Sentence number {i} of a longer argument goes here." for i in range(30))
+
+
+@pytest.mark.parametrize("name", ["my-related-work", "comments-on-the-theory"])
+@pytest.mark.parametrize("element", ["article", "div"])
+def test_long_names_decide_little(name, element):
+    page = f"<body><nav><a href=/>Home</a></nav><{element}><h1>The title</h1><p>Some words first.</p><div class={name}><p>{PROSE}</p></div><p>A short end.</p></{element}></body>"
+    assert H.main_text(page, H.Weights()) == f"The title\n\nSome words first.\n\n{PROSE}\n\nA short end."
+
+
+@pytest.mark.parametrize("name", ["comment-list", "site-footer-inner", "cookieNotice", "ad-top-2", "widget_area"])
+def test_built_names_decide(name):
+    page = f"<div><h1>The title of this page</h1><p>{PROSE}</p><div class={name}><p>I liked this very much, thank you.</p></div><p>An end that closes the text with some more words than were left out.</p></div>"
+    assert H.main_text(page, H.Weights()) == f"The title of this page\n\n{PROSE}\n\nAn end that closes the text with some more words than were left out."
+
+
+def test_references_are_decoded_in_each_run():
+    assert H.main_text("<p>AT&<b>amp;</b> x</p>", H.Weights()) == "AT&amp; x" and H.main_text("<p>a &lt<i>;</i></p>", H.Weights()) == "a <;"
+
+
+def test_long_adverts_dont_cut_an_article():
+    advert = f"<div class=ad><p>{PROSE}</p></div>"
+    for a, b in (("<article>", "</article>"), ("<div>", "</div>")):
+        page = f"<body><nav><a>x</a></nav>{a}<p>{'one two three ' * 20}</p>{advert}<p>{'four five six ' * 20}</p>{b}</body>"
+        assert H.main_text(page, H.Weights()) == ("one two three " * 20).strip() + "\n\n" + ("four five six " * 20).strip()
+
+
+def test_only_the_article_where_there_is_one():
+    page = f"<body><div><p>{PROSE}</p></div><article><p>Short one.</p><ul><li><a href=/x>x</a></li></ul></article><p>{PROSE}</p></body>"
+    assert H.main_text(page, H.Weights()) == "Short one.\n\nx"
+
+
+def test_best_stretch_against_brute_force():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(300):
+        s = [rng.choice([-2.0, -1.0, 0.0, 1.0, 3.0]) for _ in range(rng.randrange(12))]
+        lo, hi = H.best_stretch(s)
+        every = [sum(s[i:j]) for i in range(len(s) + 1) for j in range(i, len(s) + 1)]
+        assert sum(s[lo:hi]) == max(every) and (hi > lo or max(every) == 0)
+
+
+def test_nesting_costs_linear_time():
+    import time
+
+    began = time.perf_counter()
+    n = 30_000
+    H.main_text("<div><b>" * n + "x" + "</i>" * n, H.Weights())
+    H.main_text("<p>" + "<b>" * n + "<div></div>" * n, H.Weights())
+    H.Counts().add("<article>" + "".join(f"<div class=a{k}>w " for k in range(n)))
+    assert time.perf_counter() - began < 20
+
+
 def test_weights_are_learned(spark):
     rows = [(i, None, f"<body><div class=zork>{'boiler plate words here ' * 3}</div><article><p>{'prose of the page ' * 20}</p></article></body>", 0, "") for i in range(50)]
     df = spark.createDataFrame(rows, PAGE)
-    assert H.fit(df).word[".zork"] < -1
+    assert H.fit(df).odds(".zork") < -1
     unmarked = f"<body><div class=zork>{'boiler plate words here ' * 3}</div><div><p>{'prose of the page ' * 20}</p></div></body>"
     assert H.main_text(unmarked, H.fit(df)) == ("prose of the page " * 20).strip()
 

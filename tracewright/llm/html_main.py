@@ -4,24 +4,36 @@ A page is a sequence of words and tags.  Words score positive and tags
 negative, by weights learned from labelled pages; one linear scan finds the
 contiguous stretch with the highest sum, and its blocks are the main text.
 
-Labelled pages are those with exactly one ``article`` or ``main`` element: what
-is inside counts as content.  Each tag name, class, id and role token gets the
-log odds that words below it are content (with ``PRIOR`` words of prior belief
-from the fixed lists below), each tag also how often it occurs in content.
-Words below something that speaks against content score negative, so that
-adverts or reader comments within an article end up outside its text as well.
-
-Scale: pages are independent; weights are fitted on at most ``SAMPLE`` labelled
-pages (chosen by hash) and hold ``FEATURES`` entries at most.
+Labelled pages are those with exactly one ``article`` element (or, without any,
+one ``main``): what is inside counts as content.  Each tag name and each class, id and
+role token gets the log odds that words below it are content, and each tag how
+often it occurs in content.  A name that training saw little of is judged by its
+parts (``ad-top-2`` by ``ad``): by the mean of what is known of them, so that one word of a
+longer name (``comments-on-the-theory``) decides little.  Beside what was learned stands
+a prior of ``PRIOR`` words; it speaks against the names below, which say
+themselves that they are menus, adverts, forms or reader comments.  That an
+article element holds adverts and comments as well doesn't acquit these.
+
+Words whose odds outweigh their score are left out: within a stretch they count
+at most ``SKIP`` words against it, so that an advert doesn't cut an article in two.  Where a
+page has a labelled element itself, words outside of it score negative and tags inside of it
+nothing.
+
+Scale: pages are independent, and linear in their length whatever their nesting;
+weights are fitted on at most about ``SAMPLE`` distinct labelled pages (chosen by hash).
 
 Defined results: null and empty html give an empty text; broken or unclosed
-markup is read as far as it goes; a page without any content word has an empty
-text; equal rows get equal texts; extra columns are ignored.
+markup is read as far as it goes; character references are decoded in each run of
+text by itself; a page without any content word has an empty text; of equally
+good stretches the first counts; rows are extracted one by one, equal ones alike
+and null ids like any other; an empty table gives no rows; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,14 +42,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table, utf8
 
-SAMPLE, FEATURES, PRIOR, LEAST = 2000, 5000, 200.0, 20
-WORD, TAG = 1.0, -0.2
+SAMPLE, PRIOR, AGAINST = 2000, 50.0, -2.7
+WORD, TAG, SKIP = 1.0, -0.2, 25
 RESULT = "page_id long, url string, text string, n_chars long"
 
 # Elements whose text is never shown, elements that start a block, void elements.
-UNSEEN = "script style noscript template head title svg math iframe object canvas audio video textarea select option datalist button".split()
+UNSEEN = "script style noscript template svg math iframe object canvas audio video textarea select option datalist button".split()
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Names that speak against content, as tags or as class, id and role tokens.
@@ -49,35 +61,43 @@ BAD_TOKENS = frozenset(
 )
 # Elements that say nothing about their words, wherever they were seen.
 PLAIN_TAGS = frozenset("div span section table tbody thead tr td th ul ol li dl dd dt center font b i em strong a u small details figure".split())
-GOOD_TAGS = frozenset("p h1 h2 h3 blockquote pre".split())
+# Parts of names that say what an element is built like, not what it holds; parts that make a header that of the text itself.
+BUILD = frozenset("area bar block body bottom box button buttons card cell col column container content div el element group inner item items layout left list main outer page panel posts right row section site top wrap wrapper".split())
+OWN = frozenset("article blog content entry post story text".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{'|'.join(UNSEEN)})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*+>|(?=<body\b)|\Z)"
+    rf"|<(?P<raw>{'|'.join(UNSEEN)})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"|<(?P<top>head|title)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?:<(?P<inner>script|style)\b.*?</(?P=inner)\s*+>|.)*?(?:</(?P=top)\s*+>|(?=<body\b)|\Z)"
     r"|<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[!?/][^>]*+>"
     r"|<[A-Za-z/][^>]*+>",
     re.S | re.I,
 )
 _ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_PART = re.compile(r"[a-z]+")
+_PART = re.compile("[A-Z]?[a-z]+|[A-Z]+")
+
+
+def parts_of(name: str) -> tuple[str, ...]:
+    """The words of a class, id or role token that may say what it holds."""
+    every = [x.lower() for x in _PART.findall(name)]
+    if "header" in every and not OWN.isdisjoint(every):
+        every = [x for x in every if x != "header"]
+    return tuple(x for x in every if x not in BUILD)
 
 
 def features(name: str, attrs: str) -> tuple[tuple[str, ...], bool]:
-    """Tokens that describe an element, and whether it is hidden."""
+    """The tag (``<tag``) and tokens (``.token``) of an element, and whether it is hidden."""
     out, hidden = [] if name in PLAIN_TAGS else ["<" + name], False
     if attrs and not attrs.isspace():
         for key, a, b, c in _ATTR.findall(attrs):
-            key, value = key.lower(), (a or b or c).lower()
+            key, value = key.lower(), a or b or c
             if key in ("class", "id", "role"):
-                for word in value.split():
-                    out.append("." + word)
-                    parts = _PART.findall(word)
-                    if len(parts) > 1:
-                        out += ["." + p for p in parts]
+                out += ["." + x for x in value.split()]
             elif key == "style":
-                hidden |= "display:none" in value.replace(" ", "") or "visibility:hidden" in value.replace(" ", "")
-            elif key == "hidden" or (key == "aria-hidden" and value == "true"):
+                flat = value.lower().replace(" ", "")
+                hidden |= "display:none" in flat or "visibility:hidden" in flat
+            elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
                 hidden = True
     return tuple(out), hidden
 
@@ -95,147 +115,238 @@ def tokens(page: str) -> Iterator[tuple]:
         yield "text", page[at:]
 
 
-class Weights:
-    """Scores of words and tags."""
+def against(f: str) -> bool:
+    """Whether a feature's name says itself that it isn't content."""
+    return f[1:] in (BAD_TAGS if f[0] == "<" else BAD_TOKENS)
 
-    def __init__(self, word: dict[str, float] | None = None, tag: dict[str, float] | None = None):
-        self.word, self.tag = word or {}, tag or {}
 
-    def below(self, feats: tuple[str, ...], in_article: bool) -> float:
+class Weights:
+    """Log odds of words below a tag, a token or a part of a token (``~part``), and scores of tags."""
+
+    def __init__(self, word: dict[str, tuple[float, float]] | None = None, tag: dict[str, float] | None = None):
+        self.word, self.tag, self._known = word or {}, tag or {}, {}  # word: log odds and words seen
+
+    def odds(self, f: str) -> float:
+        """What a feature says of the words below it: what was learned, with the prior, or the mean of its parts, for the first ``PRIOR`` words."""
+        got = self._known.get(f)
+        if got is None:
+            learned, n = self.word.get(f, (0.0, 0.0))
+            if f[0] == ".":
+                each = [self.odds("~" + x) for x in parts_of(f[1:])]
+                prior = sum(each) / len(each) if each else 0.0
+            else:
+                prior = AGAINST if against(f) else 0.0
+            got = max(-4.0, min(2.0, (n * learned + PRIOR * prior) / (n + PRIOR)))
+            if against(f):
+                got = min(got, AGAINST)
+            if len(self._known) < 100_000:
+                self._known[f] = got
+        return got
+
+    def below(self, feats: tuple[str, ...], in_label: bool) -> float:
         """The least log odds that an element's features give the words below it."""
-        least = 0.0
-        for f in feats:
-            if in_article and f == "<header":  # the heading of the article itself
-                continue
-            w = self.word.get(f)
-            if w is None:
-                w = prior_odds(f)
-            least = min(least, w)
-        return least
-
-
-def prior_odds(f: str) -> float:
-    if f[0] == "<":
-        return -3.0 if f[1:] in BAD_TAGS else 1.0 if f[1:] in GOOD_TAGS else 0.0
-    return -3.0 if f[1:] in BAD_TOKENS else 0.0
-
-
-def walk(page: str, weights: Weights) -> Iterator[tuple]:
-    """('text', raw, log odds, ancestors' features, in article) and ('tag', name, breaks, ...) with open elements tracked."""
-    stack: list[tuple[str, float, tuple[str, ...], bool]] = []
-    for token in tokens(page):
-        odds, article = (stack[-1][1], stack[-1][3]) if stack else (0.0, False)
+        return min((self.odds(f) for f in feats if not (in_label and f == "<header")), default=0.0)
+
+
+def label_of(page: list[tuple]) -> str | None:
+    """The name of the element that marks the content: the only ``article``, or without any the only ``main``."""
+    starts = [t[2] for t in page if t[0] == "tag" and not t[1] and t[2] in ("article", "main")]
+    for name in ("article", "main"):
+        if name in starts:
+            return name if starts.count(name) == 1 else None
+    return None
+
+
+class Open:
+    """An open element: its name, the log odds of words in it, its features, whether it is in the label, and the innermost block before it."""
+
+    __slots__ = ("name", "odds", "feats", "inside", "block", "own")
+
+    def __init__(self, name: str, odds: float, feats: tuple[str, ...], inside: bool, block: int, own: bool):
+        self.name, self.odds, self.feats, self.inside, self.block, self.own = name, odds, feats, inside, block, own
+
+
+def walk(page: list[tuple], weights: Weights, label: str | None, opened=None, closed=None) -> Iterator[tuple]:  # noqa: ANN001
+    """('text', raw, log odds, whether in the label, number of the left-out element) and ('tag', name, whether it breaks a block, whether in the label).
+
+    ``opened`` and ``closed`` are called with the features of elements as these come and go.
+    """
+    stack: list[Open] = []
+    names: Counter = Counter()
+    block, cut = -1, 0  # the innermost open block; how many elements were left out so far
+
+    def pop_to(k: int) -> None:
+        nonlocal block
+        while len(stack) > k:
+            x = stack.pop()
+            names[x.name] -= 1
+            if closed and x.feats:
+                closed(x.feats)
+        block = len(stack) - 1 if stack and stack[-1].name in BLOCKS else stack[-1].block if stack else -1
+
+    for token in page:
+        now = stack[-1] if stack else None
         if token[0] == "text":
-            yield "text", token[1], odds, stack, article
+            yield "text", token[1], now.odds if now else 0.0, bool(now and now.inside), cut
             continue
         _, end, name, attrs = token
         if end:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if names[name]:
+                k = len(stack) - 1
+                while stack[k].name != name:
+                    k -= 1
+                pop_to(k)
         elif name not in VOID and not attrs.endswith("/"):
-            if name in BLOCKS:  # a paragraph ends where another block begins; so does an item
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p" or (name == stack[k][0] and name in ("li", "dd", "dt", "tr", "td", "th")):
-                        del stack[k:]
-                        break
-                    if stack[k][0] in BLOCKS:
-                        break
-            if name in ("article", "main"):  # an unclosed menu doesn't swallow the article
-                while stack and stack[-1][1] < -1.0 and stack[-1][0] in BAD_TAGS | {"ul", "ol", "li", "a", "div"}:
-                    stack.pop()
-            odds, article = (stack[-1][1], stack[-1][3]) if stack else (0.0, False)
+            # a paragraph ends where another block begins; so does an item at the next one
+            if name in BLOCKS and block >= 0 and (stack[block].name == "p" or (stack[block].name == name and name in ("li", "dd", "dt", "tr", "td", "th"))):
+                pop_to(block)
+            if name == label:  # an unclosed menu doesn't swallow the article
+                while stack and stack[-1].odds < -WORD and stack[-1].name in BAD_TAGS | {"ul", "ol", "li", "a", "div"}:
+                    pop_to(len(stack) - 1)
+            now = stack[-1] if stack else None
             feats, hidden = features(name, attrs)
-            own = -9.0 if hidden else weights.below(feats, article)
-            stack.append((name, min(odds, own), feats, article or name in ("article", "main")))
-        yield "tag", name, name in BLOCKS, odds, article
+            marks = name == label
+            own = -9.0 if hidden else 0.0 if marks and weights.below(feats, True) >= -WORD else weights.below(feats, bool(now and now.inside))
+            odds = min(now.odds if now else 0.0, own)
+            if odds < -WORD and not (now and now.odds < -WORD):
+                cut += 1
+            stack.append(Open(name, odds, () if marks or name in ("html", "body") else feats, bool(now and now.inside) or (marks and own >= -WORD), block, marks))
+            names[name] += 1
+            if opened and stack[-1].feats:
+                opened(stack[-1].feats)
+            if name in BLOCKS:
+                block = len(stack) - 1
+        yield "tag", name, name in BLOCKS, bool(stack and stack[-1].inside)
+    pop_to(0)
+
+
+def best_stretch(scores: list[float]) -> tuple[int, int]:
+    """Begin and end of the contiguous stretch with the highest sum; of equal ones the first, empty if none is positive."""
+    best, total, start, lo, hi = 0.0, 0.0, 0, 0, 0
+    for k, score in enumerate(scores):
+        if total <= 0:
+            total, start = 0.0, k
+        total += score
+        if total > best:
+            best, lo, hi = total, start, k + 1
+    return lo, hi
 
 
 def main_text(page: str | None, weights: Weights) -> str:
     """The blocks of the best stretch of ``page``, joined by blank lines."""
     if not page:
         return ""
-    items: list[tuple[float, str | None, bool]] = []  # score, text (None: a tag), whether it breaks a block
-    for x in walk(page, weights):
+    page = list(tokens(page))
+    label = label_of(page)
+    items: list[tuple[str | None, bool]] = []  # text (None: a tag), whether it breaks a block
+    scores: list[float] = []
+    seen = list(walk(page, weights, label))
+    marked = any(x[3] for x in seen)  # the label counts unless it says itself that it is something else
+    left: Counter = Counter()  # words counted against a stretch, by left-out element
+    for x in seen:
         if x[0] == "tag":
-            items.append((weights.tag.get("<" + x[1], TAG), " " if x[1] == "br" else None, x[2]))
+            scores.append(0.0 if marked and x[3] else weights.tag.get("<" + x[1], TAG))
+            items.append((" " if x[1] == "br" else None, x[2]))
+            continue
+        n = len(x[1].split())
+        score = WORD + (x[2] if x[3] or not marked else -4.0)
+        if score >= 0:
+            scores.append(max(score, 0.0) * n)
+            items.append((x[1], False))
         else:
-            good = x[2] > -1.0
-            items.append(((WORD if good else -WORD) * len(x[1].split()), x[1] if good else "", False))
-    best, total, start, lo, hi = 0.0, 0.0, 0, 0, 0
-    for k, (score, _, _) in enumerate(items):
-        if total <= 0:
-            total, start = 0.0, k
-        total += score
-        if total > best:
-            best, lo, hi = total, start, k + 1
+            n = min(n, SKIP - left[x[4]]) if not marked or x[3] else n
+            left[x[4]] += n
+            scores.append(0.0 if marked and x[3] else -WORD * n)
+            items.append(("", False))
+    lo, hi = best_stretch(scores)
     blocks, now = [], []
 
     def close() -> None:
-        text = " ".join(html.unescape("".join(now)).split())
+        text = " ".join("".join(now).split())
         if text:
             blocks.append(text)
         now.clear()
 
-    for _, text, breaks in items[lo:hi]:
+    for text, breaks in items[lo:hi]:
         if text is not None:
-            now.append(text)
+            now.append(html.unescape(text))
         elif breaks:
             close()
     close()
     return "\n\n".join(blocks)
 
 
-_MAIN = re.compile(r"<(article|main)\b", re.I)
+# ------------------------------------------------------------------ learning
+
+
+class Counts:
+    """Words below each feature and tags, inside and outside of labels."""
+
+    def __init__(self):
+        self.word: dict[str, list[int]] = {}
+        self.tag: dict[str, list[int]] = {}
+        self.words = [0, 0]
+        self._open: dict[str, tuple[int, int, int]] = {}  # how often it is open, and the words when it was opened first
+
+    @staticmethod
+    def _all(feats: tuple[str, ...]) -> set[str]:
+        return set(feats) | {"~" + x for f in feats if f[0] == "." for x in parts_of(f[1:])}
+
+    def opened(self, feats: tuple[str, ...]) -> None:
+        for f in self._all(feats):
+            n, a, b = self._open.get(f, (0, *self.words))
+            self._open[f] = (n + 1, a, b)
+
+    def closed(self, feats: tuple[str, ...]) -> None:
+        for f in self._all(feats):
+            n, a, b = self._open.pop(f)
+            if n > 1:
+                self._open[f] = (n - 1, a, b)
+            else:
+                c = self.word.setdefault(f, [0, 0])
+                c[0] += self.words[0] - a
+                c[1] += self.words[1] - b
+
+    def add(self, page: str) -> None:
+        page = list(tokens(page))
+        label = label_of(page)
+        if label is None:
+            return
+        for x in walk(page, Weights(), label, self.opened, self.closed):
+            if x[0] == "text":
+                self.words[0 if x[3] else 1] += len(x[1].split())
+            elif x[1] not in ("article", "main", "html", "body"):
+                for k in ("<" + x[1], "*"):
+                    self.tag.setdefault(k, [0, 0])[0 if x[3] else 1] += 1
 
 
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words below each feature, and tags, inside and outside the labelled content."""
-    word: dict[bool, Counter] = {True: Counter(), False: Counter()}
-    tag: dict[bool, Counter] = {True: Counter(), False: Counter()}
-    blank = Weights()
+    counts = Counts()
     for batch in batches:
-        for page in batch.column(0).to_pylist():
-            if page is None or len(_MAIN.findall(page)) != 1:
-                continue
-            for x in walk(page, blank):
-                if x[0] == "tag":
-                    if x[1] not in ("article", "main", "html", "body"):
-                        tag[x[4]]["<" + x[1]] += 1
-                        tag[x[4]]["*"] += 1
-                else:
-                    n = len(x[1].split())
-                    if n:
-                        word[x[4]]["*"] += n
-                        for f in {f for e in x[3] if e[0] not in ("article", "main", "html", "body") for f in e[2]}:
-                            word[x[4]][f] += n
-    rows = [(kind, f, c[True][f], c[False][f]) for kind, c in (("word", word), ("tag", tag)) for f in c[True].keys() | c[False].keys()]
+        for page in batch.column(0):
+            counts.add(page.as_py())
+    counts.word["*"] = counts.words
+    rows = [(kind, f, a, b) for kind, c in (("word", counts.word), ("tag", counts.tag)) for f, (a, b) in c.items() if a or b]
     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i < 2 else pa.int64()) for i in range(4)], ["kind", "feature", "inside", "outside"])
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> Weights:
-    """Weights from at most about ``sample`` labelled pages (html)."""
-    import math
-
+    """Weights from at most about ``sample`` distinct labelled pages (html)."""
     page = pages.select(F.col("html").cast("string").alias("html")).where(F.col("html").rlike(r"(?i)<(article|main)\b"))
-    n = page.count()
+    n = page.select(F.xxhash64("html").alias("h")).distinct().count()
     if n > sample:
         page = page.where(F.pmod(F.xxhash64("html"), F.lit(1_000_003)) < int(1_000_003 * sample / n))
-    seen = page.mapInArrow(_observe, "kind string, feature string, inside long, outside long")
-    seen = seen.groupBy("kind", "feature").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-    rows = seen.where(F.col("inside") + F.col("outside") >= LEAST).orderBy(F.desc(F.col("inside") + F.col("outside")), "kind", "feature").limit(FEATURES).collect()
+    seen = page.distinct().mapInArrow(_observe, "kind string, feature string, inside long, outside long")
+    rows = seen.groupBy("kind", "feature").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).collect()  # the names of a bounded sample
     total = {r.kind: (r.inside, r.outside) for r in rows if r.feature == "*"}
     word, tag = {}, {}
     for r in rows:
         if r.feature == "*":
             continue
         inside, outside = total.get(r.kind, (1, 1))
-        share = lambda x, all_: (x + 0.5) / (all_ + 1.0)
-        odds = math.log(share(r.inside, inside) / share(r.outside, outside))
+        odds = math.log((r.inside + 0.5) / (inside + 1.0) / ((r.outside + 0.5) / (outside + 1.0)))
         if r.kind == "word":
-            n = r.inside + r.outside
-            word[r.feature] = max(-4.0, min(2.0, (n * odds + PRIOR * prior_odds(r.feature)) / (n + PRIOR)))
+            word[r.feature] = (odds, float(r.inside + r.outside))
         else:
             tag[r.feature] = TAG + max(-2.0, min(0.0, odds / 4))
     return Weights(word, tag)
@@ -244,9 +355,11 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> Weights:
 def _extract(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
     weights = shared.value
     for batch in batches:
-        texts = [main_text(p.as_py(), weights) for p in batch.column(2)]
-        cols = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-        yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "text", "n_chars"])
+        _, offs = utf8(batch.column(2))
+        for i, j in slices(offs):
+            texts = [main_text(p.as_py(), weights) for p in batch.column(2).slice(i, j - i)]
+            cols = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame, weights: Weights | None = None) -> DataFrame:

@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tracewright.llm import embedding_dedup as E
 
@@ -67,3 +69,37 @@ def test_full_lists_hide_no_links(spark, monkeypatch):
     # with an audit of about one vector, so that it doesn't find the links itself
     monkeypatch.setattr(E, "AUDIT", 1)
     assert run(spark, rows) == want
+
+
+def test_null_ids_and_wide_vectors(spark):
+    rng = np.random.default_rng(3)
+    wide = rng.standard_normal(20_000)
+    rows = [(None, [1.0, 0.0], 1, "z"), (None, None, 1, "z"), (1, [1.0, 0.0], 1, "z"), (2, wide.tolist(), 1, "z"), (3, (wide * 2 + 1e-3).tolist(), 1, "z")]
+    got = sorted(tuple(r) for r in E.near_vectors(spark.createDataFrame(rows, VEC)).collect())
+    assert got == [(1, 0, 1, True, 1.0), (2, 1, 2, True, 1.0), (3, 1, 2, False, 1.0)]
+
+
+def test_too_little_recall_is_an_error(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [1.0, float(i % 3)], 1, "z") for i in range(9)], VEC)
+    assert E.near_vectors(rows).count() == 9
+    monkeypatch.setattr(E, "LEAST_RECALL", 1.5)
+    with pytest.raises(RuntimeError, match="audited links"):
+        E.near_vectors(rows)
+
+
+def test_hubs_take_part_in_few_neighbourhoods(spark):
+    graph = spark.createDataFrame([(u, 0, 0.5) for u in range(1, 5000)], "u long, v long, s float").withColumn("h", F.xxhash64("u", "v"))
+    got = E._sampled(graph, "v", "u", 64)
+    assert 50 <= got.count() <= 64 and got.select("v").distinct().count() == 1
+
+
+def test_handed_on_edges_are_the_nearest(spark):
+    """Each member keeps its best within a neighbourhood, and only those nearer than the last of its list."""
+    rng = np.random.default_rng(1)
+    x = np.array([E.unit(v) for v in rng.standard_normal((20, 8))])
+    rows = [(0, [(i, x[i].astype(np.float32).tobytes(), -2.0 if i % 2 else 0.3) for i in range(20)])]
+    group = spark.createDataFrame(rows, "c long, g array<struct<m:long,x:binary,low:float>>").select("g")
+    got = {(r.u, r.v) for r in group.mapInArrow(lambda it: E._local_join(it, 4), E.EDGES).collect()}
+    s = x @ x.T - 3 * np.eye(20)
+    want = {(i, int(j)) for i in range(20) for j in np.argsort(-s[i])[:4] if s[i, j] > (-2.0 if i % 2 else 0.3)}
+    assert got == want

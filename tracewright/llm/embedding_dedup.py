@@ -3,7 +3,10 @@
 A neighbour graph is started from blocks of vectors that lie together in
 orders sorted by random projections, then refined: each round, every vector
 looks among the neighbours (and those that name it) of its neighbours, and
-keeps its ``K`` most similar.  Threshold edges join vectors into components.
+keeps its ``K`` most similar; only what is nearer than the last of a list is
+handed on.  A vector takes part in the neighbourhoods of at most ``HUB * K`` of those that
+name it in a round (chosen by hash anew each time), so a hub costs no more than that.
+Threshold edges join vectors into components.
 
 A vector whose whole list reaches the threshold is saturated: its list may hide
 links, so saturated vectors of different components are compared in full where
@@ -16,15 +19,17 @@ emitted, whatever the group's size.
 
 Recall is audited: ``AUDIT`` vectors (chosen by hash) are compared with all
 others; while they have links that the graph lacks, another round follows, with
-longer lists.  The links the audit finds join the graph as well.
+longer lists.  The links the audit finds join the graph as well, and the share that the
+graph had by itself is returned; below ``LEAST_RECALL`` there is no result but an error.
 
 Similarities are in single precision while searching and in double precision
 where they decide.  Equal directions are folded into one row first.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; vectors of different length don't link; equal
-vectors link; rows that share a vec_id are one vector (the first by content);
-an empty table gives no rows; extra columns are ignored.
+vectors link; rows that share a vec_id are one vector (the first by content); rows
+without a vec_id take no part and give no row; an empty table gives no rows; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import components, materialize, partitions, release, table, utf8
 
 THRESHOLD, K, TREES, BLOCK, ROUNDS, AUDIT, GROUP = 0.95, 12, 6, 256, 2, 256, 512
-MORE_ROUNDS = 3
+MORE_ROUNDS, LEAST_RECALL, HUB = 5, 0.9, 16
 EDGES = "u long, v long, s float"
 
 
@@ -129,20 +134,29 @@ def _block_edges(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Recor
 
 
 def _local_join(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Members of each neighbourhood against one another: each keeps its ``k`` best."""
+    """Members of each neighbourhood against one another: each keeps its ``k`` best, if they are nearer than the last of its list."""
     for batch in batches:
-        u, v, s = [], [], []
+        found = []
         for group in batch.column(0):
             members = group.values
             ids = np.asarray(members.field("m"))
-            a = best_in_block(ids, matrix(members.field("x"), np.float32), k)
-            u.append(a[0]), v.append(a[1]), s.append(a[2])
-        if u:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (u, v, s)], ["u", "v", "s"])
+            u, v, s = best_in_block(ids, matrix(members.field("x"), np.float32), k)
+            near = s > np.repeat(np.asarray(members.field("low")), min(k, len(ids) - 1))
+            found.append((u[near], v[near], s[near]))
+        if found:
+            u, v, s = (np.concatenate(c) for c in zip(*found))
+            order = np.lexsort((v, -s, u))
+            u, v, s = u[order], v[order], s[order]
+            new = np.ones(len(u), bool)
+            new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])  # equal pairs have equal similarities and lie together
+            u, v, s = u[new], v[new], s[new]
+            begin = np.flatnonzero(np.append(True, u[1:] != u[:-1])) if len(u) else np.zeros(0, np.int64)
+            rank = np.arange(len(u)) - np.repeat(begin, np.diff(np.append(begin, len(u))))
+            yield pa.RecordBatch.from_arrays([pa.array(c[rank < k]) for c in (u, v, s)], ["u", "v", "s"])
 
 
 def top_lists(edges: DataFrame, k: int) -> DataFrame:
-    """The ``k`` most similar neighbours of each vector (lists come from bounded blocks, so groups here are bounded too)."""
+    """The ``k`` most similar neighbours of each vector (it is in a bounded number of blocks or neighbourhoods, which give ``k`` each)."""
     one = edges.groupBy("u", "v").agg(F.max("s").alias("s"))
     best = one.groupBy("u").agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "v")), asc=False), 1, k).alias("l"))
     return best.select("u", F.explode("l").alias("e")).select("u", F.col("e.v").alias("v"), F.col("e.s").alias("s"))
@@ -150,22 +164,23 @@ def top_lists(edges: DataFrame, k: int) -> DataFrame:
 
 def descend(graph: DataFrame, vectors: DataFrame, k: int, round_: int) -> DataFrame:
     """One round: candidates among neighbours and reverse neighbours that share a neighbour."""
-    forward = graph.select(F.col("u").alias("c"), F.col("v").alias("m"))
-    # of those that name a vector, a sample of k by hash: a hub's neighbourhood stays bounded
-    back = graph.select(F.col("v").alias("c"), F.struct(F.xxhash64("u", "v", F.lit(round_)).alias("h"), F.col("u").alias("m")).alias("r"))
-    back = _sampled(back, k)
+    named = graph.select("u", "v", F.xxhash64("u", "v", F.lit(round_)).alias("h"))
+    forward = _sampled(named, "v", "u", HUB * k).select(F.col("u").alias("c"), F.col("v").alias("m"))
+    back = _sampled(named, "v", "u", k).select(F.col("v").alias("c"), F.col("u").alias("m"))
     own = graph.select(F.col("u").alias("c"), F.col("u").alias("m"))
     member = forward.union(back).union(own).distinct()
-    member = member.join(vectors.select(F.col("vec_id").alias("m"), F.col("x32").alias("x"), "dim"), "m")
-    groups = member.groupBy("c", "dim").agg(F.collect_list(F.struct("m", "x")).alias("g")).where(F.size("g") > 1).select("g")
+    low = graph.groupBy("u").agg(F.when(F.count("*") >= k, F.min("s")).otherwise(F.lit(-2.0)).cast("float").alias("low"))
+    known = vectors.select(F.col("vec_id").alias("m"), F.col("x32").alias("x"), "dim").join(low.withColumnRenamed("u", "m"), "m")
+    member = member.join(known, "m")
+    groups = member.groupBy("c", "dim").agg(F.collect_list(F.struct("m", "x", "low")).alias("g")).where(F.size("g") > 1).select("g")
     found = groups.mapInArrow(lambda it: _local_join(it, k), EDGES)
     return top_lists(graph.union(found), k)
 
 
-def _sampled(back: DataFrame, k: int) -> DataFrame:
-    """About ``k`` reverse neighbours of each vector, by hash, with partial aggregation: one of each of ``k`` hash cells."""
-    cell = back.groupBy("c", F.pmod(F.col("r.h"), F.lit(k)).alias("cell")).agg(F.min("r").alias("r"))
-    return cell.select("c", F.col("r.m").alias("m"))
+def _sampled(rows: DataFrame, by: str, other: str, n: int) -> DataFrame:
+    """At most ``n`` rows of each ``by``, spread by their hash h, with partial aggregation: one of each of ``n`` hash cells."""
+    cell = rows.groupBy(by, F.pmod("h", F.lit(n)).alias("cell")).agg(F.min(F.struct("h", other)).alias("r"))
+    return cell.select(by, F.col(f"r.{other}").alias(other))
 
 
 def _exact(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -261,7 +276,8 @@ def hidden_links(graph: DataFrame, label: DataFrame, vectors: DataFrame, k: int,
     deal = max(1, -(-balls.count() // GROUP))
     row = F.collect_list(F.struct("ball", "comp", "mean", "radius"))
     blocks = balls.groupBy("dim", F.pmod(F.xxhash64("ball", F.lit(4)), F.lit(deal)).alias("block"))
-    met = blocks.agg(row.alias("f")).select("dim", "f").join(blocks.agg(row.alias("h")).select("dim", "h"), "dim").select("f", "h").repartition(n)
+    one = blocks.agg(row.alias("f")).select("dim", "f", F.explode(F.sequence(F.lit(0), F.lit(deal - 1))).alias("block"))
+    met = one.join(blocks.agg(row.alias("h")), ["dim", "block"]).select("f", "h").repartition(n)
     near = materialize(met.mapInArrow(lambda it: _near_balls(it, threshold), "one long, two long"), "nn-near")
     one, two = balls.select(F.col("ball").alias("one"), F.col("g").alias("f")), balls.select(F.col("ball").alias("two"), F.col("g").alias("h"))
     both = near.join(one, "one").join(two, "two").select("f", "h").repartition(n)
@@ -336,21 +352,22 @@ def count_links(members: DataFrame, threshold: float) -> DataFrame:
     small = sized.where(F.col("size") <= GROUP).groupBy("comp").agg(F.collect_list(F.struct("vec_id", "x", "copies")).alias("g")).select("g")
     out = small.mapInArrow(lambda it: _count_small(it, threshold), "vec_id long, n_links long")
     large = sized.where(F.col("size") > GROUP).select("comp", "vec_id", "x", "copies", "size")
-    means = large.select("comp", "x").mapInArrow(_sums, "comp long, sum array<double>").groupBy("comp").agg(F.collect_list("sum").alias("l"))
-    means = means.select("comp", F.aggregate(F.slice("l", 2, F.greatest(F.size("l"), F.lit(1))), F.element_at("l", 1), lambda a, b: F.zip_with(a, b, lambda p, q: p + q)).alias("mean"))
-    angled = large.join(F.broadcast(means), "comp").select("comp", "vec_id", "x", "mean", "copies")
+    sums = large.select("comp", "x").mapInArrow(_sums, "comp long, sum array<double>").select("comp", F.posexplode("sum").alias("i", "s"))
+    means = sums.groupBy("comp", "i").agg(F.sum("s").alias("s")).groupBy("comp").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda p: p["s"]).alias("mean"))
+    angled = large.join(means, "comp").select("comp", "vec_id", "x", "mean", "copies")
     angled = materialize(angled.mapInArrow(_angles, "comp long, vec_id long, x binary, angle double, copies long"), "nn-angles")
     half = float(np.arccos(threshold)) / 2 - 1e-9
     angled = angled.withColumn("cap", F.col("angle") <= half)
     inside = angled.where("cap").groupBy("comp").agg(F.sum("copies").alias("all"))
-    capped = angled.where("cap").join(F.broadcast(inside), "comp").select("vec_id", (F.col("all") - 1).alias("n"))
-    # the rest, in blocks of GROUP, against all blocks of their component
-    cell = lambda name, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.ceil(F.col("size") / GROUP).cast("long")).alias(name)
-    withsize = angled.join(F.broadcast(size.where(F.col("size") > GROUP)), "comp")
+    capped = angled.where("cap").join(inside, "comp").select("vec_id", (F.col("all") - 1).alias("n"))
+    # the rest, in blocks of GROUP, against all blocks of their component, each two of them by a key of their own
+    cells = F.ceil(F.col("size") / GROUP).cast("long")
+    cell = lambda name, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), cells).alias(name)
+    withsize = angled.join(size.where(F.col("size") > GROUP), "comp")
     row = F.struct("vec_id", "x", "copies", "cap")
     blocks = withsize.groupBy("comp", cell("cell", 1)).agg(F.collect_list(row).alias("g"))
-    edge = withsize.where("not cap").groupBy("comp", cell("mine", 2)).agg(F.collect_list(row).alias("f"))
-    met = edge.join(blocks, "comp").select("f", "g").repartition(n)
+    edge = withsize.where("not cap").groupBy("comp", "size", cell("mine", 2)).agg(F.collect_list(row).alias("f"))
+    met = edge.select("comp", "f", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1)).alias("cell")).join(blocks, ["comp", "cell"]).select("f", "g").repartition(n)
     fringe = met.mapInArrow(lambda it: _count_blocks(it, threshold), "vec_id long, n long")
     outside = angled.where("not cap").select("vec_id", (F.col("copies") - 1).alias("n"))
     total = capped.union(outside).union(fringe).groupBy("vec_id").agg(F.sum("n").cast("long").alias("n_links"))
@@ -361,7 +378,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept, audit_recall for every vec_id of ``vectors`` (vec_id, embedding)."""
     spark = vectors.sparkSession
     n = partitions(spark)
-    raw = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
+    raw = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     units = raw.mapInArrow(_units, "vec_id long, x binary, x32 binary, dim int").groupBy("vec_id").agg(F.min(F.struct("dim", "x", "x32")).alias("v"))
     units = materialize(units.select("vec_id", "v.x", "v.x32", "v.dim"), "nn-units")
     valid = units.where("dim > 0")
@@ -402,13 +419,15 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         k = 2 * k  # a longer list finds what a short one, full of nearer neighbours, couldn't hold
         release(links)
         release(label)
+    recall = 1.0 - lost / wanted if wanted else 1.0
+    if recall < LEAST_RECALL:
+        raise RuntimeError(f"the neighbour graph holds only {recall:.3f} of the audited links after {done} rounds")
     hidden = hidden_links(graph, label, reps, k, threshold)
     if lost or hidden.limit(1).count():
         links = links.union(hidden)
         label = materialize(components(links.union(missed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), "nn-cc2"), "nn-label")
     members = label.withColumnRenamed("id", "vec_id").join(reps, "vec_id").select(F.col("component_id").alias("comp"), "vec_id", "x", "copies")
     counted = materialize(count_links(members, threshold).join(label.withColumnRenamed("id", "vec_id"), "vec_id"), "nn-counts")
-    recall = 1.0 - lost / wanted if wanted else 1.0
     by_class = fold.join(counted.select(F.col("vec_id").alias("rep"), "n_links", "component_id"), "rep", "left")
     by_class = by_class.select("dim", "digest", F.coalesce("n_links", F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     out = units.withColumn("digest", F.sha2("x", 256)).join(by_class, ["dim", "digest"], "left")
@@ -417,7 +436,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_vectors(table(spark, sf_dir, "embeddings")).drop("audit_recall")
+    return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 ORACLE = """
@@ -428,6 +447,6 @@ link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.
 n AS (SELECT a, count(*) AS n FROM link GROUP BY a),
 r AS (SELECT vec_id AS a, vec_id AS c FROM v UNION SELECT link.b, r.c FROM r JOIN link ON link.a = r.a WHERE r.c < link.b),
 m AS (SELECT a, min(c) AS c FROM r GROUP BY a)
-SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(m.c, e.vec_id) AS component_id, coalesce(m.c, e.vec_id) = e.vec_id AS kept
-FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN m ON m.a = e.vec_id
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(m.c, e.vec_id) AS component_id, coalesce(m.c, e.vec_id) = e.vec_id AS kept, CAST(1 AS DOUBLE) AS audit_recall
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN m ON m.a = e.vec_id WHERE e.vec_id IS NOT NULL
 """

@@ -260,8 +260,8 @@ v AS (
   FROM (SELECT *, unnest(generate_series(1, len(ws))) AS p FROM f WHERE len(ws) >= 4)),
 near AS (
   SELECT a.doc_id, a.line FROM v a JOIN v b ON a.v = b.v AND a.p = b.p AND (b.doc_id, b.line) < (a.doc_id, a.line)
-  UNION SELECT a.doc_id, a.line FROM v a JOIN f b ON a.v = b.norm AND len(b.ws) >= 8 AND (b.doc_id, b.line) < (a.doc_id, a.line)
-  UNION SELECT b.doc_id, b.line FROM v a JOIN f b ON a.v = b.norm AND len(b.ws) >= 8 AND (a.doc_id, a.line) < (b.doc_id, b.line)),
+  UNION SELECT a.doc_id, a.line FROM v a JOIN f b ON a.v = b.norm AND len(b.ws) >= 4 AND (b.doc_id, b.line) < (a.doc_id, a.line)
+  UNION SELECT b.doc_id, b.line FROM v a JOIN f b ON a.v = b.norm AND len(b.ws) >= 4 AND (a.doc_id, a.line) < (b.doc_id, b.line)),
 s AS (SELECT doc_id, line FROM f EXCEPT SELECT doc_id, line FROM near),
 j AS (SELECT o.*, s.line IS NOT NULL AS stays FROM o LEFT JOIN s USING (doc_id, line)),
 k AS (SELECT doc_id, count(*) AS n FROM near GROUP BY doc_id),

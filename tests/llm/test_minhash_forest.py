@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from tracewright.llm import minhash_forest as M
 from tracewright.llm import textkernel as K
@@ -86,7 +88,7 @@ def test_large_groups(spark):
 def test_empty_and_null_ids(spark):
     assert M.near_duplicates(spark.createDataFrame([], DOC)).count() == 0
     rows = spark.createDataFrame([(None, "a b c d e f", "x", 1), (1, "a b c d e f", "x", 1), (1, "a b c d e f", "x", 1), (2, "a b c d e f", None, None)], DOC)
-    assert [tuple(r) for r in M.near_duplicates(rows).orderBy("doc_id").collect()] == [(1, 2, 1, True), (2, 2, 1, False)]
+    assert [tuple(r) for r in M.near_duplicates(rows).orderBy("doc_id").collect()] == [(1, 2, 1, True, 1.0), (2, 2, 1, False, 1.0)]
     assert sorted((r.doc_id is None, r.doc_id) for r in M.keep_first(rows).collect()) == [(False, 1), (False, 1), (True, None)]
 
 
@@ -141,3 +143,50 @@ def test_group_around_a_late_text(spark):
     want = brute(rows)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {c for _, c in want.values()} == {0} and got == want
+
+
+def test_candidates_do_not_depend_on_batches():
+    """Depths, candidates and crowded texts are the same however sorted rows are cut into batches."""
+    rng = np.random.default_rng(7)
+    key = np.sort(rng.integers(0, 3, (400, M.DEPTH)).astype(">u2").view(f"S{2 * M.DEPTH}").ravel())
+    key = key.astype(f"S{2 * M.DEPTH}")
+    raw = [bytes(k).ljust(2 * M.DEPTH, b"\0") for k in key]
+    bits = [bytes(M.TREES * M.DEPTH // 8)] * 400
+    whole = pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], 200).astype(np.int32)), pa.array(raw, pa.binary()), pa.array(rng.permutation(400)), pa.array(bits, pa.binary())], ["tree", "key", "doc_id", "bits"])
+
+    def run(size):
+        out = M._neighbours(iter([whole.slice(i, size) for i in range(0, 400, size)]), 0.5)
+        return sorted({(a, b) for batch in out for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())})
+
+    want = run(400)
+    assert want and all(run(size) == want for size in (1, 7, 19, 50, 399))
+
+
+def test_audit_sees_what_the_forest_lacks(spark, monkeypatch):
+    """Without any candidates every link of an audited text is missed: that is an error; with a low bar it is mended."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(40):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(60)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[:-1], "end"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.audit_recall for r in M.near_duplicates(df).collect()} == {1.0}
+    monkeypatch.setattr(M, "links_of", lambda pairs, sets, per_cent: pairs.select("a", "b").where("false"))
+    with pytest.raises(RuntimeError, match="audited links"):
+        M.near_duplicates(df)
+    monkeypatch.setattr(M, "LEAST_RECALL", 0.0)
+    got = M.near_duplicates(df).collect()
+    assert {r.audit_recall for r in got} == {0.0} and {(r.doc_id, r.component_id) for r in got} == {(i, i - i % 2) for i in range(80)}
+
+
+def test_long_texts(spark):
+    """Texts of a hundred thousand words are compared whole."""
+    rng = random.Random(12)
+    w = [f"w{rng.randrange(10**6)}" for _ in range(100_000)]
+    near, far = [*w], [*w]
+    for at in rng.sample(range(100_000), 2000):
+        near[at] = "n"
+    for at in rng.sample(range(100_000), 9000):
+        far[at] = "f"
+    rows = [(3, " ".join(w)), (1, " ".join(near)), (2, " ".join(far))]
+    assert {r.doc_id: r.component_id for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1: 1, 2: 2, 3: 1}

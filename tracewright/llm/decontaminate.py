@@ -90,26 +90,9 @@ class Items:
         return found, np.append(begin, len(order)), self.of[own][order], place[order]
 
 
-class Lookup:
-    """Positions of known hashes among many."""
-
-    def __init__(self, known: np.ndarray):
-        self.known = known
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[(known >> np.uint64(44)).astype(np.int64)] = True
-
-    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(self.seen[(x >> np.uint64(44)).astype(np.int64)])
-        if not len(at) or not len(self.known):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        k = np.searchsorted(self.known, x[at])
-        ok = self.known[np.minimum(k, len(self.known) - 1)] == x[at]
-        return at[ok], k[ok]
-
-
 def _count(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
     """How many documents hold each n-gram of the items, and (gram -1) how many there are."""
-    known = Lookup(shared.value.grams)
+    known = K.Lookup(shared.value.grams)
     df, rows = np.zeros(len(known.known), np.int64), 0
     for batch in batches:
         data, offs = utf8(batch.column(1))
@@ -152,7 +135,7 @@ def smith_waterman(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
 
 def _align(batches: Iterator[pa.RecordBatch], shared, threshold: float) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
     items, (seeds, begin, of_item, place) = shared.value
-    known = Lookup(seeds)
+    known = K.Lookup(seeds)
     length = np.diff(items.at)
     need = threshold * MATCH * length
     counted = [Counter(items.h[a:b].tolist()) for a, b in zip(items.at[:-1], items.at[1:])]

@@ -9,16 +9,22 @@ asked for adapts, from ``LEAST_DEPTH`` to ``MOST_DEPTH``: where more than
 confirmed on full shingle sets.  Texts that share ``MOST_DEPTH`` slots with more
 others than the window holds are joined exactly, by a prefix filter (``crossing``).
 
+Recall is audited in every run: about ``AUDIT`` texts (chosen by hash) are compared with
+all others by their full sets.  Links that the forest lacks join the result, and the share
+of those it had is returned; below ``LEAST_RECALL`` there is no result but an error.
+
 Scale: texts with equal sets are folded into one representative before any
 comparison, so a group of copies costs one row.  The sorted orders are range
 partitioned (a dense region spreads over tasks), each text meets at most
 ``WINDOW`` successors in each tree, and confirmed links are needed only until a
 group hangs together: pairs that are already connected are not compared again.
+Sets are compared within the JVM, two at a time, so that long texts need no large batches.
 
 Defined results: null or blank texts have an empty set and link with nothing;
 texts below five words have one shingle; rows that share an id give one row,
 which links what any of them links, with the larger set's size; rows without an
-id take no part; an empty table gives no rows; extra columns are ignored.
+id take no part; an empty table gives no rows; extra columns are ignored, whatever
+their names.  Texts count as equal if number, sum and mixed sum of their 64-bit shingle hashes are.
 """
 
 from __future__ import annotations
@@ -31,11 +37,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import binary_column, components, fixed_binary, materialize, partitions, release, slices, spread, table, utf8
+from .common import components, fixed_binary, materialize, partitions, release, slices, spread, table, utf8
 
 WORDS, THRESHOLD = 5, 0.75
 TREES, DEPTH, WINDOW, REGION, LEAST_DEPTH, MOST_DEPTH, BLOCK, LOADS = 16, 8, 2, 16, 1, 3, 256, 17
+AUDIT, AUDIT_SHINGLES, LEAST_RECALL = 64, 1 << 20, 0.9
 _A, _B = K.stream(11, TREES * DEPTH) | np.uint64(1), K.stream(12, TREES * DEPTH)
+SETS = "doc_id long, hashes array<long>"
 _BITS = np.uint8([bin(i).count("1") for i in range(256)])
 
 
@@ -71,16 +79,41 @@ def _sketches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """The sorted shingle hashes of each text as bytes."""
+    """The sorted shingle hashes of each text."""
     for batch in batches:
         data, offs = utf8(batch.column(1))
         for i, j in slices(offs):
             h, at = K.word_hashes(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             x, _, start = K.shingles(h, at, n)
             each = [np.unique(x[a:b]) for a, b in zip(start[:-1], start[1:])]
-            ends = np.concatenate([[0], np.cumsum([8 * len(s) for s in each])])
-            raw = np.frombuffer(np.concatenate([*each, np.zeros(0, np.uint64)]).tobytes(), np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), binary_column(raw, ends)], ["doc_id", "hashes"])
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in each])]).astype(np.int32)
+            values = np.concatenate([*each, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["doc_id", "hashes"])
+
+
+def _audited(batches: Iterator[pa.RecordBatch], shared, n: int, per_cent: int) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    """All links (a, b) of the audited texts a, by comparing full sets."""
+    ids, sizes, known, begin, owner = shared.value
+    look = K.Lookup(known)
+    for batch in batches:
+        own = np.asarray(batch.column(0))
+        data, offs = utf8(batch.column(1))
+        for i, j in slices(offs):
+            h, at = K.word_hashes(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            x, of, start = K.shingles(h, at, n)
+            pos, k = look.find(x)
+            if not len(pos):
+                continue
+            pair = np.unique(of[pos] * len(known) + k)  # each shingle of a text once
+            doc, k = pair // len(known), pair % len(known)
+            many = begin[k + 1] - begin[k]
+            entry = np.arange(many.sum()) + np.repeat(begin[k] - (np.cumsum(many) - many), many)
+            key, both = np.unique(np.repeat(doc, many) * len(ids) + owner[entry], return_counts=True)
+            doc, who = key // len(ids), key % len(ids)
+            size = {d: len(np.unique(x[start[d] : start[d + 1]])) for d in np.unique(doc).tolist()}
+            union = sizes[who] + np.array([size[d] for d in doc.tolist()], np.int64) - both
+            good = (100 * both >= per_cent * union) & (ids[who] != own[i + doc])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[who[good]]), pa.array(own[i + doc[good]])], ["a", "b"])
 
 
 def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,85 +146,78 @@ def adaptive_depth(lcp: np.ndarray) -> np.ndarray:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch], least_bits: float) -> Iterator[pa.RecordBatch]:
-    """Candidates among sorted rows; the last rows of a batch are looked at again with the next one.
+    """Candidates among sorted rows, the same however the rows come in batches.
 
-    Regions are judged within a batch; the rows around a partition's edge still
-    meet in the other trees, whose partitions end elsewhere.
+    What is asked of a row depends on the ``REGION`` rows on either side, so a row waits
+    until those behind it have come, and those before it are kept.
 
     A text that shares ``MOST_DEPTH`` slots with more texts than it can meet here,
     or that lies at a partition's edge, is given as a pair with itself: it is crowded.
     """
-    tail = None
-
-    def crowded(ids: np.ndarray) -> pa.RecordBatch:
-        ids = np.unique(ids)
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids), pa.array(np.zeros(len(ids)))], ["a", "b", "agree"])
+    width, wait = TREES * DEPTH, WINDOW + REGION
 
-    width = TREES * DEPTH
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        now = (
-            np.asarray(batch.column(0)),
-            np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u2").reshape(n, DEPTH),
-            np.asarray(batch.column(2)),
-            np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(n, width // 8),
-        )
-        old = 0
-        if tail is not None:
-            old = len(tail[0])
-            now = tuple(np.concatenate([a, b]) for a, b in zip(tail, now))
-        tree, key, ids, bits = now
+    def found(rows: tuple, lo: int, hi: int, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
+        """Pairs of rows lo to hi - 1 with those behind them, and the crowded ones of them."""
+        tree, key, ids, bits = rows
         same = (key[:-1] == key[1:]) & (tree[:-1] == tree[1:])[:, None]
         lcp = np.where(same.all(axis=1), DEPTH, same.argmin(axis=1))
         depth = adaptive_depth(lcp)
         start = np.concatenate([[0], np.flatnonzero(lcp < MOST_DEPTH) + 1])
         size = np.diff(np.append(start, len(ids)))
         many = size > WINDOW + 1
-        many[0] |= not old
-        yield crowded(ids[np.repeat(many, size)])
-        last = ids[start[-1] :]
-        pa_, pb_, pe_ = [], [], []
-        shared = lcp.copy()
+        many[0] |= first
+        many[-1] |= last
+        crowded = np.unique(ids[lo:hi][np.repeat(many, size)[lo:hi]])
+        a_, b_, agree_ = [crowded], [crowded], [np.zeros(len(crowded))]
+        shared = lcp
         for step in range(1, WINDOW + 1):
             if step > 1:
                 shared = np.minimum(shared[:-1], lcp[step - 1 :])
             if not len(shared):
                 break
-            a = np.flatnonzero((shared >= np.minimum(depth[:-step], depth[step:])) & (np.arange(len(shared)) + step >= old))
+            a = np.flatnonzero(shared[lo:hi] >= np.minimum(depth[:-step], depth[step:])[lo:hi]) + lo
             agree = 1 - _BITS[bits[a] ^ bits[a + step]].sum(axis=1) / width
-            good = agree >= least_bits
-            a, agree = a[good], agree[good]
-            pa_.append(np.minimum(ids[a], ids[a + step]))
-            pb_.append(np.maximum(ids[a], ids[a + step]))
-            pe_.append(agree)
-        tail = tuple(x[-WINDOW - 1 :] for x in now)
-        if pa_:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (pa_, pb_, pe_)], ["a", "b", "agree"])
-    if tail is not None:
-        yield crowded(last)
-
-
-def _confirm(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.RecordBatch]:
+            a, agree = a[agree >= least_bits], agree[agree >= least_bits]
+            a_.append(np.minimum(ids[a], ids[a + step]))
+            b_.append(np.maximum(ids[a], ids[a + step]))
+            agree_.append(agree)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a_, b_, agree_)], ["a", "b", "agree"])
+
+    held, done, first = None, 0, True
     for batch in batches:
-        keep = np.zeros(batch.num_rows, bool)
-        for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if 100 * min(len(x), len(y)) < per_cent * max(len(x), len(y)):
-                continue
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep[k] = 100 * both >= per_cent * (len(x) + len(y) - both)
-        where = pa.array(np.flatnonzero(keep))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where)], ["a", "b"])
+        n = batch.num_rows
+        if not n:
+            continue
+        now = (
+            np.asarray(batch.column(0)),
+            np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u2").reshape(n, DEPTH),
+            np.asarray(batch.column(2)),
+            np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(n, width // 8),
+        )
+        held = now if held is None else tuple(np.concatenate([a, b]) for a, b in zip(held, now))
+        ready = len(held[0]) - wait
+        if ready > done:
+            yield from found(held, done, ready, first, False)
+            keep = max(0, ready - REGION)
+            held, done, first = tuple(x[keep:] for x in held), ready - keep, first and keep == 0
+    if held is not None:
+        yield from found(held, done, len(held[0]), first, True)
+
+
+def links_of(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """The ``pairs`` (a, b) whose sets are similar enough."""
+    x = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x"), F.size("hashes").alias("nx"))
+    y = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"), F.size("hashes").alias("ny"))
+    both = pairs.select("a", "b").join(x, "a").join(y, "b").where(f"100 * least(nx, ny) >= {per_cent} * greatest(nx, ny)")
+    both = both.select("a", "b", "nx", "ny", F.size(F.array_intersect("x", "y")).alias("k"))
+    return both.where(f"100 * k >= {per_cent} * (nx + ny - k)").select("a", "b")
 
 
 def _loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many shingles fall into each of ``2 ** LOADS`` cells of hashes."""
     total = np.zeros(1 << LOADS, np.int64)
     for batch in batches:
-        raw, _ = utf8(batch.column(0))
-        h = np.frombuffer(raw.tobytes(), np.uint64)
+        h = np.asarray(batch.column(0).flatten()).view(np.uint64)
         total += np.bincount((h >> np.uint64(64 - LOADS)).astype(np.int64), minlength=1 << LOADS)
     cell = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[cell])], ["load", "n"])
@@ -208,7 +234,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], shared, per_cent: int) -> Itera
     for batch in batches:
         token, at, size, long_ = [], [], [], []
         for x in batch.column(2):
-            h = np.frombuffer(x.as_buffer(), np.uint64)
+            h = np.asarray(x.values).view(np.uint64)
             probe, _ = prefix_lengths(len(h), per_cent)
             token.append(h[np.lexsort((h, load[h >> np.uint64(64 - LOADS)]))[:probe]].view(np.int64))
             at.append(np.arange(probe, dtype=np.int32))
@@ -263,8 +289,31 @@ def between(pairs: DataFrame, links: DataFrame, label: DataFrame) -> DataFrame:
     return rest.select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).distinct()
 
 
+def audit(texts: DataFrame, sketch: DataFrame, reps: DataFrame, words: int, per_cent: int) -> DataFrame:
+    """All links (a, b) between about ``AUDIT`` representatives, chosen by hash, and any representative."""
+    spark = texts.sparkSession
+    few = max(1, reps.count() // AUDIT)
+    own = reps.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(few)) == 0)
+    size = sketch.select("doc_id", "n_shingles").join(own, "doc_id").groupBy("doc_id").agg(F.max("n_shingles").alias("n")).orderBy(F.xxhash64("doc_id")).limit(4 * AUDIT).collect()
+    chosen, total = [], 0
+    for r in size:  # a bounded number of texts with a bounded number of shingles in all, but one text at least
+        if total + r.n <= AUDIT_SHINGLES or not chosen:
+            chosen.append(r.doc_id)
+            total += r.n
+    rows = texts.where(F.col("doc_id").isin(chosen)).mapInArrow(lambda it: _sets(it, words), SETS).where("size(hashes) > 0").collect()
+    ids = np.array([r.doc_id for r in rows], np.int64)
+    each = [np.array(r.hashes, np.int64).view(np.uint64) for r in rows]
+    every = np.concatenate([*each, np.zeros(0, np.uint64)])
+    order = np.argsort(every, kind="stable")
+    known, begin = np.unique(every[order], return_index=True)
+    owner = np.repeat(np.arange(len(ids)), [len(x) for x in each])[order]
+    shared = spark.sparkContext.broadcast((ids, np.array([len(x) for x in each], np.int64), known, np.append(begin, len(every)), owner))
+    found = texts.mapInArrow(lambda it: _audited(it, shared, words, per_cent), "a long, b long")
+    return materialize(found.join(reps.withColumnRenamed("doc_id", "b"), "b", "left_semi").where("a <> b").distinct(), "mh-truth")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every distinct doc_id of ``docs`` (doc_id, text)."""
+    """doc_id, n_shingles, component_id, kept, audit_recall for every distinct doc_id of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     per_cent = round(100 * threshold)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -285,15 +334,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     written = materialize(pairs.groupBy("a", "b").agg(F.max("agree").alias("agree")), "mh-pairs")
     pairs, crowded = written.where("a <> b"), written.where("a = b").select(F.col("a").alias("doc_id"))
     involved = written.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # merged whatever the sizes: broadcasting the ids at small sizes would only hide that texts are shuffled once
-    sets = texts.join(involved.hint("merge"), "doc_id").mapInArrow(lambda it: _sets(it, words), "doc_id long, hashes binary")
-    sets = materialize(spread(sets, "doc_id"), "mh-sets")
-
-    def confirmed(some: DataFrame, name: str) -> DataFrame:
-        x = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x"))
-        y = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"))
-        both = some.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y")
-        return materialize(both.mapInArrow(lambda it: _confirm(it, per_cent), "a long, b long"), name)
+    # dealt by id once: long texts, and the work on their sets, spread evenly
+    sets = spread(texts, "doc_id").join(involved, "doc_id").mapInArrow(lambda it: _sets(it, words), SETS)
+    sets = materialize(sets, "mh-sets")
+    confirmed = lambda some, name: materialize(links_of(some, sets, per_cent), name)
 
     # First every text's likeliest partner, then whatever still crosses from one group to another.
     either = pairs.select("a", "b", "agree", F.col("a").alias("me")).union(pairs.select("a", "b", "agree", F.col("b").alias("me")))
@@ -308,14 +352,24 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
             break
         links, tried = links.union(more), tried.union(rest)
     # what the windows left out, in full
-    found = confirmed(crossing(label, crowded, sets, per_cent), "mh-found")
-    label = materialize(components(links.union(found), "mh-cc2"), "mh-label2").select(F.col("id").alias("rep"), F.col("component_id").alias("cid"))
+    links = links.union(confirmed(crossing(label, crowded, sets, per_cent), "mh-found"))
+    label = materialize(components(links, "mh-cc2"), "mh-label2")
+    truth = audit(texts, sketch, classes.select(F.col("rep").alias("doc_id")).distinct(), words, per_cent)
+    la, lb = (label.select(F.col("id").alias(c), F.col("component_id").alias(f"c{c}")) for c in "ab")
+    missed = truth.join(la, "a", "left").join(lb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    wanted, lost = truth.count(), missed.count()
+    recall = 1.0 - lost / wanted if wanted else 1.0
+    if recall < LEAST_RECALL:
+        raise RuntimeError(f"the forest found only {recall:.3f} of the audited links")
+    if lost:
+        label = materialize(components(links.union(missed), "mh-cc3"), "mh-label3")
+    label = label.select(F.col("id").alias("rep"), F.col("component_id").alias("cid"))
     by_class = materialize(classes.join(label, "rep", "left").select("fp_a", "fp_b", "n_shingles", F.coalesce("cid", "rep").alias("cid")), "mh-class-label")
     out = sketch.select("doc_id", "n_shingles", "fp_a", "fp_b").join(by_class, ["fp_a", "fp_b", "n_shingles"], "left")
     release(written)
     release(sets)
     out = out.select("doc_id", "n_shingles", F.coalesce("cid", "doc_id").alias("component_id"))
-    return out.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id")).withColumn("audit_recall", F.lit(recall))
 
 
 def op7_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,6 +394,6 @@ both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b O
 link AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
 e AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
 r AS (SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.a WHERE r.c < e.b)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept, CAST(1 AS DOUBLE) AS audit_recall
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(c) AS c FROM r GROUP BY a) m ON m.a = d.doc_id
 """

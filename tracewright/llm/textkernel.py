@@ -118,3 +118,21 @@ def shingles(h: np.ndarray, at: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.
         order = np.argsort(who, kind="stable")
         x, who = x[order], who[order]
     return x, who, np.searchsorted(who, np.arange(len(count) + 1))
+
+
+class Lookup:
+    """Positions of known hashes (sorted) among many."""
+
+    def __init__(self, known: np.ndarray):
+        self.known = known
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[(known >> U64(44)).astype(np.int64)] = True
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``x`` known hashes are, and which."""
+        at = np.flatnonzero(self.seen[(x >> U64(44)).astype(np.int64)])
+        if not len(at) or not len(self.known):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        k = np.searchsorted(self.known, x[at])
+        ok = self.known[np.minimum(k, len(self.known) - 1)] == x[at]
+        return at[ok], k[ok]

@@ -174,16 +174,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["row", "text", "n_lines", "n_kept"]
     for batch in batches:
-        out, lines, kept = [], [], []
-        for text, stay in zip(batch.column(1), batch.column(2)):
-            text, stay = text.as_py(), set(stay.as_py() or ())
-            parts = [] if text is None else text.split("\n")
-            solid = [bool(p.strip(" \t\n\x0b\x0c\r")) for p in parts]
-            keep = [p for k, p in enumerate(parts) if not solid[k] or k in stay]
-            lines.append(sum(solid))
-            kept.append(sum(1 for k, s in enumerate(solid) if s and k in stay))
-            out.append(None if text is None else "\n".join(keep))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(lines, pa.int64()), pa.array(kept, pa.int64())], names)
+        _, offs = utf8(batch.column(1))
+        for i, j in slices(offs):
+            out, lines, kept = [], [], []
+            for text, stay in zip(batch.column(1).slice(i, j - i), batch.column(2).slice(i, j - i)):
+                text, stay = text.as_py(), set(stay.as_py() or ())
+                parts = [] if text is None else text.split("\n")
+                solid = [bool(p.strip(" \t\n\x0b\x0c\r")) for p in parts]
+                keep = [p for k, p in enumerate(parts) if not solid[k] or k in stay]
+                lines.append(sum(solid))
+                kept.append(sum(1 for k, s in enumerate(solid) if s and k in stay))
+                out.append(None if text is None else "\n".join(keep))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(out, pa.string()), pa.array(lines, pa.int64()), pa.array(kept, pa.int64())], names)
 
 
 def near_lines(texts: DataFrame, first: DataFrame) -> DataFrame:

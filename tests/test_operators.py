@@ -158,3 +158,31 @@ def test_positions(spark):
     df = spark.createDataFrame(rows, "g string, v long")
     for most in (1_000_000, 0):
         assert {r.g: (r.p50, r.p99) for r in pick(df, "g", "v", places, most).collect()} == want
+
+
+def test_containment_over_many_ranges(spark):
+    """A thread that spreads over ranges, below a span that holds all of it, with links across."""
+    rng = random.Random(4)
+    rows = [("root", 1, 0, 10**6, "r", None)]
+    for i in range(600):
+        link = rng.choice([None, None, None, "r", "s5", "s77", f"s{rng.randrange(600)}"])
+        rows.append((f"f{i % 5}", 1 if i % 4 else 2, rng.randrange(5000), rng.randrange(1, 300), f"s{i}", link))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "17")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = hierarchy.containment(frame(spark, rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = {r.seq: r.parent_seq for r in out}
+    want = model_parents(rows)
+    assert got == want
+    for r in out:
+        path, at, seen = [], r.seq, set()
+        while at is not None and at not in seen:
+            seen.add(at)
+            path.insert(0, rows[at][0])
+            at = want[at]
+        if at is None:  # no circle
+            assert [x.split("\x1f")[0] for x in r.path] == path

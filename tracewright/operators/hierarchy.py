@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +35,8 @@ def cross_thread_children(spans: DataFrame) -> DataFrame:
     return both.select("seq", "name", "pid", "tid", "parent", "ppid", "ptid", "duration_ns")
 
 
-def depths(spans: DataFrame, most: int = 64) -> DataFrame:
-    """Depth of each span below its root along parent links, ``most`` at most.
+def depths(spans: DataFrame) -> DataFrame:
+    """Depth of each span below its root along parent links, whatever it is; null where links lead in a circle.
 
     Pointer doubling: each round joins every span to its ancestor's ancestor, so
     the number of rounds is the logarithm of the greatest depth; lineage is cut
@@ -45,81 +48,158 @@ def depths(spans: DataFrame, most: int = 64) -> DataFrame:
     link = link.join(known, "parent", "left").select("span_id", F.when(F.col("known"), F.col("parent")).alias("parent"))
     state = link.select("span_id", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("depth"))
     steps, state = 1, cut(state)
-    while steps < most and state.where("up is not null").limit(1).count():
+    number = state.count()
+    while steps <= number and state.where("up is not null").limit(1).count():
         two = state.select(F.col("span_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
         state = cut(state.join(two, "up", "left").select("span_id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth")))
         steps *= 2
-    return state.select("span_id", "depth")
+    return state.select("span_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
 
 
 # ------------------------------------------------------------------ containment tree
 
-PIECE = 8192
-_TREE = "pid long, tid long, seq long, name string, category string, duration_ns long, parent_seq long, path array<string>"
+_ROW = "pid long, tid long, seq long, name string, category string, start_ns long, end_ns long, duration_ns long, said long, part int"
+_TREE = "pid long, tid long, seq long, name string, category string, duration_ns long, parent_seq long, fragment long, path array<string>"
+_OPEN = "part int, pid long, tid long, first boolean, empty_at long, seqs array<long>, ends array<long>, keys array<string>, linked array<boolean>"
 
 
-def _nest(rows: pd.DataFrame) -> pd.DataFrame:
-    """Parents within one thread: an explicit link first, else the open span that holds this one.
+class _Stack:
+    """The open spans of one thread, each with its path from the fragment it is in.
 
-    Rows come in order of (start, seq).  Spans that ended are dropped from the
-    stack; the top is the parent only if it ends no sooner than the span; every
-    span goes on the stack.
+    A fragment is what hangs below a span with an explicit parent; its paths begin there.
     """
-    own = {s: i for i, s in enumerate(rows["span_id"]) if s}
-    start, end, link = rows["start_ns"].to_numpy(), rows["end_ns"].to_numpy(), rows["parent_span_id"].to_numpy()
-    seq = rows["seq"].to_numpy()
-    parent, stack = [-1] * len(rows), []
-    for i in range(len(rows)):
-        while stack and end[stack[-1]] <= start[i]:
-            stack.pop()
-        said = own.get(link[i]) if link[i] else None
-        if said is not None and said != i:
-            parent[i] = said
-        elif stack and end[stack[-1]] >= end[i]:
-            parent[i] = stack[-1]
-        stack.append(i)
-    key = (rows["name"].fillna("") + "\x1f" + rows["category"].fillna("")).tolist()
-    paths: list[list[str] | None] = [None] * len(rows)
-
-    def path(i: int) -> list[str]:
-        todo, seen = [], set()
-        while i >= 0 and paths[i] is None and i not in seen:
-            seen.add(i)
-            todo.append(i)
-            i = parent[i]
-        base = paths[i] if i >= 0 and paths[i] is not None else []
-        for j in reversed(todo):
-            base = [*base, key[j]]
-            paths[j] = base
-        return base
-
-    out = rows[["pid", "tid", "seq", "name", "category", "duration_ns"]].copy()
-    out["path"] = [path(i) if paths[i] is None else paths[i] for i in range(len(rows))]
-    out["parent_seq"] = pd.array([None if p < 0 else int(seq[p]) for p in parent], dtype="Int64")
-    return out[["pid", "tid", "seq", "name", "category", "duration_ns", "parent_seq", "path"]]
+
+    def __init__(self) -> None:
+        self.seqs: list[int] = []
+        self.ends: list[int] = []
+        self.keys: list[str] = []
+        self.linked: list[bool] = []
+        self.paths: list[list[str]] = []
+        self.fragments: list[int | None] = []
+
+    def close(self, now: int) -> None:
+        """Spans that ended go, as long as they are on top."""
+        while self.ends and self.ends[-1] <= now:
+            for x in (self.seqs, self.ends, self.keys, self.linked, self.paths, self.fragments):
+                x.pop()
+
+    def push(self, seq: int, end: int, key: str, linked: bool) -> int | None:
+        """Put a span on top; its parent is the one below, if that ends no sooner."""
+        parent = None
+        if linked:
+            path, fragment = [key], seq
+        elif self.ends and self.ends[-1] >= end:
+            parent, path, fragment = self.seqs[-1], [*self.paths[-1], key], self.fragments[-1]
+        else:
+            path, fragment = [key], None
+        for x, v in ((self.seqs, seq), (self.ends, end), (self.keys, key), (self.linked, linked), (self.paths, path), (self.fragments, fragment)):
+            x.append(v)
+        return parent
+
+
+def _threads(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Thread and (seq, start, end, key, whether linked) of each row."""
+    name, category = (["" if x is None else x for x in batch.column(c).to_pylist()] for c in (3, 4))
+    pid, tid, seq, start, end = (batch.column(c).to_pylist() for c in (0, 1, 2, 5, 6))
+    linked = batch.column(8).is_valid().to_pylist()
+    for k in range(batch.num_rows):
+        yield (pid[k], tid[k]), (seq[k], start[k], end[k], name[k] + "\x1f" + category[k], linked[k])
+
+
+def _open_at_the_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a part leaves open of its first and of its last thread, and when nothing of its own was open last: then it closes what ended before."""
+    out, now, stack, part, empty, first = [], None, _Stack(), 0, 0, True
+
+    def keep() -> None:
+        out.append((part, *now, first, empty, stack.seqs, stack.ends, stack.keys, stack.linked))
+
+    for batch in batches:
+        if batch.num_rows:
+            part = batch.column(9)[0].as_py()
+        for thread, (seq, start, end, key, linked) in _threads(batch):
+            if thread != now:
+                if now is not None and first:
+                    keep()
+                first, now, stack = now is None, thread, _Stack()
+            stack.close(start)
+            if not stack.ends:
+                empty = start
+            stack.push(seq, end, key, linked)
+    if now is not None:
+        keep()
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.bool_())]
+    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], [c.split()[0] for c in _OPEN.split(", ")])
+
+
+def _carried(left_open: list) -> dict[int, tuple]:
+    """For each part, its first thread's open spans from all parts before."""
+    out: dict[int, tuple] = {}
+    thread, stack = None, _Stack()
+    for r in left_open:  # two rows a part at most, in order
+        if (r.pid, r.tid) != thread:
+            thread, stack = (r.pid, r.tid), _Stack()
+        elif r.first and stack.ends:
+            out[r.part] = (thread, list(stack.seqs), list(stack.ends), list(stack.keys), list(stack.linked))
+        stack.close(r.empty_at)
+        for x in zip(r.seqs, r.ends, r.keys, r.linked):
+            stack.push(*x)
+    return out
+
+
+def _nested(batches: Iterator[pa.RecordBatch], carried: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
+    """Parents and paths of a part's spans, after what earlier parts left open."""
+    now, stack = None, _Stack()
+    for batch in batches:
+        parents, fragments, paths = [], [], []
+        for thread, (seq, start, end, key, linked) in _threads(batch):
+            if thread != now:
+                before = carried.get(batch.column(9)[0].as_py()) if now is None else None
+                now, stack = thread, _Stack()
+                if before is not None and before[0] == thread:
+                    for x in zip(*before[1:]):
+                        stack.push(*x)
+            stack.close(start)
+            parents.append(stack.push(seq, end, key, linked))
+            fragments.append(stack.fragments[-1])
+            paths.append(stack.paths[-1])
+        said = batch.column(8)
+        own = pc.if_else(said.is_valid(), said, pa.array(parents, pa.int64()))
+        cols = [*(batch.column(c) for c in (0, 1, 2, 3, 4, 7)), own, pa.array(fragments, pa.int64()), pa.array(paths, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in _TREE.split(", ")])
 
 
 def containment(spans: DataFrame) -> DataFrame:
     """Each timed span with its parent in the thread's call tree and its path of names.
 
-    A thread is first cut, in SQL, where no earlier span is still open: such
-    pieces can't share a stack (unless linked explicitly, which keeps a thread
-    whole), so the state machine runs on pieces, not on whole threads.
+    The parent is the span that an explicit link names in the same thread, else the open span that
+    holds this one.  Spans are dealt to ranges of (thread, start), so a thread of any size spreads
+    over tasks.  A first pass finds what each range leaves open of its first and last thread - as much
+    as spans nest; these stacks are put together on the driver, two for each range -, a second one finds the
+    parents.  Paths below explicit links are completed by pointer doubling; links that lead in a circle add nothing to them.
     """
     rows = spans.where("duration_ns > 0").select("pid", "tid", "seq", "name", "category", "start_ns", "end_ns", "duration_ns", "span_id", "parent_span_id")
-    w = Window.partitionBy("pid", "tid").orderBy("start_ns", "seq")
-    open_until = F.max("end_ns").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    linked = F.max(F.when(F.coalesce("parent_span_id", F.lit("")) != "", 1).otherwise(0)).over(Window.partitionBy("pid", "tid"))
-    rows = rows.withColumn("new", F.when((linked == 0) & (F.col("start_ns") >= open_until), 1).otherwise(0))
-    # many short pieces go together, so that a group is worth a call
-    rows = rows.withColumn("place", F.row_number().over(w))
-    begin = F.max(F.when(F.col("new") == 1, F.col("place"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("piece", F.floor(F.coalesce(begin, F.lit(0)) / PIECE)).drop("new", "place")
-
-    def nest(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _nest(pdf.sort_values(["start_ns", "seq"], kind="stable").reset_index(drop=True))
-
-    return rows.groupBy("pid", "tid", "piece").applyInPandas(nest, _TREE)
+    named = rows.where("coalesce(span_id, '') <> ''").groupBy("pid", "tid", F.col("span_id").alias("parent_span_id")).agg(F.max_by("seq", F.struct("start_ns", "seq")).alias("said"))
+    rows = rows.join(named, ["pid", "tid", "parent_span_id"], "left").withColumn("said", F.when(F.col("said") != F.col("seq"), F.col("said"))).drop("span_id", "parent_span_id")
+    order = ("pid", "tid", "start_ns", "seq")
+    names = [c.split()[0] for c in _ROW.split(", ")]
+    parts = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).select(*names))
+    left_open = parts.mapInArrow(_open_at_the_end, _OPEN).collect()  # two rows a part at most
+    carried = rows.sparkSession.sparkContext.broadcast(_carried(sorted(left_open, key=lambda r: (r.part, not r.first))))
+    tree = parts.mapInArrow(lambda it: _nested(it, carried.value), _TREE)
+    linked = parts.where("said is not null").select("seq", "said")
+    if linked.limit(1).count() == 0:
+        return tree.drop("fragment")
+    tree = cut(tree)
+    above = tree.select(F.col("seq").alias("said"), F.col("fragment").alias("up"), F.col("path").alias("pre"))
+    state = cut(linked.join(above, "said").select(F.col("seq").alias("fragment"), "up", "pre"))
+    steps, number = 1, state.count()
+    while steps <= number and state.where("up is not null").limit(1).count():
+        two = state.select(F.col("fragment").alias("up"), F.col("up").alias("up2"), F.col("pre").alias("pre2"))
+        state = cut(state.join(two, "up", "left").select("fragment", F.col("up2").alias("up"), F.concat(F.coalesce("pre2", F.array().cast("array<string>")), "pre").alias("pre")))
+        steps *= 2
+    done = state.where("up is null").select("fragment", "pre")
+    out = tree.join(done, "fragment", "left").withColumn("path", F.concat(F.coalesce("pre", F.array().cast("array<string>")), "path"))
+    return out.select("pid", "tid", "seq", "name", "category", "duration_ns", "parent_seq", "path")
 
 
 def call_tree(spans: DataFrame) -> DataFrame:

@@ -26,9 +26,37 @@ query(
     "link_depths",
     ", r AS (SELECT a.span_id, cast(0 AS bigint) AS depth FROM spans a LEFT JOIN spans b ON a.parent_span_id = b.span_id WHERE b.span_id IS NULL UNION ALL SELECT c.span_id, r.depth + 1 FROM spans c JOIN r ON c.parent_span_id = r.span_id) SELECT span_id, depth FROM r",
     "spans",
-)(lambda s, d: hierarchy.depths(V.spans(s, d), 4096))
-query("containment_tree")(lambda s, d: hierarchy.call_tree(V.spans(s, d).withColumn("parent_span_id", F.lit(None).cast("string"))))
-query("trace_tree")(lambda s, d: hierarchy.trace_tree(V.spans(s, d).withColumn("parent_span_id", F.lit(None).cast("string"))))
+)(lambda s, d: hierarchy.depths(V.spans(s, d)))
+# Open spans of each thread, row by row: those that ended go from the top; the top holds the span if it ends no sooner.
+_NEST = """, x AS (SELECT *, row_number() OVER (PARTITION BY pid, tid ORDER BY start_ns, seq) AS n FROM spans WHERE duration_ns > 0),
+st AS (
+  SELECT x.pid, x.tid, x.n, x.seq, cast(NULL AS bigint) AS held, [{'s': x.seq, 'e': x.end_ns}] AS open FROM x WHERE n = 1
+  UNION ALL
+  SELECT pid, tid, n, seq, CASE WHEN len(left_) > 0 AND left_[len(left_)].e >= end_ns THEN left_[len(left_)].s END, list_append(left_, {'s': seq, 'e': end_ns})
+  FROM (SELECT x.*, st.open[1:coalesce(list_max(list_transform(generate_series(1, len(st.open)), lambda i: CASE WHEN st.open[i].e > x.start_ns THEN i ELSE 0 END)), 0)] AS left_ FROM st JOIN x ON x.pid = st.pid AND x.tid = st.tid AND x.n = st.n + 1)),
+own AS (SELECT pid, tid, span_id, arg_max(seq, (start_ns, seq)) AS said FROM x WHERE coalesce(span_id, '') <> '' GROUP BY ALL),
+par AS (SELECT x.pid, x.tid, x.seq, x.name, x.category, x.duration_ns, coalesce(nullif(own.said, x.seq), st.held) AS parent_seq FROM x JOIN st ON st.seq = x.seq LEFT JOIN own ON own.pid = x.pid AND own.tid = x.tid AND own.span_id = x.parent_span_id),
+way AS (
+  SELECT pid, tid, seq, duration_ns, [name || chr(31) || category] AS path FROM par WHERE parent_seq IS NULL
+  UNION ALL SELECT par.pid, par.tid, par.seq, par.duration_ns, list_append(way.path, par.name || chr(31) || par.category) FROM par JOIN way ON par.parent_seq = way.seq),
+node AS (SELECT pid, tid, path, cast(sum(duration_ns) AS bigint) AS total_ns, count(*) AS count FROM way GROUP BY ALL),
+below AS (SELECT pid, tid, path[1:len(path) - 1] AS path, cast(sum(total_ns) AS bigint) AS below_ns FROM node WHERE len(path) > 1 GROUP BY ALL),
+tree AS (SELECT node.*, greatest(0, total_ns - coalesce(below_ns, 0)) AS self_ns FROM node LEFT JOIN below ON below.pid = node.pid AND below.tid = node.tid AND below.path = node.path)
+"""
+_joined = lambda df: df.withColumn("path", F.array_join("path", ";"))
+query("containment", _NEST + "SELECT par.pid, par.tid, par.seq, parent_seq, array_to_string(path, ';') AS path FROM par JOIN way USING (seq)", "spans")(lambda s, d: _joined(hierarchy.containment(V.spans(s, d)).select("pid", "tid", "seq", "parent_seq", "path")))
+query(
+    "containment_tree",
+    _NEST + "SELECT pid, tid, array_to_string(path, ';') AS path, cast(len(path) - 1 AS integer) AS depth, split_part(path[len(path)], chr(31), 1) AS name, split_part(path[len(path)], chr(31), 2) AS category, total_ns, count, self_ns FROM tree",
+    "spans",
+)(lambda s, d: _joined(hierarchy.call_tree(V.spans(s, d))))
+query(
+    "trace_tree",
+    _NEST + """, r AS (SELECT *, 'Thread ' || cast(tid AS varchar) || ' (pid ' || cast(pid AS varchar) || ')' AS root FROM tree)
+SELECT root AS path, 0 AS depth, 'other' AS category, cast(sum(total_ns) AS bigint) AS total_ns, cast(sum(count) AS bigint) AS count FROM r WHERE len(path) = 1 GROUP BY root
+UNION ALL SELECT root || ';' || array_to_string(path, ';'), cast(len(path) AS integer), split_part(path[len(path)], chr(31), 2), total_ns, count FROM r""",
+    "spans",
+)(lambda s, d: _joined(hierarchy.trace_tree(V.spans(s, d))))
 query(
     "parent_child_orders",
     ", p AS (SELECT id, name, category FROM nested WHERE kind = 'parent') SELECT p.name AS parent_name, c.name, count(*) AS count, cast(sum(c.duration_ns) AS bigint) AS total_ns FROM nested c JOIN p ON c.parent = p.id GROUP BY p.name, c.name",

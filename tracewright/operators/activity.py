@@ -37,8 +37,8 @@ def sync_analysis(spans: DataFrame) -> DataFrame:
     """Synchronising calls by name: shares of wall time and of all synchronisation, and whom they wait for."""
     rows = S.with_parent(spans.select("seq", "name", "category", "duration_ns", "span_id", "parent_span_id", "pid", "tid")).where("category = 'sync'")
     by = rows.groupBy("name").agg(F.count("*").alias("count"), F.sum("duration_ns").alias("total_ns"), F.slice(F.array_sort(F.collect_set("parent_name")), 1, 3).alias("waiting_for"))
-    every = F.sum("total_ns").over(Window.partitionBy())
-    out = S.with_wall(by.withColumn("pct_of_sync", F.when(every > 0, F.lit(100.0) * F.col("total_ns") / every)), spans)
+    every = F.col("every_")
+    out = S.with_wall(S.with_sum(by, "total_ns").withColumn("pct_of_sync", F.when(every > 0, F.lit(100.0) * F.col("total_ns") / every)).drop("every_"), spans)
     return out.withColumn("pct_wall", F.lit(100.0) * F.col("total_ns") / F.col("wall_ns")).drop("wall_ns")
 
 

@@ -15,8 +15,8 @@ def hotspots(spans: DataFrame) -> DataFrame:
     by = spans.groupBy("category", "name").agg(
         F.count("*").alias("count"), F.sum("duration_ns").alias("total_ns"), F.min("duration_ns").alias("min_ns"), F.max("duration_ns").alias("max_ns")
     )
-    every = F.sum("total_ns").over(Window.partitionBy())  # over groups, not spans
-    return by.withColumns({"avg_ns": F.col("total_ns") / F.col("count"), "pct": F.when(every > 0, F.lit(100.0) * F.col("total_ns") / every).otherwise(0.0)})
+    out = S.with_sum(by, "total_ns")
+    return out.withColumns({"avg_ns": F.col("total_ns") / F.col("count"), "pct": F.when(F.col("every_") > 0, F.lit(100.0) * F.col("total_ns") / F.col("every_")).otherwise(0.0)}).drop("every_")
 
 
 def sorted_hotspots(spans: DataFrame, by: str = "total_ns", n: int = 20) -> DataFrame:
@@ -70,8 +70,8 @@ def category_overview(spans: DataFrame, last: int = 14) -> DataFrame:
     # Spark keeps the first ranks of each partition before it shuffles
     recent = spans.select("category", "seq", "duration_ns").withColumn("k", F.row_number().over(w.orderBy(F.desc("seq")))).where(F.col("k") <= last)
     recent = recent.groupBy("category").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "duration_ns"))), lambda x: x["duration_ns"]).alias("recent"))
-    every = F.sum("total_ns").over(Window.partitionBy())
-    out = by_category(spans).withColumns({"pct": F.lit(100.0) * F.col("total_ns") / every, "avg_ns": F.col("total_ns") / F.col("count")})
+    out = S.with_sum(by_category(spans), "total_ns")
+    out = out.withColumns({"pct": F.lit(100.0) * F.col("total_ns") / F.col("every_"), "avg_ns": F.col("total_ns") / F.col("count")}).drop("every_")
     return out.join(p99, "category").join(recent, "category")
 
 

@@ -8,14 +8,25 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 
 
+def within(inner: DataFrame, small: str, outer: DataFrame, large: str, size: int = 4) -> DataFrame:
+    """(small, large): texts of ``inner`` with those of ``outer`` that hold them.
+
+    A text is looked up by its first ``size`` characters (all, if it has fewer) among the pieces
+    of that length of the others: an equal join, whatever the sizes.
+    """
+    key = inner.select(F.col(small), F.left(F.col(small), F.lit(size)).alias("k"))
+    at = F.explode(F.sequence(F.lit(1), F.greatest(F.length(large), F.lit(1))))
+    pieces = outer.select(F.col(large), at.alias("i")).select(large, F.explode(F.array(*[F.substring(F.col(large), F.col("i"), F.lit(n)) for n in range(size + 1)])).alias("k")).distinct()
+    return key.join(pieces, "k").where(F.col(large).contains(F.col(small))).select(small, large).distinct()
+
+
 def kernel_binding(spans: DataFrame, kernels: DataFrame) -> DataFrame:
     """Which disassembled kernel (kernel, pos) each span name belongs to.
 
     In order: the same name; the name's short form; a kernel whose short form or
     suffix is that; a kernel name within the span's name or the other way round
-    (the first in order of disassembly).  Only distinct names are compared; the
-    substring step is a nested loop over names that nothing else has bound,
-    against the table of kernels, whose size is that of a binary's symbol table.
+    (the first in order of disassembly).  Only distinct names are compared, and the
+    substring step, for names that nothing else has bound, is a join by pieces of names.
     """
     want = spans.select("name").distinct().withColumn("short", N.short_kernel(F.col("name")))
     have = kernels.groupBy("kernel").agg(F.min("pos").alias("pos"))
@@ -26,7 +37,7 @@ def kernel_binding(spans: DataFrame, kernels: DataFrame) -> DataFrame:
     step = want.join(exact, "name", "left").join(short, "short", "left").join(alias.withColumnRenamed("alias", "short"), "short", "left")
     step = step.select("name", F.coalesce("k1", "k2", "k3").alias("kernel"))
     open_ = step.where("kernel is null").select("name")
-    part = open_.join(F.broadcast(have), F.col("name").contains(F.col("kernel")) | F.col("kernel").contains(F.col("name")))
+    part = within(have, "kernel", open_, "name").unionByName(within(open_, "name", have, "kernel").select("kernel", "name")).join(have, "kernel")
     part = part.groupBy("name").agg(F.min_by("kernel", "pos").alias("kernel"))
     return step.where("kernel is not null").unionByName(part)
 

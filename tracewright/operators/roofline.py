@@ -225,7 +225,7 @@ def by_device(metrics: DataFrame) -> DataFrame:
 
 
 def raster(metrics: DataFrame, device: DataFrame, width: int = 60, height: int = 16) -> list[str]:
-    """A roofline in characters (driver-side; the points of a plot are few)."""
+    """A roofline in characters: kernels by letter, A to Z and a to z in turn (driver-side; the points of a plot are few)."""
     import math
 
     a = axis_ranges(metrics, device).first()
@@ -237,8 +237,8 @@ def raster(metrics: DataFrame, device: DataFrame, width: int = 60, height: int =
         r = row(min(x * d.bandwidth_gbs / 1000, d.fp32_tflops))
         if 0 <= r < height:
             grid[r][c] = "─" if x * d.bandwidth_gbs / 1000 >= d.fp32_tflops else "╱"
-    for k, p in enumerate(points(metrics, device).orderBy("kernel").limit(52).collect()):
+    for k, p in enumerate(points(metrics, device).orderBy("kernel").collect()):
         c, r = round((math.log10(p.x) - a.x_lo) / (a.x_hi - a.x_lo) * (width - 1)), row(p.y)
         if 0 <= c < width and 0 <= r < height:
-            grid[r][c] = chr(65 + k) if k < 26 else chr(71 + k)
+            grid[r][c] = chr(65 + k % 52) if k % 52 < 26 else chr(71 + k % 52)
     return ["".join(line) for line in grid]

@@ -35,6 +35,11 @@ def wall(spans: DataFrame) -> DataFrame:
     return spans.agg(F.greatest(F.max("end_ns") - low, F.lit(1)).cast("bigint").alias("wall_ns"), low.alias("t0"))
 
 
+def with_sum(groups: DataFrame, column: str) -> DataFrame:
+    """``groups`` with the sum of a column over all of them as every_: one row, joined to each."""
+    return groups.crossJoin(F.broadcast(groups.agg(F.sum(column).alias("every_"))))
+
+
 def with_wall(df: DataFrame, spans: DataFrame) -> DataFrame:
     """``df`` with wall_ns; one row, so the join is a broadcast of a single value."""
     return df.crossJoin(F.broadcast(wall(spans)).select("wall_ns")) if "wall_ns" not in df.columns else df

@@ -19,7 +19,7 @@ def summary(spans: DataFrame, counters: DataFrame | None = None, top: int = 20)
     out = []
     if counters is not None:
         out.append("Counters")
-        out += [f"  {r.name:<40} {r.value:>16,.2f}" for r in A.last_values(counters).orderBy("name").limit(200).collect()]
+        out += [f"  {r.name:<40} {r.value:>16,.2f}" for r in A.last_values(counters).orderBy("name").collect()]
     out.append("Categories")
     out += [f"  {r.category:<12} {r['count']:>10,} {r.t:>12}" for r in H.by_category(spans).orderBy(F.desc("total_ns")).select("category", "count", fmt_ns(F.col("total_ns")).alias("t")).collect()]
     out.append(f"Hotspots (top {top})")
@@ -55,5 +55,5 @@ def roofline_json(metrics: DataFrame, device: DataFrame) -> str:
     """Lines, points and axes of a roofline plot."""
     axes = R.axis_ranges(metrics, device).first().asDict()
     lines = [r.asDict() for r in R.ceilings(device, metrics if "occupancy_pct" in metrics.columns else None).collect()]
-    points = [r.asDict() for r in R.points(metrics, device).orderBy("kernel").limit(10_000).collect()]
+    points = [r.asDict() for r in R.points(metrics, device).orderBy("kernel").collect()]
     return json.dumps({"axes": axes, "lines": lines, "points": points})

@@ -1,20 +1,37 @@
-"""Cutting lineage of iterative analyses through the shared checkpoint folder."""
+"""Cutting lineage, and scratch space, in the folder that all executors share."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_LOCAL_ROOT: list[str] = []
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one, deleted at the end, only where it is unset (tests, local mode)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _LOCAL_ROOT:
+        _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="tracewright-"))
+        atexit.register(shutil.rmtree, _LOCAL_ROOT[0], True)
+    return "file://" + _LOCAL_ROOT[0]
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_root(spark)}/tw-{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder and read back from it."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if root is None:
-            if not context.master.startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            root = tempfile.mkdtemp(prefix="tracewright-")
-        context.setCheckpointDir(root)
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()

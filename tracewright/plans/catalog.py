@@ -242,4 +242,4 @@ SELECT lane, cast(sum(greatest(0, end_ns - greatest(start_ns, coalesce(seen, sta
 query("ruler", "SELECT cast(t AS integer) AS tick, cast(floor(t * ((max(end_ns) - min(start_ns)) / 10)) AS bigint) AS offset_ns FROM spans, generate_series(0, 10) g(t) WHERE duration_ns > 0 GROUP BY t", "spans")(lambda s, d: intervals.ruler(V.spans(s, d)))
 
 
-from . import catalog_machine, catalog_records, catalog_structure  # noqa: E402, F401
+from . import catalog_formats, catalog_machine, catalog_records, catalog_streams, catalog_structure  # noqa: E402, F401

@@ -101,9 +101,9 @@ query(
 )(lambda s, d: roofline.best_source(s.sql("SELECT * FROM VALUES ('perf_llcproxy', 1), ('perf_uncore', 2), ('likwid', 3) AS t(source, n)")))
 query(
     "likwid_rates",
-    "WITH m AS (SELECT l_orderkey AS f, l_linenumber AS core, l_quantity AS value FROM lineitem WHERE l_orderkey < 500) SELECT 'likwid.total.flops' AS name, f, sum(value) AS value FROM m GROUP BY f HAVING count(*) > 1",
+    "WITH m AS (SELECT l_orderkey AS f, l_linenumber AS core, l_quantity AS value FROM lineitem) SELECT 'likwid.total.flops' AS name, f, sum(value) AS value FROM m GROUP BY f HAVING count(*) > 1",
 )(
-    lambda s, d: tools.likwid_counters(V.load(s, d, "lineitem").where("l_orderkey < 500").select(F.col("l_orderkey").alias("file"), F.lit(0).alias("pos"), F.lit("Flops").alias("name"), F.lit("MFLOP/s").alias("unit"), F.col("l_linenumber").alias("core"), F.col("l_quantity").alias("value")))
+    lambda s, d: tools.likwid_counters(V.load(s, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.lit(0).alias("pos"), F.lit("Flops").alias("name"), F.lit("MFLOP/s").alias("unit"), F.col("l_linenumber").alias("core"), F.col("l_quantity").alias("value")))
     .where("name like 'likwid.total%'")
     .select("name", F.col("file").alias("f"), "value")
 )

@@ -183,7 +183,6 @@ query(
 f AS (SELECT name, t FROM x ORDER BY t DESC, category, name LIMIT 8) SELECT f.name, f.t AS before_ns, y.t AS after_ns, y.t - f.t AS delta_ns FROM f JOIN y ON f.name = y.name WHERE abs(y.t - f.t) > 100000""",
     "spans",
 )(lambda s, d: diff.hotspot_changes(*_ab(s, d)))
-query("profile_context")(lambda s, d: context.profile(V.spans(s, d), V.counters(s, d), V.devices(s)))
 query("hardware", "SELECT backend || '_device' AS key, name, fp32_tflops, fp64_tflops, bandwidth_gbs AS peak_mem_bw_gbs, fp16_tflops, cast(sm_count AS integer) AS sm_count FROM (SELECT cast(fp32_tflops AS double) AS fp32_tflops, cast(fp64_tflops AS double) AS fp64_tflops, cast(bandwidth_gbs AS double) AS bandwidth_gbs, cast(fp16_tflops AS double) AS fp16_tflops, backend, name, sm_count FROM devices)", "devices")(
     lambda s, d: context.hardware(V.devices(s))
 )

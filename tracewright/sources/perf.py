@@ -85,8 +85,12 @@ def folded(found: DataFrame) -> DataFrame:
 
 
 def read_folded(spark: SparkSession, path: str) -> DataFrame:
-    """stack, count of folded-stack lines; lines without a count are left out."""
-    rows = spark.read.text(path).select(F.trim("value").alias("value"))
+    return folded_lines(spark.read.text(path))
+
+
+def folded_lines(lines: DataFrame) -> DataFrame:
+    """stack, count of folded-stack lines (value); lines without a count are left out."""
+    rows = lines.select(F.trim("value").alias("value"))
     pattern = r"^(.*)\s(\d+)$"
     out = rows.where(F.col("value").rlike(pattern)).select(F.trim(F.regexp_extract("value", pattern, 1)).alias("stack"), F.regexp_extract("value", pattern, 2).try_cast("bigint").alias("count"))
     return out.where("count is not null and stack <> ''")

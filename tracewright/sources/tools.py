@@ -22,10 +22,14 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     texts = [r.value.lstrip("\n") for r in lines.limit(1).collect()]
     header = texts[0].split("\n", 1)[0] if texts else ""
     body = spark.read.text(path).where(~F.col("value").startswith("==") & (F.trim("value") != "") & (F.col("value") != header.rstrip("\r")))
-    names = [c.strip().strip('"') for c in header.rstrip("\r").split(",")]
+    return csv_rows(body, header.rstrip("\r")) if header else spark.createDataFrame([], "value string")
+
+
+def csv_rows(lines: DataFrame, header: str) -> DataFrame:
+    """Lines (value) as rows with the columns of ``header``, everything as text."""
+    names = [c.strip().strip('"') for c in header.split(",")]
     schema = ", ".join(f"`{c or f'c{i}'}` STRING" for i, c in enumerate(names))
-    row = F.from_csv("value", schema, {"quote": '"', "escape": '"'})
-    return body.select(row.alias("r")).select("r.*") if header else spark.createDataFrame([], "value string")
+    return lines.select(F.from_csv("value", schema, {"quote": '"', "escape": '"'}).alias("r")).select("r.*")
 
 
 def ncu(rows: DataFrame) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Saved traces: JSON documents with traceEvents, metadata and disassembly."""
+"""Saved traces: JSON documents with traceEvents, metadata and disassembly.
+
+A document is one value, read by one task.  Traces with an event on each line, as
+writers of large ones make them, are read line by line instead (``read_lines``),
+split as Spark likes; the functions below take either.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +14,9 @@ from ..schema import category, empty_tags
 
 _DEVICE = "name STRING, backend STRING, fp32_tflops DOUBLE, fp64_tflops DOUBLE, fp16_tflops DOUBLE, bandwidth_gbs DOUBLE, sm_count INT, core_clock_ghz DOUBLE, mem_clock_ghz DOUBLE, mem_bus_bits INT, vram_gb DOUBLE, compute_cap STRING, tensor_tflops DOUBLE, l2_bandwidth_gbs DOUBLE, l1_bandwidth_gbs DOUBLE, l3_bandwidth_gbs DOUBLE"
 _LINE = "addr BIGINT, mnemonic STRING, operands STRING, itype STRING, comment STRING, raw STRING"
+EVENT = "ph STRING, name STRING, cat STRING, ts DOUBLE, dur DOUBLE, pid BIGINT, tid BIGINT, cname STRING, s STRING, args MAP<STRING,STRING>"
 DOCUMENT = (
-    "traceEvents ARRAY<STRUCT<ph STRING, name STRING, cat STRING, ts DOUBLE, dur DOUBLE, pid BIGINT, tid BIGINT, cname STRING, s STRING, args MAP<STRING,STRING>>>, displayTimeUnit STRING, "
+    f"traceEvents ARRAY<STRUCT<{EVENT}>>, displayTimeUnit STRING, "
     f"metadata STRUCT<command STRING, args ARRAY<STRING>, backends ARRAY<STRING>, hostname STRING, cwd STRING, duration_ms DOUBLE, devices ARRAY<STRUCT<{_DEVICE}>>>, "
     f"disasm MAP<STRING, STRUCT<arch STRING, source STRING, lines ARRAY<STRUCT<{_LINE}>>>>"
 )
@@ -21,7 +27,29 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DOCUMENT).json(path, multiLine=True).withColumn("trace_id", F.input_file_name())
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The events of traces that hold one event a line."""
+    return event_lines(spark.read.text(path).select(F.input_file_name().alias("trace_id"), "value"))
+
+
+def event_lines(lines: DataFrame) -> DataFrame:
+    """trace_id, seq and fields of the events on ``lines`` (trace_id, value): objects with a comma or bracket before or behind them."""
+    text = F.regexp_replace(F.trim("value"), r'^(\{\s*"traceEvents"\s*:)?\s*\[?\s*,?\s*', "")
+    text = F.regexp_replace(text, r'(,|\}\s*\]\s*(,\s*"displayTimeUnit".*|\}?))\s*$', "")
+    # what closes the document went with the last event's own bracket
+    whole = F.when(F.trim("value").rlike(r'\}\s*\]\s*(,\s*"displayTimeUnit".*|\}?)\s*$'), F.concat(text, F.lit("}"))).otherwise(text)
+    rows = lines.select("trace_id", F.from_json(whole, EVENT).alias("e"), F.monotonically_increasing_id().alias("seq")).where("e.ph is not null")
+    return rows.select("trace_id", "seq", "e.*")
+
+
+def documents(texts: DataFrame) -> DataFrame:
+    """Documents given as text (trace_id, value)."""
+    return texts.select("trace_id", F.from_json("value", DOCUMENT).alias("d")).select("trace_id", "d.*")
+
+
 def _events(doc: DataFrame) -> DataFrame:
+    if "ph" in doc.columns:
+        return doc
     return doc.select("trace_id", F.posexplode("traceEvents").alias("seq", "e")).select("trace_id", F.col("seq").cast("bigint").alias("seq"), "e.*")
 
 

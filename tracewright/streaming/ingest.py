@@ -30,7 +30,7 @@ def socket(spark: SparkSession, host: str, port: int) -> DataFrame:
 
 def event_time(ns: Column) -> Column:
     """A timestamp for watermarks; nanoseconds stay in their own column."""
-    return F.timestamp_micros((ns / 1000).cast("bigint"))
+    return F.timestamp_micros(F.call_function("div", ns, F.lit(1000)))
 
 
 def spans(stream: DataFrame) -> DataFrame:

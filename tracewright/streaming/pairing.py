@@ -91,3 +91,22 @@ def calibrated(events: DataFrame) -> DataFrame:
     """Device timestamps on the host's clock: each device's first observation (device, seq, device_ns, host_ns) fixes its offset."""
     first = events.groupBy("device").agg(F.min_by(F.col("host_ns") - F.col("device_ns"), "seq").alias("offset_ns"))
     return events.join(first, "device").withColumn("time_ns", F.col("device_ns") + F.col("offset_ns"))
+
+
+def flushed(launches: DataFrame, syncs: DataFrame) -> DataFrame:
+    """GPU work (pid, stream, seq) with the synchronisation that waits for it: the next one of its stream, or of all streams (stream null).
+
+    ``flush_seq`` is null for what nothing waited for.  Work waits in no buffer here, so there is no
+    bound on how much of it may be pending.
+    """
+    from ..operators.joins import nearest_symbol
+
+    def following(by: list[str], ends: DataFrame) -> DataFrame:
+        """seq and the first end behind it: the last one before it, counted backwards."""
+        at = launches.select(*by, (-F.col("seq")).alias("addr"))
+        found = nearest_symbol(at, ends.select(*by, (-F.col("seq")).alias("addr"), F.col("seq").cast("string").alias("name")), by)
+        return found.select(*by, (-F.col("addr")).alias("seq"), F.col("symbol").cast("bigint").alias("end_"))
+
+    own = following(["pid", "stream"], syncs.where("stream is not null")).select("seq", F.col("end_").alias("own_"))
+    every = following(["pid"], syncs.where("stream is null")).select("seq", F.col("end_").alias("every_"))
+    return launches.join(own, "seq").join(every, "seq").withColumn("flush_seq", F.least("own_", "every_")).drop("own_", "every_")

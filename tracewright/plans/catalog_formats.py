@@ -178,20 +178,20 @@ def _listing(s: SparkSession, d: str, arch: str, line: Column, head: Column) ->
     return _text(V.instructions(s, d).where(F.col("arch") == arch), "kernel", line, "pos").select("file", F.concat(head, "value").alias("value"))
 
 
-_CODE = F.concat("mnemonic", F.when(F.col("operands") == "", "").otherwise(F.concat(F.lit(" "), "operands")))
+_CODE = lambda: F.concat("mnemonic", F.when(F.col("operands") == "", "").otherwise(F.concat(F.lit(" "), "operands")))
 _INSN = lambda arch, addr="pos": f"SELECT kernel, {addr} AS addr, mnemonic, operands FROM insns WHERE arch = '{arch}'"
 query("sass_listing", "SELECT kernel, pos AS addr, mnemonic, operands, stall_cycles FROM insns WHERE arch = 'sass'", "insns")(
-    lambda s, d: disasm.sass(_listing(s, d, "sass", F.concat(F.lit("        /*"), _hex(F.col("pos")), F.lit("*/   "), F.when(F.col("pos") % 3 == 0, "@!P0 ").otherwise(""), _CODE, F.lit(" ;  /* 0x0000000402047981 */\n   /* 0x000fc4000000"), F.lit("0"), F.lower(F.hex(F.col("stall_cycles").cast("bigint"))), F.lit("00 */")), F.concat(F.lit("\t\tFunction : "), "file", F.lit("\n"))))
+    lambda s, d: disasm.sass(_listing(s, d, "sass", F.concat(F.lit("        /*"), _hex(F.col("pos")), F.lit("*/   "), F.when(F.col("pos") % 3 == 0, "@!P0 ").otherwise(""), _CODE(), F.lit(" ;  /* 0x0000000402047981 */\n   /* 0x000fc4000000"), F.lit("0"), F.lower(F.hex(F.col("stall_cycles").cast("bigint"))), F.lit("00 */")), F.concat(F.lit("\t\tFunction : "), "file", F.lit("\n"))))
     .select("kernel", "addr", "mnemonic", "operands", "stall_cycles")
 )
 query("ptx_listing", "SELECT kernel, mnemonic, operands, count(*) AS n FROM insns WHERE arch = 'ptx' GROUP BY ALL", "insns")(
-    lambda s, d: disasm.ptx(_listing(s, d, "ptx", F.concat(F.lit("\t"), _CODE, F.lit(";\n\t.reg .f32 %f<3>;\n$L1:")), F.concat(F.lit(".visible .entry "), "file", F.lit("(\n\t.param .u64 p0\n)\n{\n")))).groupBy("kernel", "mnemonic", "operands").agg(F.count("*").alias("n"))
+    lambda s, d: disasm.ptx(_listing(s, d, "ptx", F.concat(F.lit("\t"), _CODE(), F.lit(";\n\t.reg .f32 %f<3>;\n$L1:")), F.concat(F.lit(".visible .entry "), "file", F.lit("(\n\t.param .u64 p0\n)\n{\n")))).groupBy("kernel", "mnemonic", "operands").agg(F.count("*").alias("n"))
 )
 query("amdgcn_listing", _INSN("amdgcn"), "insns")(
-    lambda s, d: disasm.amdgcn(_listing(s, d, "amdgcn", F.concat(F.lit("  "), _hex(F.col("pos")), F.lit(": "), F.when(F.col("pos") % 2 == 0, "d2820000 ").otherwise(""), _CODE), F.concat(F.lit("<"), "file", F.lit(">:\n")))).select("kernel", "addr", "mnemonic", "operands")
+    lambda s, d: disasm.amdgcn(_listing(s, d, "amdgcn", F.concat(F.lit("  "), _hex(F.col("pos")), F.lit(": "), F.when(F.col("pos") % 2 == 0, "d2820000 ").otherwise(""), _CODE()), F.concat(F.lit("<"), "file", F.lit(">:\n")))).select("kernel", "addr", "mnemonic", "operands")
 )
 query("objdump_listing", "SELECT kernel, pos AS addr, mnemonic, operands, CASE WHEN pos % 5 = 0 THEN 'note' ELSE '' END AS comment FROM insns WHERE arch = 'x86-64'", "insns")(
-    lambda s, d: disasm.objdump(_listing(s, d, "x86-64", F.concat(F.lit("  "), _hex(F.col("pos"), 6), F.lit(":\t"), _CODE, F.when(F.col("pos") % 5 == 0, "   # note").otherwise("")), F.concat(F.lit("0000000000401000 <"), "file", F.lit(">:\n")))).select("kernel", "addr", "mnemonic", "operands", "comment")
+    lambda s, d: disasm.objdump(_listing(s, d, "x86-64", F.concat(F.lit("  "), _hex(F.col("pos"), 6), F.lit(":\t"), _CODE(), F.when(F.col("pos") % 5 == 0, "   # note").otherwise("")), F.concat(F.lit("0000000000401000 <"), "file", F.lit(">:\n")))).select("kernel", "addr", "mnemonic", "operands", "comment")
 )
 query("symbol_table", "SELECT p_partkey * 16 AS addr, CASE WHEN p_partkey % 2 = 0 THEN cast(p_size AS bigint) END AS size, 'f' || cast(p_partkey AS varchar) AS name FROM part WHERE p_partkey % 3 > 0")(
     lambda s, d: disasm.symbols(V.load(s, d, "part").select(F.concat(_hex(F.col("p_partkey") * 16, 16), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" "), _hex(F.col("p_size").cast("bigint"), 16))).otherwise(""), F.when(F.col("p_partkey") % 3 == 0, " D f").when(F.col("p_partkey") % 3 == 1, " T f").otherwise(" w f"), _s("p_partkey")).alias("value")))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.operators import activity, roofline
-from tracewright.sinks import otlp, summary, trace_json as sink
+from tracewright.sinks import otlp, report, summary, trace_json as sink
 from tracewright.sources import disasm, perf, tools, trace_json, wire
 
 RECORDS = """span:nvtx:7:1:1000:900:step:type=nvtx_range,sid=41
@@ -199,3 +199,70 @@ def test_source_positions(spark):
     assert [tuple(r) for r in out.collect()] == [("/lib", "0x1", "/src/a.c", 3)]
     notes = spark.createDataFrame([("  12.34 :  40a100:  mov rax",), ("  0.00 :  40a104:  ret",)], "value string")
     assert [tuple(r) for r in disasm.perf_annotate(notes).collect()] == [(0x40A100, 12.34)]
+
+
+def test_trace_lines(spark, trace, tmp_path):
+    """A document with an event a line is read line by line, brackets and all."""
+    events = [r.json for r in sink.events(trace["spans"], trace["instants"], trace["counters"]).orderBy("order").select("json").collect()]
+    for k, (head, tail) in enumerate([('{"traceEvents":[', '],"displayTimeUnit":"ms"}'), ("[", "]"), ("[\n", "\n]"), ('{"traceEvents": [', "]}")]):
+        (tmp_path / f"t{k}.json").write_text(head + ",\n".join(events) + tail)
+        rows = trace_json.read_lines(spark, str(tmp_path / f"t{k}.json"))
+        assert rows.count() == len(events)
+        key = lambda df: sorted(map(str, df.select("name", "category", "start_ns", "duration_ns", "span_id", F.to_json("tags"), F.to_json("stack_frames")).collect()))
+        assert key(trace_json.spans(rows)) == key(trace["spans"])
+
+
+def test_sending(trace):
+    """Payloads arrive at a receiver, and what it refuses is an error."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    got, answer = [], [200]
+
+    class Receiver(BaseHTTPRequestHandler):
+        def do_POST(self):
+            got.append((self.path, json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            self.send_response(answer[0])
+            self.end_headers()
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Receiver)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/"
+    payloads = otlp.traces_payload(trace["spans"], "app")
+    assert otlp.send(payloads, url) == payloads.count() == len(got) and {p for p, _ in got} == {"/v1/traces"}
+    assert sum(len(sc["spans"]) for _, b in got for sc in b["resourceSpans"][0]["scopeSpans"]) == 10
+    got.clear()
+    assert otlp.send(otlp.metrics_payload(trace["counters"]), url, "metrics") == 1
+    assert got[0][0] == "/v1/metrics" and got[0][1]["resourceMetrics"][0]["scopeMetrics"][0]["metrics"][0]["gauge"]["dataPoints"][0]["asDouble"] == 4096.0
+    answer[0] = 500
+    with pytest.raises(RuntimeError, match="were not taken"):
+        otlp.send(payloads, url)
+    server.shutdown()
+    with pytest.raises(RuntimeError, match="were not taken"):
+        otlp.send(payloads, "http://127.0.0.1:9", timeout=2)
+
+
+def test_report(trace, tmp_path):
+    text = report.markdown(trace["spans"], about={"Command": "app"}, notes="* nothing")
+    assert text.startswith("# Performance report\n\n**Command:** app  \n") and "## GPU" in text and text.endswith("## Findings\n\n* nothing\n")
+    assert "| cudaDeviceSynchronize | 1 | 80ns | 100.0 % |" in text
+    report.write(f"file://{tmp_path}/r.md", text, trace["spans"])
+    assert (tmp_path / "r.md").read_text() == text
+
+
+def test_sample_order_has_no_limit(spark):
+    """Frames are numbered in order of arrival in blocks far apart and below deep stacks."""
+    deep = "\n".join(f"\t 4005{i:04x} f{i} (/app)" for i in range(400))
+    rows = [(b, f"app 1 {k}.5: 1 cycles:u:\n{deep}") for k, b in enumerate((0, 70 << 33, 900 << 33))]
+    got = perf.spans(perf.samples(spark.createDataFrame(rows, "block long, value string"))).orderBy("seq").collect()
+    assert len({r.seq for r in got}) == len(got) == 1200 and [(r.start_ns, int(r.tags["depth"])) for r in got] == [(k * 10**9 + 5 * 10**8, i) for k in range(3) for i in range(400)]
+
+
+def test_headers_by_position(spark):
+    rows = [(1, "my tool  7/8 [003] 2.25: 100 page-faults: 4005d0 operator()(int, char) const+0x1 (/a b.so)"), (2, "x 9 3.5: cycles: add"), (3, "no time stamp here"), (4, "")]
+    got = sorted((r.block, r.comm, r.pid, r.tid, r.start_ns, r.symbol) for r in perf.samples(spark.createDataFrame(rows, "block long, value string")).collect())
+    assert got == [(1, "my tool", 7, 8, 2_250_000_000, "operator()(int, char) const"), (2, "x", 9, 9, 3_500_000_000, "add")]

@@ -45,8 +45,10 @@ def samples(blocks: DataFrame) -> DataFrame:
     rows = rows.withColumn("w", _words(F.col("value")))
     stamps = F.transform("w", lambda x: x.endswith(":") & x.contains(".") & F.rtrim(F.translate(x, ":", "")).try_cast("decimal(30,9)").isNotNull())
     rows = rows.withColumn("t", F.array_position(stamps, True).cast("int"))
-    who = F.split(F.get("w", F.col("t") - 2), "/")
-    rows = rows.withColumn("head", (F.col("t") >= 3) & F.get(who, F.lit(0)).try_cast("bigint").isNotNull())
+    # the processor, in brackets, may stand between
+    rows = rows.withColumn("at", F.col("t") - F.when(F.get("w", F.col("t") - 2).startswith("["), 3).otherwise(2))
+    who = F.split(F.get("w", F.col("at")), "/")
+    rows = rows.withColumn("head", (F.col("at") >= 1) & F.get(who, F.lit(0)).try_cast("bigint").isNotNull())
     w = Window.partitionBy("block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("sample", F.max(F.when(F.col("head"), F.col("pos"))).over(w)).where("sample is not null")
     stamp = F.translate(F.get("w", F.col("t") - 1), ":", "").try_cast("decimal(30,9)")
@@ -55,7 +57,7 @@ def samples(blocks: DataFrame) -> DataFrame:
     named = F.get(event, F.lit(0)).endswith(":")
     behind = F.when(counted, F.slice(event, 3, F.size("w"))).when(named, F.slice(event, 2, F.size("w"))).otherwise(event)
     heads = rows.where("head").withColumn("behind", behind).select(
-        "block", "sample", F.array_join(F.slice("w", 1, F.greatest(F.col("t") - 2, F.lit(0))), " ").alias("comm"), F.get(who, F.lit(0)).try_cast("bigint").alias("pid"), F.get(who, F.lit(1)).try_cast("bigint").alias("tid"),
+        "block", "sample", F.array_join(F.slice("w", 1, F.greatest(F.col("at"), F.lit(0))), " ").alias("comm"), F.get(who, F.lit(0)).try_cast("bigint").alias("pid"), F.get(who, F.lit(1)).try_cast("bigint").alias("tid"),
         F.floor(stamp * 1_000_000_000).cast("bigint").alias("start_ns"), symbol(_function(F.col("behind"))).alias("symbol"),
     )
     indented = F.substring("value", 1, 1).isin(" ", "\t") & (F.size("w") > 1) & _is_hex(F.get("w", F.lit(0))) & (F.length(F.get("w", F.lit(0))) >= 4)

@@ -7,9 +7,11 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: list[str] = []
+_SCRATCH: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -26,7 +28,30 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/tw-{name}-{uuid.uuid4().hex[:12]}"
+    """A new path below the shared folder; what is written there goes when the program ends, if not before."""
+    if not _SCRATCH:
+        atexit.register(_delete_all)
+    path = f"{shared_root(spark)}/tw-{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.add(path)
+    return path
+
+
+def delete(path: str) -> None:
+    """Remove a file or folder, wherever Spark keeps it."""
+    context = SparkContext._active_spark_context
+    jvm = SparkContext._jvm
+    if jvm is not None:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration() if context else jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
+    _SCRATCH.discard(path)
+
+
+def _delete_all() -> None:
+    for path in sorted(_SCRATCH):
+        try:
+            delete(path)
+        except Exception:  # the JVM is gone: nothing more can be done at the program's end
+            return
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.lineage import scratch_path
+from ..operators.lineage import delete, scratch_path
+
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: recomputation ends here."""
@@ -30,11 +31,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def release(df: DataFrame | None) -> None:
     """Delete what ``materialize`` wrote, once nothing reads it any more."""
     path = getattr(df, "_tw_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    if path is not None:
+        delete(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

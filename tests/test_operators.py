@@ -148,7 +148,7 @@ def test_tools(spark, sf):
 
 
 def test_positions(spark):
-    """Both ways to pick values by position agree with sorting."""
+    """Values picked by position are those of sorting, however the values spread over ranges."""
     from tracewright.operators.ranks import pick
 
     rng = random.Random(2)
@@ -156,8 +156,39 @@ def test_positions(spark):
     places = {"p50": lambda n: F.floor(n / 2), "p99": lambda n: F.least(F.floor(n * 0.99), n - 1)}
     want = {g: (v[len(v) // 2], v[min(int(len(v) * 0.99), len(v) - 1)]) for g in "abc" for v in [sorted(x for k, x in rows if k == g)]}
     df = spark.createDataFrame(rows, "g string, v long")
-    for most in (1_000_000, 0):
-        assert {r.g: (r.p50, r.p99) for r in pick(df, "g", "v", places, most).collect()} == want
+    assert {r.g: (r.p50, r.p99) for r in pick(df, "g", "v", places).collect()} == want
+
+
+def test_running_over_ranges(spark):
+    """Running sums and maxima are those of one long window, with null groups and repeated orders among many ranges."""
+    from tracewright.operators.ranges import running
+
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.randrange(-50, 50)) for i in range(800)]
+    df = spark.createDataFrame(rows, "g string, o long, v long").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for before in (False, True):
+            got = running(df, ["g"], ["o"], {"total": ("sum", F.col("v")), "top": ("max", F.col("v"))}, before).collect()
+            want = {}
+            for g in ("a", "b", None):
+                seen = []
+                for _, o, v in [r for r in rows if r[0] == g]:
+                    upto = seen if before else [*seen, v]
+                    want[o] = (sum(upto) if upto else None, max(upto, default=None))
+                    seen.append(v)
+            assert {r.o: (r.total, r.top) for r in got} == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_texts_within_texts(spark):
+    from tracewright.operators.joins import within
+
+    small = ["", "a", "ab", "kernel", "kern", "xyz", "ns::copy_2"]
+    large = ["kernel_1", "the kernel", "ns::copy_2_long", "", "b", "aab"]
+    got = within(spark.createDataFrame([(x,) for x in small], "s string"), "s", spark.createDataFrame([(x,) for x in large], "t string"), "t").collect()
+    assert {tuple(r) for r in got} == {(a, b) for a in small for b in large if a in b}
 
 
 def test_containment_over_many_ranges(spark):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formats import grade
 from ..schema import GPU_CATEGORIES, SYNC_NAMES
 from . import spans as S
-from .intervals import union_length
+from .intervals import unions
+from .ranges import running
 
 
 def _bandwidth(total_bytes: str = "total_bytes", total_ns: str = "total_ns"):  # noqa: ANN202
@@ -75,7 +76,8 @@ def peaks(counters: DataFrame, prefix: str) -> DataFrame:
 
 def series(counters: DataFrame) -> DataFrame:
     """Points of each counter in order of time."""
-    return counters.select("name", F.row_number().over(Window.partitionBy("name").orderBy("timestamp_ns", "seq")).alias("pos"), "timestamp_ns", "value")
+    rows = counters.select("name", "timestamp_ns", "seq", "value")
+    return running(rows, ["name"], ["timestamp_ns", "seq"], {"pos": ("sum", F.lit(1))}).select("name", F.col("pos").cast("int").alias("pos"), "timestamp_ns", "value")
 
 
 def hardware_counters(counters: DataFrame) -> DataFrame:
@@ -115,12 +117,11 @@ def gpu_starvation(spans: DataFrame) -> DataFrame:
     ``launch_gap_ns`` takes both off the wall time although they may overlap;
     ``gap_exact_ns`` takes off their union.
     """
-    work = spans.where(is_kernel()).select("start_ns", "end_ns")
-    stalls = spans.where(F.col("name").isin(SYNC_NAMES) & (F.col("duration_ns") > 0))
-    active = union_length(work).withColumnRenamed("union_ns", "gpu_active_ns")
-    both = union_length(work.unionByName(stalls.select("start_ns", "end_ns"))).withColumnRenamed("union_ns", "busy_ns")
-    sync = stalls.agg(F.coalesce(F.sum("duration_ns"), F.lit(0)).alias("sync_stall_ns"), F.count("*").alias("sync_calls"))
-    one = S.wall(spans).select("wall_ns").crossJoin(active).crossJoin(both).crossJoin(sync)
+    stall = F.coalesce(F.col("name").isin(SYNC_NAMES) & (F.col("duration_ns") > 0), F.lit(False))
+    busy = spans.where(is_kernel() | stall)
+    both = unions(busy, {"gpu_active_ns": is_kernel(), "busy_ns": F.lit(True)})
+    sync = spans.agg(F.coalesce(F.sum(F.when(stall, F.col("duration_ns"))), F.lit(0)).alias("sync_stall_ns"), F.count_if(stall).alias("sync_calls"))
+    one = S.wall(spans).select("wall_ns").crossJoin(both).crossJoin(sync)
     pct = lambda c: F.lit(100.0) * F.col(c) / F.col("wall_ns")
     out = one.withColumns({"launch_gap_ns": F.greatest(F.lit(0), F.col("wall_ns") - F.col("gpu_active_ns") - F.col("sync_stall_ns")), "gap_exact_ns": F.col("wall_ns") - F.col("busy_ns")})
     out = out.withColumns({"gpu_active_pct": pct("gpu_active_ns"), "sync_stall_pct": pct("sync_stall_ns"), "launch_gap_pct": pct("launch_gap_ns")})

@@ -6,35 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spans as S
+from .ranges import running
 
-CELLS = 64
 
+def unions(rows: DataFrame, kinds: dict[str, Column], by: list[str] | None = None) -> DataFrame:
+    """Lengths of the unions of [start_ns, end_ns) by group, for each name of those rows for which its condition holds.
 
-def _covered(by: list[str]) -> Column:
-    """What an interval adds to those before it in (start, end) order."""
-    w = Window.partitionBy(*by).orderBy("start_ns", "end_ns").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.max("end_ns").over(w)
-    return F.greatest(F.lit(0), F.col("end_ns") - F.greatest("start_ns", F.coalesce(seen, F.col("start_ns"))))
-
-
-def union_length(rows: DataFrame, by: list[str] | None = None, cells: int = CELLS) -> DataFrame:
-    """Length of the union of [start_ns, end_ns) by group.
-
-    Time is cut into ``cells`` equal cells and intervals are clipped to those
-    they touch.  Cells are disjoint, so their unions add up: each (group, cell)
-    is a window of its own and no task has to order a whole group.
+    In order of (start, end), an interval adds what reaches beyond the furthest end
+    before it.  That is a running maximum over ranges of rows, so neither a group of
+    any size nor a burst lands in one task, and all kinds take one pass.
     """
     by = by or []
-    keyed = rows.select(*by, "start_ns", "end_ns").where("end_ns > start_ns")
-    span = keyed.agg(F.min("start_ns").alias("t0"), F.max("end_ns").alias("t1"))
-    width = F.greatest(F.ceil((F.col("t1") - F.col("t0")) / cells).cast("bigint"), F.lit(1))
-    cut = keyed.crossJoin(F.broadcast(span)).withColumn("w", width)
-    cell = lambda c, shift=0: F.floor((F.col(c) - F.col("t0") - shift) / F.col("w")).cast("bigint")
-    cut = cut.withColumn("cell", F.explode(F.sequence(cell("start_ns"), cell("end_ns", 1))))
-    low = F.col("t0") + F.col("cell") * F.col("w")
-    cut = cut.select(*by, "cell", F.greatest("start_ns", low).alias("start_ns"), F.least("end_ns", low + F.col("w")).alias("end_ns"))
-    parts = cut.withColumn("added", _covered([*by, "cell"]))
-    return parts.groupBy(*by).agg(F.coalesce(F.sum("added"), F.lit(0)).cast("bigint").alias("union_ns"))
+    keyed = rows.where("end_ns > start_ns").select(*by, "start_ns", "end_ns", *[F.coalesce(c, F.lit(False)).alias(f"is_{n}") for n, c in kinds.items()])
+    out = running(keyed, by, ["start_ns", "end_ns"], {n: ("max", F.when(F.col(f"is_{n}"), F.col("end_ns"))) for n in kinds}, before=True)
+    added = lambda n: F.when(F.col(f"is_{n}"), F.greatest(F.lit(0), F.col("end_ns") - F.greatest("start_ns", F.coalesce(n, "start_ns"))))
+    return out.groupBy(*by).agg(*[F.coalesce(F.sum(added(n)), F.lit(0)).cast("bigint").alias(n) for n in kinds])
+
+
+def union_length(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Length of the union of [start_ns, end_ns) by group."""
+    return unions(rows, {"union_ns": F.lit(True)}, by)
 
 
 def buckets(spans: DataFrame, bucket_ms: float = 0.0, most: int = 20) -> tuple[int, int]:

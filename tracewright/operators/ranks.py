@@ -1,47 +1,22 @@
-"""Exact values by position, without gathering or globally sorting a group.
-
-Few distinct values (counted first) are ranked by a running sum over their
-counts.  Many are narrowed down: each pass counts the values of every group in
-``CELLS`` equal ranges and keeps the range that holds the position, until it is
-a single value.  A pass is one aggregation that starts in the map tasks.
-"""
+"""Exact values by position, without gathering or globally sorting a group."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CELLS, MOST_DISTINCT, MOST_GROUPS = 4096, 1_000_000, 1000
+from .ranges import running
+
 
+def pick(df: DataFrame, by: str, value: str, places: dict[str, Callable]) -> DataFrame:
+    """``by`` and, for each name in ``places``, the value at that position (from 0) of a group's ``n`` sorted values.
 
-def pick(df: DataFrame, by: str, value: str, places: dict[str, Callable], most_distinct: int = MOST_DISTINCT) -> DataFrame:
-    """``by`` and, for each name in ``places``, the value at that position (from 0) of a group's ``n`` sorted values."""
-    groups = df.where(F.col(value).isNotNull()).groupBy(by).agg(F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.approx_count_distinct(value).alias("d")).limit(MOST_GROUPS + 1).collect()
-    if not groups or len(groups) > MOST_GROUPS or sum(g.d for g in groups) <= most_distinct:
-        counted = df.groupBy(by, value).agg(F.count("*").alias("c"))
-        w = Window.partitionBy(by)
-        counted = counted.withColumns({"upto": F.sum("c").over(w.orderBy(value)), "n": F.sum("c").over(w)})
-        return counted.groupBy(by).agg(*[F.min(F.when(F.col("upto") > place(F.col("n")), F.col(value))).alias(name) for name, place in places.items()])
-    spark = df.sparkSession
-    n_of = spark.createDataFrame([(g[by], g.n) for g in groups], "g string, n long").select("g", *[place(F.col("n")).cast("bigint").alias(name) for name, place in places.items()]).collect()
-    ends = {g[by]: (g.lo, g.hi) for g in groups}
-    state = {(r.g, name): [*ends[r.g], r[name]] for r in n_of for name in places}
-    while any(lo < hi for lo, hi, _ in state.values()):
-        bounds = [(g, name, lo, hi, -(-(hi - lo + 1) // CELLS)) for (g, name), (lo, hi, _) in state.items() if lo < hi]
-        b = spark.createDataFrame(bounds, "g_ string, name_ string, lo_ long, hi_ long, w_ long")
-        rows = df.select(F.col(by).alias("g_"), F.col(value).alias("v_")).join(F.broadcast(b), "g_").where((F.col("v_") >= F.col("lo_")) & (F.col("v_") <= F.col("hi_")))
-        counts = rows.groupBy("g_", "name_", F.floor((F.col("v_") - F.col("lo_")) / F.col("w_")).cast("bigint").alias("cell")).agg(F.count("*").alias("c")).collect()
-        cells: dict[tuple, list] = {}
-        for r in counts:
-            cells.setdefault((r.g_, r.name_), []).append((r.cell, r.c))
-        for g, name, lo, hi, width in bounds:
-            rank = state[g, name][2]
-            for cell, c in sorted(cells[g, name]):
-                if rank < c:
-                    state[g, name] = [lo + cell * width, min(hi, lo + (cell + 1) * width - 1), rank]
-                    break
-                rank -= c
-    done = [(g, *[state[g, name][0] for name in places]) for g in {k[0] for k in state}]
-    return spark.createDataFrame(done, f"`{by}` string, " + ", ".join(f"`{n}` long" for n in places))
+    Equal values are counted first; positions are running sums over these counts.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
+    upto = running(counted, [by], [value], {"upto": ("sum", F.col("c"))})
+    size = df.groupBy(by).agg(F.count(value).alias("n"))
+    rows = upto.join(size, upto[by].eqNullSafe(size[by])).select(upto[by], value, "upto", "n")
+    return rows.groupBy(by).agg(*[F.min(F.when(F.col("upto") > place(F.col("n")), F.col(value))).alias(name) for name, place in places.items()])

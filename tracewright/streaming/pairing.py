@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.ranges import running
+
 PAIRS = "pid long, tid long, name string, start_ns long, duration_ns long, depth int"
 
 
@@ -62,14 +64,8 @@ def allocation_balance(ops: DataFrame) -> DataFrame:
     rows = ops.withColumn("b_", before)
     delta = F.when(F.col("kind") == "alloc", F.col("bytes")).when(F.col("b_.kind") == "alloc", -F.col("b_.bytes")).otherwise(0)
     rows = rows.withColumn("delta", delta.cast("bigint"))
-    # running sums in two steps: within ranges of seq, then over the ranges' totals
-    cells = 256
-    ends = rows.agg(F.min("seq").alias("a"), F.max("seq").alias("z"))
-    rows = rows.crossJoin(F.broadcast(ends)).withColumn("cell", F.floor((F.col("seq") - F.col("a")) * cells / (F.col("z") - F.col("a") + 1)))
-    inside = F.sum("delta").over(Window.partitionBy("cell").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    total = rows.groupBy("cell").agg(F.sum("delta").alias("d"))
-    base = total.select("cell", F.coalesce(F.sum("d").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # over the few cells
-    return rows.withColumn("in_", inside).join(F.broadcast(base), "cell").select("seq", "timestamp_ns", "kind", "ptr", "delta", (F.col("base") + F.col("in_")).cast("bigint").alias("live_bytes"))
+    out = running(rows.select("seq", "timestamp_ns", "kind", "ptr", "delta"), [], ["seq"], {"live_bytes": ("sum", F.col("delta"))})
+    return out.withColumn("live_bytes", F.col("live_bytes").cast("bigint"))
 
 
 def leaks(ops: DataFrame) -> DataFrame:

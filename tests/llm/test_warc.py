@@ -52,3 +52,17 @@ def test_broken_archives():
             list(W.read_archive(gzip.compress(block)))
     wrong = W.page_record(1, "u", b"abc" * 100, "0" * 64, None)
     assert [r[-1] for r in W.read_archive(wrong)] == [False]
+
+
+def test_long_records_and_revisits_from_files(spark, tmp_path):
+    """A file with a record of 30 MB is streamed; revisits are held against their responses."""
+    import random
+
+    text = random.Random(1).randbytes(15_000_000).hex()
+    rows = [(1, "u", text, None, None), (2, "u", text, None, None), (3, "u", BIG, None, None), (4, "u", BIG, None, None)]
+    records = W.read_archives(W.write_archives(spark.createDataFrame(rows[2:], PAGE)))
+    W.to_files(W.write_archives(spark.createDataFrame(rows, PAGE)), str(tmp_path / "w"))
+    got = sorted(tuple(r)[:5] for r in W.from_files(spark, str(tmp_path / "w")).collect())
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == [(1, 30_000_000, digest(text), "response", None), (2, 30_000_000, digest(text), "revisit", 1), (3, len(BIG), digest(BIG), "response", None), (4, len(BIG), digest(BIG), "revisit", 3)]
+    assert W.unfounded(records).count() == 0 and W.unfounded(records.where("page_id <> 3")).first().page_id == 4

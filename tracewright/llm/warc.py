@@ -11,11 +11,13 @@ moves; payloads are shuffled only where the table of revisits is too large to
 be broadcast.  Archives are rows of whole records (about ``SEGMENT`` bytes) in
 a table of the shared folder, so that any executor can write and read them on
 any file system; ``to_files`` lays them out as .warc.gz files on a mounted one,
-``from_files`` reads such files.
+``from_files`` streams archives of any size from wherever pyarrow can open them.
+A revisit holds no payload; ``unfounded`` finds those whose response isn't there or differs.
 
 Defined results: null html is an empty payload, null urls have no target URI,
-line breaks in urls are escaped, equal rows give equal records, an empty table
-gives no records, extra columns are ignored.
+line breaks in urls are escaped, equal rows give equal records, pages without an id
+are records without one, an empty table gives no records, extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -23,13 +25,15 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 from urllib.parse import quote
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, spread, table
 
 REVISIT_BYTES, SEGMENT, LEVEL, PIECE = 100, 4 << 20, 4, 1 << 16
 DATE = "2024-01-01T00:00:00Z"
@@ -176,13 +180,25 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield segment()
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _batches(rows: Iterator[tuple], size: int = 1000) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in RESULT.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_()]
+    while some := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], t) for i, t in enumerate(kinds)], names)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column(0):
-            rows = list(read_archive(content.as_buffer().to_pybytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+            yield from _batches(read_archive(content.as_buffer().to_pybytes()))
+
+
+def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            files, name = FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+            with files.open_input_stream(name, compression=None) as f:
+                yield from _batches(read_archive(iter(lambda: f.read(PIECE), b"")))  # noqa: B023
 
 
 def write_archives(pages: DataFrame) -> DataFrame:
@@ -221,7 +237,15 @@ def to_files(archives: DataFrame, folder: str) -> None:
 
 
 def from_files(spark: SparkSession, folder: str) -> DataFrame:
-    return read_archives(spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content"))
+    """Every response and revisit of the .warc.gz files in a folder; a file is read piece by piece, not loaded."""
+    paths = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path")
+    return spread(paths, "path").mapInArrow(_read_files, RESULT)
+
+
+def unfounded(records: DataFrame) -> DataFrame:
+    """Revisits without a response of their digest among ``records``."""
+    response = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest").distinct()
+    return records.where("record_type = 'revisit'").join(response, ["refers_to", "payload_digest"], "left_anti").select(records.columns)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

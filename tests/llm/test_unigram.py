@@ -129,3 +129,16 @@ def test_time_is_linear_in_texts_without_spaces(model):
         ids = model.encode_text(t)
         assert time.perf_counter() - began < 20
         assert model.decode_ids(ids) == t
+
+
+def test_what_is_remembered_is_bounded(model, monkeypatch):
+    rng = random.Random(13)
+    texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(60)) for _ in range(60)]
+    want = [model.encode_text(t) for t in texts]
+    monkeypatch.setattr(T.Memory, "RUNS", 90)
+    monkeypatch.setattr(model, "_memory", T.Memory())
+    for t, w in zip(texts, want):
+        assert model.encode_text(t) == w and len(model._memory.place) <= 90
+    import pickle
+
+    assert not pickle.loads(pickle.dumps(model))._memory.place

@@ -7,8 +7,8 @@ whitespace marker, and each text gets one in front.
 
 No piece holds a marker behind another character, so a best path over a text is
 the best paths over its runs (spaces and what follows up to the next space).
-Texts are therefore cut into runs, equal runs of a slice are solved once, and
-all of them advance together in numpy: the trie walk by depth, Viterbi by
+Texts are therefore cut into runs, equal runs are solved once (a worker remembers a
+bounded number of them), and all new ones of a slice advance together in numpy: the trie walk by depth, Viterbi by
 position.  A run is cut further wherever no piece crosses, which is exact too;
 what stays longer than ``LONG`` bytes (a text without spaces) is solved by a
 plain loop over its pieces, in time linear in its length.
@@ -121,6 +121,40 @@ def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
         yield tag >> 3, x
 
 
+class Memory:
+    """Ids of runs solved before, by the runs' hashes: a text's words come again and again."""
+
+    RUNS, IDS = 1 << 18, 1 << 21  # beyond these all is forgotten
+
+    def __init__(self):
+        self.place: dict[int, int] = {}
+        self.begin, self.count, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32), 0
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        get = self.place.get
+        return np.array([get(x, -1) for x in h.tolist()], np.int64)
+
+    def full(self, runs: int, ids: int) -> bool:
+        return len(self.place) + runs > self.RUNS or self.used + ids > self.IDS
+
+    @staticmethod
+    def _room(x: np.ndarray, n: int) -> np.ndarray:
+        return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
+
+    def add(self, h: np.ndarray, ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        n = len(self.place)
+        self.begin, self.count, self.ids = self._room(self.begin, n + len(h)), self._room(self.count, n + len(h)), self._room(self.ids, self.used + len(ids))
+        self.begin[n : n + len(h)] = begin[:-1] + self.used
+        self.count[n : n + len(h)] = np.diff(begin)
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.place.update(zip(h.tolist(), range(n, n + len(h))))
+        return np.arange(n, n + len(h))
+
+    def of(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.ids, self.begin[place], self.count[place]
+
+
 def _uncrossed(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """The places of 0 to n - 1 that lie inside no arc."""
     inner = b - a > 1
@@ -180,6 +214,10 @@ class Unigram:
         self.longest = max(map(len, keys))
         self.flat = np.frombuffer(b"".join(surface), np.uint8)
         self.ends = np.concatenate([[0], np.cumsum([len(s) for s in surface])]).astype(np.int64)
+        self._memory = Memory()
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_memory": Memory()}  # each worker remembers for itself
 
     # ------------------------------------------------------------------ encoding
 
@@ -339,15 +377,22 @@ class Unigram:
         cut[mark] = True
         starts = np.flatnonzero(cut)
         h = K.run_hashes(text, starts, _RAW)
-        _, first, which = np.unique(h, return_index=True, return_inverse=True)
-        size = np.diff(np.append(starts, len(text)))
-        length = size[first]
-        ends = np.concatenate([[0], np.cumsum(length)])
-        pick = np.arange(ends[-1]) + np.repeat(starts[first] - ends[:-1], length)
-        ids, begin = self._solve(text[pick], ends)
-        count = np.diff(begin)[which]
+        each, first, which = np.unique(h, return_index=True, return_inverse=True)
+        place = self._memory.places(each)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            size = np.diff(np.append(starts, len(text)))
+            length = size[first[new]]
+            ends = np.concatenate([[0], np.cumsum(length)])
+            pick = np.arange(ends[-1]) + np.repeat(starts[first[new]] - ends[:-1], length)
+            ids, begin = self._solve(text[pick], ends)
+            if self._memory.place and self._memory.full(len(new), len(ids)):
+                self._memory = Memory()  # what is known would be forgotten: solve all of this slice
+                return self._encode(data, offs, front)
+            place[new] = self._memory.add(each[new], ids, begin)
+        ids, begin, count = self._memory.of(place[which])
         total = np.concatenate([[0], np.cumsum(count)])
-        out = ids[np.arange(total[-1]) + np.repeat(begin[:-1][which] - total[:-1], count)]
+        out = ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], count)]
         return out, total[np.searchsorted(starts, at)]
 
     # ------------------------------------------------------------------ decoding

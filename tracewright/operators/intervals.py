@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
@@ -67,7 +67,9 @@ def lane_order(spans: DataFrame) -> DataFrame:
     """Threads numbered T1, T2, … by id, streams from 10000, other lanes first."""
     rows = spans.select(S.lane().alias("lane"), "tid", S.tag("stream").alias("stream")).withColumn("kind", F.when(F.col("lane").contains("/stream-"), "stream").when(F.col("lane").contains("/thread-"), "thread").otherwise("plain"))
     one = rows.groupBy("lane", "kind").agg(F.min("tid").alias("tid"), F.min("stream").alias("stream"))
-    number = F.dense_rank().over(Window.partitionBy("kind").orderBy("tid"))  # over lanes
+    rank = running(one.select("kind", "tid").distinct(), ["kind"], ["tid"], {"number": ("sum", F.lit(1))}).select(F.col("kind").alias("k_"), F.col("tid").alias("t_"), "number")
+    one = one.join(rank, F.col("kind").eqNullSafe(F.col("k_")) & F.col("tid").eqNullSafe(F.col("t_")))
+    number = F.col("number")
     place = F.when(F.col("kind") == "plain", F.lit(-1)).when(F.col("kind") == "thread", number).otherwise(F.lit(10000) + F.coalesce(F.col("stream").try_cast("int"), F.lit(0)))
     return one.select("lane", "kind", place.cast("int").alias("place"), F.when(F.col("kind") == "thread", F.concat(F.lit("T"), number.cast("string"))).otherwise(F.col("lane")).alias("label"))
 
@@ -75,7 +77,7 @@ def lane_order(spans: DataFrame) -> DataFrame:
 def colours(spans: DataFrame, n: int = 16) -> DataFrame:
     """A colour for each name, in order of first appearance."""
     first = spans.groupBy("name").agg(F.min("seq").alias("first_seq"))
-    return first.select("name", ((F.row_number().over(Window.orderBy("first_seq")) - 1) % n).cast("int").alias("colour"))  # over names
+    return running(first, [], ["first_seq"], {"place": ("sum", F.lit(1))}).select("name", ((F.col("place") - 1) % n).cast("int").alias("colour"))
 
 
 def density(spans: DataFrame, width: int, low_ns: int | None = None, high_ns: int | None = None) -> DataFrame:

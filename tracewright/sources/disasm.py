@@ -1,21 +1,23 @@
 """Disassembly listings, symbol tables and source positions.
 
-``texts`` has a row per file: file, value (the whole text).  The kernel a line
-belongs to is carried down by a window over the file's lines.  Lines are taken
+``texts`` has numbered lines (file, pos, value, as ``read`` gives them) or a row per
+file: file, value (the whole text).  The kernel a line belongs to is carried down
+over ranges of lines.  Lines are taken
 apart by their separators and words, not by one pattern for each format.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.classify import classify, sass_stall
 from ..functions.names import hex_to_long, short_kernel
-from .lines import carried, explode_lines, group
+from ..operators.ranges import running
+from .lines import carry, explode_lines, group, numbered
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
+    return numbered(spark, path)
 
 
 def _hex(c: Column) -> Column:
@@ -55,7 +57,7 @@ def sass(texts: DataFrame) -> DataFrame:
     rows = explode_lines(texts, "file").withColumn("line", F.trim(F.translate("value", "\t", " ")))
     title = F.split("line", " *: *", 2)
     rows = rows.withColumn("start", F.when((title[0] == "Function") & (F.size(title) == 2), _word(title[1])))
-    rows = rows.withColumn("kernel", carried(F.col("start"), ["file"])).where("start is null and kernel is not null")
+    rows = carry(rows, "file", kernel=F.col("start")).where("start is null and kernel is not null")
     comment = F.when(F.col("line").contains("*/"), F.trim(F.substring_index(F.substring_index("line", "*/", 1), "/*", -1)))
     behind = F.ltrim(F.expr("substring(line, length(substring_index(line, '*/', 1)) + 3)"))
     behind = F.when(behind.startswith("@"), F.when(behind.startswith("@P") | behind.startswith("@!P"), _rest(behind)).otherwise(behind)).otherwise(behind)
@@ -63,12 +65,10 @@ def sass(texts: DataFrame) -> DataFrame:
     rows = rows.withColumns({"addr": _hex(F.col("comment")), "m": _word(F.col("code"))})
     rows = rows.withColumn("insn", F.coalesce(F.col("addr").isNotNull() & (F.length("m") > 1) & _dotted(F.col("m"), more="_"), F.lit(False)))
     rows = rows.withColumn("control", F.when(~F.col("insn") & F.col("line").startswith("/*") & F.col("line").endswith("*/") & F.lower("comment").startswith("0x"), F.col("comment")))
-    # the last control line before the next instruction counts
-    w = Window.partitionBy("file", "kernel").orderBy("pos")
-    n = F.sum(F.col("insn").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("n", n)
-    last = F.last("control", ignorenulls=True).over(Window.partitionBy("file", "kernel", "n").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rows = rows.withColumn("word", last).where("insn")
+    # the last control line before the next instruction of the kernel counts
+    rows = running(rows, ["file", "kernel"], ["pos"], {"n": ("sum", F.col("insn").cast("int"))})
+    word = rows.where("control is not null").groupBy("file", "kernel", "n").agg(F.max_by("control", "pos").alias("word"))
+    rows = rows.where("insn").join(word, ["file", "kernel", "n"], "left")
     return _lines(rows, "sass", F.col("addr"), F.col("m"), _rest(F.col("code")), None, F.coalesce(sass_stall(F.col("word")), F.lit(-1)))
 
 
@@ -78,7 +78,7 @@ def ptx(texts: DataFrame) -> DataFrame:
     flat = F.translate("value", "\t", " ")
     title = F.coalesce(*[F.when(flat.contains(f"{k} "), F.trim(F.substring_index(F.split_part(flat, F.lit(f"{k} "), F.lit(2)), "(", 1))) for k in (".entry", ".func")], F.lit(""))
     rows = rows.withColumn("start", F.when((title != "") & ~title.contains(" "), title))
-    rows = rows.withColumn("kernel", short_kernel(carried(F.col("start"), ["file"]))).where("start is null and kernel is not null")
+    rows = carry(rows, "file", kernel=F.col("start")).withColumn("kernel", short_kernel(F.col("kernel"))).where("start is null and kernel is not null")
     code = F.when(F.substring("value", 1, 1).isin(" ", "\t") & F.col("value").contains(";"), F.trim(F.substring_index(F.translate("value", "\t", " "), ";", 1)))
     rows = rows.withColumn("code", code).withColumn("m", _word(F.col("code"))).where(_dotted(F.col("m")))
     return _lines(rows, "ptx", F.lit(0).cast("bigint"), F.col("m"), _rest(F.col("code")))
@@ -95,7 +95,7 @@ def amdgcn(texts: DataFrame) -> DataFrame:
     """AMDGCN instructions: ``<name>:`` starts a kernel; an encoding of eight digits before the mnemonic is left out."""
     rows = explode_lines(texts, "file").withColumn("line", F.rtrim("value"))
     rows = rows.withColumn("start", F.when(F.col("line").startswith("<") & F.col("line").contains(">:"), F.expr("substring(substring_index(line, '>:', 1), 2)")))
-    rows = _addressed(rows.withColumn("kernel", carried(F.col("start"), ["file"])).where("start is null and kernel is not null"))
+    rows = _addressed(carry(rows, "file", kernel=F.col("start")).where("start is null and kernel is not null"))
     coded = (F.length(_word(F.col("code"))) == 8) & _hex(_word(F.col("code"))).isNotNull() & (_rest(F.col("code")) != "")
     rows = rows.withColumn("code", F.when(coded, _rest(F.col("code"))).otherwise(F.col("code"))).withColumn("m", _word(F.col("code")))
     rows = rows.where((F.length("m") > 1) & _dotted(F.col("m"), "a-z_", "_") & ~F.col("m").contains("."))
@@ -107,7 +107,7 @@ def objdump(texts: DataFrame, symbol: str | None = None, arch: str = "x86-64") -
     rows = explode_lines(texts, "file").withColumn("value", F.rtrim("value"))
     titled = F.col("value").endswith(">:") & _hex(F.substring_index("value", " <", 1)).isNotNull()
     rows = rows.withColumn("start", F.when(titled, F.expr("substring(value, length(substring_index(value, ' <', 1)) + 3, length(value) - length(substring_index(value, ' <', 1)) - 4)")))
-    rows = rows.withColumn("kernel", carried(F.col("start"), ["file"])).where("start is null")
+    rows = carry(rows, "file", kernel=F.col("start")).where("start is null")
     rows = rows.where(F.col("kernel").contains(symbol)) if symbol is not None else rows
     rows = _addressed(rows).where(~F.col("value").endswith(":")).withColumn("m", _word(F.col("code"))).where(_dotted(F.col("m")))
     operands = F.rtrim(F.substring_index(_rest(F.col("code")), "#", 1))
@@ -143,7 +143,7 @@ def dwarf_lines(texts: DataFrame) -> DataFrame:
     """addr, file, line of decoded line tables; the compilation unit's file where a row names none."""
     rows = explode_lines(texts, "file").select(F.col("file").alias("of"), "pos", F.trim("value").alias("value"))
     unit = F.trim(group(r"^CU:\s*(.+):", 1))
-    rows = rows.withColumn("unit", F.last(unit, ignorenulls=True).over(Window.partitionBy("of").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = carry(rows, "of", unit=unit)
     pattern = r"(?i)^(.+?)\s+(\d+)\s+(0x[0-9a-f]+)"
     at = lambda k: F.regexp_extract("value", pattern, k)
     rows = rows.where(F.col("value").rlike(pattern) & ~F.col("value").startswith("CU:")).select("pos", F.when(F.trim(at(1)) != "", F.trim(at(1))).otherwise(F.col("unit")).alias("file"), at(2).cast("int").alias("line"), hex_to_long(at(3)).alias("addr"))
@@ -153,7 +153,7 @@ def dwarf_lines(texts: DataFrame) -> DataFrame:
 def listing_lines(texts: DataFrame) -> DataFrame:
     """addr, file, line from ``; file:line`` comments above instructions."""
     rows = explode_lines(texts, "file").withColumnRenamed("file", "of").withColumn("where_", group(r"^; (.+:\d+)$", 1))
-    rows = rows.withColumn("at", F.last("where_", ignorenulls=True).over(Window.partitionBy("of").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = carry(rows, "of", at=F.col("where_"))
     rows = rows.where(F.col("where_").isNull() & F.col("at").isNotNull() & F.col("value").rlike(r"(?i)^\s*[0-9a-f]+:"))
     return rows.select(hex_to_long(F.regexp_extract("value", r"(?i)^\s*([0-9a-f]+):", 1)).alias("addr"), F.regexp_extract("at", r"^(.+):(\d+)$", 1).alias("file"), F.regexp_extract("at", r"^(.+):(\d+)$", 2).cast("int").alias("line"))
 
@@ -165,7 +165,7 @@ def ptx_lines(texts: DataFrame) -> DataFrame:
     loc = r"^\s*\.loc\s+(\d+)\s+(\d+)"
     files = rows.where(F.col("value").rlike(f)).select("of", F.regexp_extract("value", f, 1).alias("n"), F.regexp_extract("value", f, 2).alias("file")).dropDuplicates(["of", "n"])
     now = F.when(F.col("value").rlike(loc), F.struct(F.regexp_extract("value", loc, 1).alias("n"), F.regexp_extract("value", loc, 2).cast("int").alias("line")))
-    rows = rows.withColumn("l", F.last(now, ignorenulls=True).over(Window.partitionBy("of").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = carry(rows, "of", l=now)
     a = r"(?i)^\s*/\*\s*([0-9a-f]+)\s*\*/"
     rows = rows.where(F.col("value").rlike(a) & F.col("l").isNotNull()).select("of", hex_to_long(F.regexp_extract("value", a, 1)).alias("addr"), F.col("l.n").alias("n"), F.col("l.line").alias("line"))
     return rows.join(files, ["of", "n"]).select("addr", "file", "line")

@@ -1,16 +1,18 @@
 """Text with and without line order.
 
 Formats whose lines stand for themselves are read line by line, split as Spark
-likes.  Where lines depend on those before them, files are read whole and
-exploded with their positions; state is then carried along by windows over
-(file, position), one file at a time.
+likes.  Where lines depend on those before them, lines are numbered by their
+place in the file, and what they depend on is carried along by running maxima
+over ranges of lines (``carry``): no task holds a file, whatever its size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranges import running
+
 
 def free_lines(spark: SparkSession, path: str) -> DataFrame:
     """value: one row per line."""
@@ -18,20 +20,25 @@ def free_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """file, pos, value: the lines of each file in order."""
-    whole = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    return explode_lines(whole, "file")
+    """file, pos, value: the lines of each file, numbered in order; large files are split."""
+    meta = F.col("_metadata")
+    rows = spark.read.text(path).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block_"), F.monotonically_increasing_id().alias("line_"), F.regexp_replace("value", "\r$", "").alias("value"))
+    out = running(rows, ["file"], ["block_", "line_"], {"pos": ("sum", F.lit(1))})
+    return out.select("file", (F.col("pos") - 1).cast("int").alias("pos"), "value")
 
 
 def explode_lines(texts: DataFrame, *keys: str) -> DataFrame:
-    """Lines of ``value`` with their positions, keeping ``keys``."""
+    """Lines with their positions, keeping ``keys``: of whole texts (value), or numbered ones as they are."""
+    if "pos" in texts.columns:
+        return texts.select(*keys, "pos", "value")
     rows = texts.select(*keys, F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
     return rows.select(*keys, "pos", F.col("line").alias("value"))
 
 
-def carried(value: Column, by: list[str]) -> Column:
-    """The last non-null value up to this line of its file."""
-    return F.last(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+def carry(rows: DataFrame, by: str, **values: Column) -> DataFrame:
+    """``rows`` with the last value of each column that isn't null, up to this line of its file."""
+    last = {n: ("max", F.when(c.isNotNull(), F.struct(F.col("pos").alias("pos"), c.alias("value")))) for n, c in values.items()}
+    return running(rows, [by], ["pos"], last).withColumns({n: F.col(n)["value"] for n in values})
 
 
 def group(pattern: str, n: int, c: str = "value") -> Column:
@@ -41,4 +48,4 @@ def group(pattern: str, n: int, c: str = "value") -> Column:
 
 def number(c: Column) -> Column:
     """A number that may hold grouping commas or blanks; null if it is none."""
-    return F.regexp_replace(c, "[,   ]", "").try_cast("double")
+    return F.regexp_replace(c, "[, \u00a0\u202f]", "").try_cast("double")

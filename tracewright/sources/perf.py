@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.formats import perf_event, symbol
 from ..schema import empty_tags
-from .lines import explode_lines
+from ..operators.ranges import running
+from .lines import explode_lines, numbered
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """block, value: samples, which are separated by blank lines (one block where there are none)."""
-    return spark.read.text(path, lineSep="\n\n").withColumn("block", F.monotonically_increasing_id())
+    """block, pos, value: the numbered lines of files of samples, with or without blank lines between these."""
+    return numbered(spark, path).withColumnRenamed("file", "block")
 
 
 def _words(c: Column) -> Column:
@@ -39,9 +40,7 @@ def samples(blocks: DataFrame) -> DataFrame:
     the process (``pid`` or ``pid/tid``), behind it the event (``count name:``) and, in
     the flat form, the frame.  A frame is ``address function (object)``, indented.
     """
-    from pyspark.sql import Window
-
-    rows = explode_lines(blocks.select("block", "value"), "block").where(F.trim("value") != "")
+    rows = explode_lines(blocks, "block").where(F.trim("value") != "")
     rows = rows.withColumn("w", _words(F.col("value")))
     stamps = F.transform("w", lambda x: x.endswith(":") & x.contains(".") & F.rtrim(F.translate(x, ":", "")).try_cast("decimal(30,9)").isNotNull())
     rows = rows.withColumn("t", F.array_position(stamps, True).cast("int"))
@@ -49,8 +48,7 @@ def samples(blocks: DataFrame) -> DataFrame:
     rows = rows.withColumn("at", F.col("t") - F.when(F.get("w", F.col("t") - 2).startswith("["), 3).otherwise(2))
     who = F.split(F.get("w", F.col("at")), "/")
     rows = rows.withColumn("head", (F.col("at") >= 1) & F.get(who, F.lit(0)).try_cast("bigint").isNotNull())
-    w = Window.partitionBy("block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("sample", F.max(F.when(F.col("head"), F.col("pos"))).over(w)).where("sample is not null")
+    rows = running(rows, ["block"], ["pos"], {"sample": ("max", F.when(F.col("head"), F.col("pos")))}).where("sample is not null")
     stamp = F.translate(F.get("w", F.col("t") - 1), ":", "").try_cast("decimal(30,9)")
     event = F.slice("w", F.col("t") + 1, F.size("w"))
     counted = F.get(event, F.lit(0)).try_cast("bigint").isNotNull() & F.get(event, F.lit(1)).endswith(":")

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import components, materialize, partitions, release, table, utf8
 
 THRESHOLD, K, TREES, BLOCK, ROUNDS, AUDIT, GROUP = 0.95, 12, 6, 256, 2, 256, 512
-MORE_ROUNDS, LEAST_RECALL, HUB = 5, 0.9, 16
+MORE_ROUNDS, LEAST_RECALL, HUB, DEAL = 5, 0.9, 16, 16
 EDGES = "u long, v long, s float"
 
 
@@ -267,10 +267,11 @@ def hidden_links(graph: DataFrame, label: DataFrame, vectors: DataFrame, k: int,
     """
     n = partitions(vectors.sparkSession)
     full = graph.groupBy("u").agg(F.count("*").alias("n"), F.min("s").alias("s")).where((F.col("n") >= k) & (F.col("s") >= threshold - 1e-4)).select(F.col("u").alias("vec_id"))
-    full = full.join(label.select(F.col("id").alias("vec_id"), F.col("component_id").alias("comp")), "vec_id").join(vectors.select("vec_id", "x", "dim"), "vec_id")
+    full = full.join(label.select(F.col("id").alias("vec_id"), F.col("component_id").alias("comp")), "vec_id").select("comp", "vec_id")
     size = full.groupBy("comp").agg(F.count("*").alias("size"))
+    full = dealt(full, size).join(vectors.select("vec_id", "x", "dim"), "vec_id")
     cell = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.ceil(F.col("size") / GROUP).cast("long"))
-    cells = full.join(size, "comp").groupBy("comp", "dim", cell.alias("cell")).agg(F.collect_list(F.struct("vec_id", "x")).alias("g"))
+    cells = full.groupBy("comp", "dim", cell.alias("cell")).agg(F.collect_list(F.struct("vec_id", "x")).alias("g"))
     balls = cells.mapInArrow(_balls, "comp long, dim int, cell long, g array<struct<vec_id:long,x:binary>>, mean binary, radius double")
     balls = materialize(balls.withColumn("ball", F.xxhash64("comp", "cell")), "nn-balls")
     deal = max(1, -(-balls.count() // GROUP))
@@ -344,26 +345,33 @@ def _count_blocks(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterat
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids_out)), pa.array(np.concatenate(n_out).astype(np.int64))], ["vec_id", "n"])
 
 
-def count_links(members: DataFrame, threshold: float) -> DataFrame:
-    """vec_id, n_links of all members (comp, vec_id, x, copies), copies of a vector counted with it."""
-    n = partitions(members.sparkSession)
-    size = members.groupBy("comp").agg(F.count("*").alias("size"))
-    sized = members.join(size, "comp")
+def dealt(rows: DataFrame, by_component: DataFrame) -> DataFrame:
+    """``rows`` (comp, vec_id) with the columns of their component, of which there are ``DEAL`` copies: a large component spreads over tasks."""
+    copies = by_component.withColumn("deal_", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))))
+    own = rows.withColumn("deal_", F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(DEAL)).cast("int"))
+    return own.join(copies, ["comp", "deal_"]).drop("deal_")
+
+
+def count_links(label: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """vec_id, n_links of all labelled vectors (comp, vec_id), copies of a vector counted with it."""
+    n = partitions(vectors.sparkSession)
+    size = label.groupBy("comp").agg(F.count("*").alias("size"))
+    sized = dealt(label, size).join(vectors.select("vec_id", "x", "copies"), "vec_id")  # sizes first: vectors move by their own ids only
     small = sized.where(F.col("size") <= GROUP).groupBy("comp").agg(F.collect_list(F.struct("vec_id", "x", "copies")).alias("g")).select("g")
     out = small.mapInArrow(lambda it: _count_small(it, threshold), "vec_id long, n_links long")
     large = sized.where(F.col("size") > GROUP).select("comp", "vec_id", "x", "copies", "size")
     sums = large.select("comp", "x").mapInArrow(_sums, "comp long, sum array<double>").select("comp", F.posexplode("sum").alias("i", "s"))
     means = sums.groupBy("comp", "i").agg(F.sum("s").alias("s")).groupBy("comp").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda p: p["s"]).alias("mean"))
-    angled = large.join(means, "comp").select("comp", "vec_id", "x", "mean", "copies")
+    angled = dealt(large, means).select("comp", "vec_id", "x", "mean", "copies")
     angled = materialize(angled.mapInArrow(_angles, "comp long, vec_id long, x binary, angle double, copies long"), "nn-angles")
     half = float(np.arccos(threshold)) / 2 - 1e-9
     angled = angled.withColumn("cap", F.col("angle") <= half)
     inside = angled.where("cap").groupBy("comp").agg(F.sum("copies").alias("all"))
-    capped = angled.where("cap").join(inside, "comp").select("vec_id", (F.col("all") - 1).alias("n"))
+    capped = dealt(angled.where("cap"), inside).select("vec_id", (F.col("all") - 1).alias("n"))
     # the rest, in blocks of GROUP, against all blocks of their component, each two of them by a key of their own
     cells = F.ceil(F.col("size") / GROUP).cast("long")
     cell = lambda name, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), cells).alias(name)
-    withsize = angled.join(size.where(F.col("size") > GROUP), "comp")
+    withsize = dealt(angled, size.where(F.col("size") > GROUP))
     row = F.struct("vec_id", "x", "copies", "cap")
     blocks = withsize.groupBy("comp", cell("cell", 1)).agg(F.collect_list(row).alias("g"))
     edge = withsize.where("not cap").groupBy("comp", "size", cell("mine", 2)).agg(F.collect_list(row).alias("f"))
@@ -426,8 +434,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if lost or hidden.limit(1).count():
         links = links.union(hidden)
         label = materialize(components(links.union(missed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), "nn-cc2"), "nn-label")
-    members = label.withColumnRenamed("id", "vec_id").join(reps, "vec_id").select(F.col("component_id").alias("comp"), "vec_id", "x", "copies")
-    counted = materialize(count_links(members, threshold).join(label.withColumnRenamed("id", "vec_id"), "vec_id"), "nn-counts")
+    members = label.select(F.col("component_id").alias("comp"), F.col("id").alias("vec_id"))
+    counted = materialize(count_links(members, reps, threshold).join(label.withColumnRenamed("id", "vec_id"), "vec_id"), "nn-counts")
     by_class = fold.join(counted.select(F.col("vec_id").alias("rep"), "n_links", "component_id"), "rep", "left")
     by_class = by_class.select("dim", "digest", F.coalesce("n_links", F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     out = units.withColumn("digest", F.sha2("x", 256)).join(by_class, ["dim", "digest"], "left")

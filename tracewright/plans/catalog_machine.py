@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions import formats as X
 from ..functions import names as N
 from ..operators import insns, roofline
+from ..sinks import summary
 from . import views as V
 from .catalog import query
 
@@ -89,11 +92,18 @@ query(
 SELECT x_lo, greatest(x_hi, x_lo + 2) AS x_hi, least(y_lo, y_hi - 2) AS y_lo, y_hi FROM z""",
     "kernels",
 )(lambda s, d: roofline.axis_ranges(_metrics(s, d), _gpu(s)))
+_POINTS = " SELECT kernel_name AS kernel, CASE WHEN bytes = 0 OR ai >= ridge THEN 'compute' ELSE 'memory' END AS bound, greatest(CASE WHEN ai < 1e9::double THEN ai ELSE ridge * 100 END, 1e-3::double) AS x, greatest(CASE WHEN ai < ridge AND ai > 0 THEN least(achieved_tflops, ai * bw / 1000) ELSE achieved_tflops END, 1e-3::double) AS y, greatest(10.0::double, 8 + 4 * log10(greatest(dur, 1) / 1e6::double)) AS size, flops > 0 AS measured FROM r"
+query("roofline_points", _ROOF + _POINTS, "kernels")(lambda s, d: roofline.points(_metrics(s, d), _gpu(s)))
+query("roofline_document", _ROOF + _POINTS, "kernels")(
+    lambda s, d: s.createDataFrame([(p["kernel"], p["bound"], p["x"], p["y"], p["size"], p["measured"]) for p in json.loads(summary.roofline_json(_metrics(s, d), _gpu(s)))["points"]], "kernel string, bound string, x double, y double, size double, measured boolean")
+)
 query(
-    "roofline_points",
-    _ROOF + " SELECT kernel_name AS kernel, CASE WHEN bytes = 0 OR ai >= ridge THEN 'compute' ELSE 'memory' END AS bound, greatest(CASE WHEN ai < 1e9::double THEN ai ELSE ridge * 100 END, 1e-3::double) AS x, greatest(CASE WHEN ai < ridge AND ai > 0 THEN least(achieved_tflops, ai * bw / 1000) ELSE achieved_tflops END, 1e-3::double) AS y, greatest(10.0::double, 8 + 4 * log10(greatest(dur, 1) / 1e6::double)) AS size, flops > 0 AS measured FROM r",
+    "roofline_raster",
+    _ROOF + f""", q AS (SELECT min(ai) AS lo, max(ai) AS hi, min(achieved_tflops) AS tp, max(ridge) AS r, max(peak) AS peak FROM r), z AS (SELECT log10(greatest(least(lo / 5, r / 50), 1e-5::double)) AS x_lo, log10(greatest(hi, r) * 10) AS x_hi0, log10(greatest(tp / 5, 1e-9::double)) AS y_lo0, log10(peak * 3) AS y_hi FROM q),
+a AS (SELECT x_lo, greatest(x_hi0, x_lo + 2) AS x_hi, least(y_lo0, y_hi - 2) AS y_lo, y_hi FROM z), p AS ({_POINTS}), c AS (SELECT chr(cast(64 + row_number() OVER (ORDER BY kernel) AS integer)) AS letter, cast(round((log10(x) - x_lo) / (x_hi - x_lo) * 59) AS integer) AS col, 15 - cast(round((log10(greatest(y, 1e-12::double)) - y_lo) / (y_hi - y_lo) * 15) AS integer) AS line FROM p, a)
+SELECT line, col, max(letter) AS letter FROM c WHERE line BETWEEN 0 AND 15 AND col BETWEEN 0 AND 59 GROUP BY line, col""",
     "kernels",
-)(lambda s, d: roofline.points(_metrics(s, d), _gpu(s)))
+)(lambda s, d: s.createDataFrame([(r, c, x) for r, line in enumerate(roofline.raster(_metrics(s, d), _gpu(s))) for c, x in enumerate(line) if x.isalpha()], "line int, col int, letter string"))
 query(
     "roofline_ceilings",
     """WITH d AS (SELECT 19.5::double AS peak, 1555.0::double AS bw, 6144.0::double AS l2, 9.7::double AS f64, 78.0::double AS f16, 312.0::double AS tc), r AS (SELECT *, peak * 1e12::double / (bw * 1e9::double) AS r, peak * 1e12::double / (l2 * 1e9::double) AS r2, f64 * 1e12::double / (bw * 1e9::double) AS r64, f16 * 1e12::double / (bw * 1e9::double) AS r16, tc * 1e12::double / (bw * 1e9::double) AS rt FROM d)

@@ -221,6 +221,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, b
                 rows = r.df
             else:
                 df[r.gram] = r.df
+        shared.destroy()
         both = spark.sparkContext.broadcast((some, some.seeds(df, max(FEW, RARE * rows))))
         found = found.unionByName(texts.mapInArrow(lambda it, s=both: _align(it, s, threshold), RESULT))
     best = F.min(F.struct((-F.col("score")).alias("less"), "first_word", "last_word")).alias("b")

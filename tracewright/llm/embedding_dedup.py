@@ -407,6 +407,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         queries[dim] = (np.array([r.vec_id for r in some], np.int64), np.array([np.frombuffer(r.x, np.float64) for r in some]))
     shared = spark.sparkContext.broadcast(queries)
     truth = materialize(reps.select("vec_id", "x", "dim").mapInArrow(lambda it: _audit(it, shared, threshold), "a long, b long"), "nn-truth")
+    shared.destroy()
     wanted = truth.count()
     k, done = K, 0
     while True:

@@ -216,6 +216,7 @@ def identify(docs: DataFrame, text: Column, declared: Column, url: Column, model
     tops = base.select("text", "declared", "host", "domain", taught).mapInArrow(lambda it: _tops(it, shared), "declared string, host string, domain string, taught boolean, top int")
     counted = tops.where("top >= 0").groupBy("host", "domain", "declared", "taught", "top").agg(F.count("*").alias("n"))
     counted = materialize(counted, "lang-counts")
+    shared.destroy()
     agree = np.full((n, n + 1), 0.5)  # language of the text, declared language (the last: any other)
     agree[np.arange(n), np.arange(n)] += 5 * n
     index = {k: i for i, k in enumerate(model.languages)}

@@ -264,6 +264,7 @@ def crossing(label: DataFrame, crowded: DataFrame, sets: DataFrame, per_cent: in
     shared = spark.sparkContext.broadcast(load)
     mine = mine.join(label.select(F.col("id").alias("doc_id"), F.col("component_id").alias("comp")), "doc_id", "left").select("doc_id", F.coalesce("comp", "doc_id").alias("comp"), "hashes")
     rows = materialize(mine.mapInArrow(lambda it: _prefixes(it, shared, per_cent), "token long, doc_id long, comp long, n int, pos int"), "mh-prefix")
+    shared.destroy()
     many = rows.groupBy("token").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("cells"))
     rows = rows.join(many, "token").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("cells")).cast("int")).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     x = rows.select("token", F.col("mine").alias("i"), F.col("theirs").alias("j"), F.col("doc_id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("pos").alias("px"))
@@ -309,7 +310,9 @@ def audit(texts: DataFrame, sketch: DataFrame, reps: DataFrame, words: int, per_
     owner = np.repeat(np.arange(len(ids)), [len(x) for x in each])[order]
     shared = spark.sparkContext.broadcast((ids, np.array([len(x) for x in each], np.int64), known, np.append(begin, len(every)), owner))
     found = texts.mapInArrow(lambda it: _audited(it, shared, words, per_cent), "a long, b long")
-    return materialize(found.join(reps.withColumnRenamed("doc_id", "b"), "b", "left_semi").where("a <> b").distinct(), "mh-truth")
+    out = materialize(found.join(reps.withColumnRenamed("doc_id", "b"), "b", "left_semi").where("a <> b").distinct(), "mh-truth")
+    shared.destroy()
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
@@ -363,6 +366,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
         raise RuntimeError(f"the forest found only {recall:.3f} of the audited links")
     if lost:
         label = materialize(components(links.union(missed), "mh-cc3"), "mh-label3")
+    release(truth)
     label = label.select(F.col("id").alias("rep"), F.col("component_id").alias("cid"))
     by_class = materialize(classes.join(label, "rep", "left").select("fp_a", "fp_b", "n_shingles", F.coalesce("cid", "rep").alias("cid")), "mh-class-label")
     out = sketch.select("doc_id", "n_shingles", "fp_a", "fp_b").join(by_class, ["fp_a", "fp_b", "n_shingles"], "left")

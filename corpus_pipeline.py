@@ -11,7 +11,11 @@ next one's input, so a lost executor costs no more than running tasks.
 5. tokens: the rest is encoded as SentencePiece ids.
 
 Rows with a null doc_id pass stages 2 to 4 as they are; null and blank texts
-have no language and go in stage 1; extra columns stay until stage 5.
+have no language and go in stage 1; extra columns stay until stage 5, whatever their
+names.  Ties are the operators': the first language, the earliest line, the smallest
+doc_id.  Of equal rows all stay that their lines leave anything of; different texts under
+one doc_id are compared like others, but go together where one of them leaks or links to
+a smaller id.  Texts of any length are processed whole; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -266,3 +266,22 @@ def test_headers_by_position(spark):
     rows = [(1, "my tool  7/8 [003] 2.25: 100 page-faults: 4005d0 operator()(int, char) const+0x1 (/a b.so)"), (2, "x 9 3.5: cycles: add"), (3, "no time stamp here"), (4, "")]
     got = sorted((r.block, r.comm, r.pid, r.tid, r.start_ns, r.symbol) for r in perf.samples(spark.createDataFrame(rows, "block long, value string")).collect())
     assert got == [(1, "my tool", 7, 8, 2_250_000_000, "operator()(int, char) const"), (2, "x", 9, 9, 3_500_000_000, "add")]
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    """Lines are numbered in order however files are cut into splits."""
+    from tracewright.sources import lines
+
+    for name, n in (("a", 3000), ("b", 1), ("c", 500)):
+        (tmp_path / name).write_text("".join(f"{name}{i}\r\n" for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = lines.numbered(spark, str(tmp_path)).collect()
+        seq = sorted((r.seq, r.value.rstrip()) for r in lines.sequenced(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert len(rows) == 3501 and all(r.value == f"{r.file[-1]}{r.pos}" for r in rows)
+    assert seq == list(enumerate(f"{name}{i}" for name, n in (("a", 3000), ("b", 1), ("c", 500)) for i in range(n)))

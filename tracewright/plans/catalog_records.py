@@ -14,7 +14,7 @@ from .catalog import query
 
 
 def _lines(s, d):  # noqa: ANN001, ANN202
-    """The events as hook records, some of them broken."""
+    """The events as hook records: every fiftieth broken, every third with a stack, so that both kinds are there."""
     e = V.spans(s, d)
     text = F.concat_ws(":", F.lit("span"), "category", F.when(F.col("seq") % 50 == 7, "x").otherwise(F.col("pid").cast("string")), F.col("tid").cast("string"), F.col("start_ns").cast("string"), F.col("duration_ns").cast("string"), "name", F.concat(F.lit("type="), F.coalesce(F.element_at("tags", "type"), F.lit("none")), F.lit(",sid="), "span_id", F.lit(",flag")))
     spans = e.select((F.col("seq") * 2).alias("seq"), text.alias("value"))

@@ -8,7 +8,7 @@ over ranges of lines (``carry``): no task holds a file, whatever its size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranges import running
@@ -19,12 +19,28 @@ def free_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def _placed(spark: SparkSession, path: str, by: list[str]) -> DataFrame:
+    """file, place, value: the lines of files with their place (from 0) in the file, or with ``by`` empty in all of them.
+
+    A line's place in its split is known where it is read; how many lines come before the split is summed up
+    over splits.  Lines are read twice, and neither copied nor sorted.
+    """
+    meta = F.col("_metadata")
+    rows = spark.read.text(path).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block_"), F.monotonically_increasing_id().alias("line_"), "value")
+    splits = rows.groupBy("file", "block_").agg(F.min("line_").alias("first_"), F.count("*").alias("n_"))
+    before = F.sum("n_").over(Window.partitionBy(*by).orderBy("file", "block_").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "block_", (F.coalesce(before, F.lit(0)) - F.col("first_")).alias("base_"))
+    return rows.join(splits, ["file", "block_"]).select("file", (F.col("line_") + F.col("base_")).alias("place"), "value")
+
+
 def numbered(spark: SparkSession, path: str) -> DataFrame:
     """file, pos, value: the lines of each file, numbered in order; large files are split."""
-    meta = F.col("_metadata")
-    rows = spark.read.text(path).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block_"), F.monotonically_increasing_id().alias("line_"), F.regexp_replace("value", "\r$", "").alias("value"))
-    out = running(rows, ["file"], ["block_", "line_"], {"pos": ("sum", F.lit(1))})
-    return out.select("file", (F.col("pos") - 1).cast("int").alias("pos"), "value")
+    return _placed(spark, path, ["file"]).select("file", F.col("place").cast("int").alias("pos"), F.regexp_replace("value", "\r$", "").alias("value"))
+
+
+def sequenced(spark: SparkSession, path: str) -> DataFrame:
+    """value, seq: the lines of all files in order of file and place."""
+    return _placed(spark, path, []).select("value", F.col("place").alias("seq"))
 
 
 def explode_lines(texts: DataFrame, *keys: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import hex_to_long
 from ..schema import category, empty_tags
+from .lines import sequenced
 
 _INT, _REAL = r"-?\d{1,19}", r"(?:[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?|[-+]?(?:nan|inf|NaN|Infinity))"
 RECORD = (
@@ -20,8 +21,8 @@ RECORD = (
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """value, seq: lines with an order of arrival."""
-    return spark.read.text(path).withColumn("seq", F.monotonically_increasing_id())
+    """value, seq: lines with an order of arrival, that of files and of lines in them."""
+    return sequenced(spark, path)
 
 
 def parse(lines: DataFrame) -> DataFrame:

@@ -27,7 +27,9 @@ def test_without_article_element():
     [
         (None, ""), ("", ""), ("<nav>menu</nav>", ""), ("plain words", "plain words"), ("<p>a\n  b\t<b>c</b>d</p>", "a b cd"), ("<p>a<br>b</p><p>c", "a b\n\nc"), ("<p>x &amp;amp; y &lt;b&gt; &#8364; &eacute;</p>", "x &amp; y <b> € é"),
         ("<p>one</p><!-- <p>no</p> --><p>two</p>", "one\n\ntwo"), ("<p>a < b and c > d</p>", "a < b and c > d"), ("<p>unclosed <b>bold<p>next", "unclosed bold\n\nnext"), ("<p title='a>b'>x</p>", "x"),
-        ("<script>never closed <p>x</p>", ""), ("<head><title>x<body><p>text</p>", "text"), ('<head><script>document.write("<body>");</script></head><body><p>a b</p>', "a b"), ("<p>shown</p><p hidden>not</p><p style='display: none'>nor this</p>", "shown"), ("<p>" + "word " * 50000 + "</p>", ("word " * 50000).strip()), ("<P>Upper</P><DIV CLASS=AD>buy</DIV>", "Upper"),
+        ("<script>never closed <p>x</p>", ""), ("<head><title>x<body><p>text</p>", "text"), ('<head><script>document.write("<body>");</script></head><body><p>a b</p>', "a b"), ("<p>a b</p><svg width=1/><p>c d</p><svg><text>no</text></svg><p>e f</p>", "a b\n\nc d\n\ne f"), ("<div><option>x<option>y</div><p>shown text</p>", "shown text"), ("<div><p>a b c</p><button>press</div><p>d e f</p>", "a b c\n\nd e f"),
+        ("<p>one two<textarea>never closed<p>x</p>", "one two"), ("<html><head><meta charset=x><link rel=y></head><p>text of it</p>", "text of it"), ("<!-- never closed <p>x</p>", ""), ("<p title=\"it's>a</p>x y z", "a\n\nx y z"),
+        ("<p>shown</p><p hidden>not</p><p style='display: none'>nor this</p>", "shown"), ("<p>" + "word " * 50000 + "</p>", ("word " * 50000).strip()), ("<P>Upper</P><DIV CLASS=AD>buy</DIV>", "Upper"),
     ],
 )
 def test_small_pages(page, want):
@@ -107,6 +109,8 @@ def test_nesting_costs_linear_time():
     H.main_text("<div><b>" * n + "x" + "</i>" * n, H.Weights())
     H.main_text("<p>" + "<b>" * n + "<div></div>" * n, H.Weights())
     H.Counts().add("<article>" + "".join(f"<div class=a{k}>w " for k in range(n)))
+    H.main_text("<option>x" * n + "<p>text", H.Weights())
+    H.main_text("<p it's \"q>x" * n, H.Weights())
     assert time.perf_counter() - began < 20
 
 

@@ -49,8 +49,10 @@ WORD, TAG, SKIP = 1.0, -0.2, 25
 RESULT = "page_id long, url string, text string, n_chars long"
 
 # Elements whose text is never shown, elements that start a block, void elements.
-UNSEEN = "script style noscript template svg math iframe object canvas audio video textarea select option datalist button".split()
+UNSEEN = frozenset("script style noscript template svg math iframe object canvas audio video textarea select option datalist button title".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
+# Those of them that end only with their end tag, and so hold the rest of a page without one.
+RAW = frozenset("script style textarea iframe noscript title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Names that speak against content, as tags or as class, id and role tokens.
 BAD_TAGS = frozenset("nav header footer aside form menu dialog fieldset label".split())
@@ -67,13 +69,13 @@ OWN = frozenset("article blog content entry post story text".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{'|'.join(UNSEEN)})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*+>|\Z)"
-    r"|<(?P<top>head|title)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?:<(?P<inner>script|style)\b.*?</(?P=inner)\s*+>|.)*?(?:</(?P=top)\s*+>|(?=<body\b)|\Z)"
     r"|<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[!?/][^>]*+>"
     r"|<[A-Za-z/][^>]*+>",
-    re.S | re.I,
+    re.S,
 )
+_END = {name: re.compile(rf"</{name}\s*+>", re.I) for name in UNSEEN}
+_BODY = re.compile(r"<body\b", re.I)
 _ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PART = re.compile("[A-Z]?[a-z]+|[A-Z]+")
 
@@ -103,14 +105,26 @@ def features(name: str, attrs: str) -> tuple[tuple[str, ...], bool]:
 
 
 def tokens(page: str) -> Iterator[tuple]:
-    """('text', raw) and ('tag', is_end, name, attrs) in page order."""
-    at = 0
-    for m in _TOKEN.finditer(page):
+    """('text', raw) and ('tag', is_end, name, attrs) in page order; elements that are never shown are left out with all they hold."""
+    at, endless = 0, set()
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             yield "text", page[at : m.start()]
         at = m.end()
-        if m["name"]:
-            yield "tag", bool(m["end"]), m["name"].lower(), m["attrs"]
+        if not m["name"]:
+            continue
+        name, attrs = m["name"].lower(), m["attrs"]
+        if name in UNSEEN and not m["end"] and not (name in ("svg", "math") and attrs.endswith("/")):
+            end = None if name in endless else _END[name].search(page, at)
+            if end:
+                at = end.end()
+                continue
+            endless.add(name)  # looked for once
+            if name in RAW:
+                body = _BODY.search(page, at) if name == "title" else None
+                at = body.start() if body else len(page)
+                continue
+        yield "tag", bool(m["end"]), name, attrs
     if at < len(page):
         yield "text", page[at:]
 
@@ -197,6 +211,8 @@ def walk(page: list[tuple], weights: Weights, label: str | None, opened=None, cl
                     k -= 1
                 pop_to(k)
         elif name not in VOID and not attrs.endswith("/"):
+            if name == "body" and names["head"]:
+                pop_to(next(k for k, x in enumerate(stack) if x.name == "head"))
             # a paragraph ends where another block begins; so does an item at the next one
             if name in BLOCKS and block >= 0 and (stack[block].name == "p" or (stack[block].name == name and name in ("li", "dd", "dt", "tr", "td", "th"))):
                 pop_to(block)
@@ -205,6 +221,7 @@ def walk(page: list[tuple], weights: Weights, label: str | None, opened=None, cl
                     pop_to(len(stack) - 1)
             now = stack[-1] if stack else None
             feats, hidden = features(name, attrs)
+            hidden |= name == "head" or name in UNSEEN
             marks = name == label
             own = -9.0 if hidden else 0.0 if marks and weights.below(feats, True) >= -WORD else weights.below(feats, bool(now and now.inside))
             odds = min(now.odds if now else 0.0, own)

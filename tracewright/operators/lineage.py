@@ -29,9 +29,12 @@ def shared_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; what is written there goes when the program ends, if not before."""
+    return _remembered(f"{shared_root(spark)}/tw-{name}-{uuid.uuid4().hex[:12]}")
+
+
+def _remembered(path: str) -> str:
     if not _SCRATCH:
         atexit.register(_delete_all)
-    path = f"{shared_root(spark)}/tw-{name}-{uuid.uuid4().hex[:12]}"
     _SCRATCH.add(path)
     return path
 
@@ -59,4 +62,8 @@ def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint()
+    out = df.checkpoint()
+    written = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if written.isDefined():
+        _remembered(written.get())
+    return out

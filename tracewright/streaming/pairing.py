@@ -22,19 +22,20 @@ def pair(marks: DataFrame) -> DataFrame:
     """Spans from marks (pid, tid, seq, timestamp_ns, kind begin|end, name): an end closes its thread's latest open begin.
 
     The depth after each mark is a running sum; a begin and the end that closes
-    it are neighbours among the marks of their depth.
+    it are neighbours among the marks of their depth.  Sums and neighbours are found over
+    ranges of marks, so a thread of any length spreads over tasks.
     """
-    w = Window.partitionBy("pid", "tid").orderBy("seq")
+    by = ["pid", "tid"]
     step = F.when(F.col("kind") == "begin", 1).otherwise(-1)
-    rows = marks.withColumn("sum_", F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = running(marks.select(*by, "seq", "timestamp_ns", "kind", "name"), by, ["seq"], {"sum_": ("sum", step)})
     # ends without a begin don't take the depth below zero
-    low = F.least(F.min("sum_").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    rows = rows.withColumn("after", F.col("sum_") - low)
-    rows = rows.withColumn("level", F.when(F.col("kind") == "begin", F.col("after")).otherwise(F.col("after") + 1))
-    at = Window.partitionBy("pid", "tid", "level").orderBy("seq")
-    rows = rows.withColumns({"k_": F.lead("kind").over(at), "t_": F.lead("timestamp_ns").over(at)})
-    out = rows.where("kind = 'begin' and k_ = 'end'")
-    return out.select("pid", "tid", "name", F.col("timestamp_ns").alias("start_ns"), (F.col("t_") - F.col("timestamp_ns")).alias("duration_ns"), F.col("level").cast("int").alias("depth"))
+    rows = running(rows, by, ["seq"], {"down_": ("max", -F.col("sum_"))})
+    after = F.col("sum_") - F.least(-F.col("down_"), F.lit(0))
+    rows = rows.withColumn("level", F.when(F.col("kind") == "begin", after).otherwise(after + 1)).withColumn("back_", -F.col("seq"))
+    # counted backwards, the next mark is the last one before
+    rows = running(rows, [*by, "level"], ["back_"], {"next_": ("max", F.struct("back_", "kind", "timestamp_ns"))}, before=True)
+    out = rows.where("kind = 'begin' and next_.kind = 'end'")
+    return out.select("pid", "tid", "name", F.col("timestamp_ns").alias("start_ns"), (F.col("next_.timestamp_ns") - F.col("timestamp_ns")).alias("duration_ns"), F.col("level").cast("int").alias("depth"))
 
 
 def _close(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

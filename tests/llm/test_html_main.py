@@ -127,3 +127,19 @@ def test_edges(spark):
     got = sorted((r.page_id or 0, r.url, r.text, r.n_chars) for r in H.extract(df).collect())
     assert got == [(0, "u", "x", 1), (1, None, "", 0), (2, "u", WANT, len(WANT)), (2, "u", WANT, len(WANT))]
     assert H.extract(spark.createDataFrame([], PAGE)).count() == 0
+
+
+@pytest.mark.parametrize("around", ["<body class='has-sidebar comments-open'><div id=page class='site with-sidebar'>{}</div></body>", "<body><div class=widget>{}</div></body>", "<body class=sidebar>{}</body>"])
+def test_states_and_wrappers(around):
+    """What a page has or allows says nothing of an element that holds everything; an article counts wherever it is."""
+    inside = f"<article id=post-1 class='post status-publish comments-open hentry'><h1>The title of it</h1><p>{PROSE}</p></article>"
+    page = around.format("<nav><a href=/>Home</a></nav>" + inside + "<div class=comments><p>So true, thank you all for it.</p></div>")
+    assert H.main_text(page, H.Weights()) == f"The title of it\n\n{PROSE}"
+    if "widget" not in around:
+        plain = page.replace("<article", "<div").replace("</article", "</div")
+        assert H.main_text(plain, H.Weights()) == f"The title of it\n\n{PROSE}"
+
+
+def test_an_article_that_is_a_comment_is_no_label():
+    page = f"<body><div><h1>The title of it</h1><p>{PROSE}</p></div><article class=comment><p>So true, thank you all for it.</p></article></body>"
+    assert H.main_text(page, H.Weights()) == f"The title of it\n\n{PROSE}"

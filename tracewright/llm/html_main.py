@@ -66,6 +66,8 @@ PLAIN_TAGS = frozenset("div span section table tbody thead tr td th ul ol li dl
 # Parts of names that say what an element is built like, not what it holds; parts that make a header that of the text itself.
 BUILD = frozenset("area bar block body bottom box button buttons card cell col column container content div el element group inner item items layout left list main outer page panel posts right row section site top wrap wrapper".split())
 OWN = frozenset("article blog content entry post story text".split())
+# Parts that make a name tell of a state (has-sidebar, comments-open), not of what an element holds.
+STATE = frozenset("closed disabled enabled has is layout no off on open with without".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -83,6 +85,8 @@ _PART = re.compile("[A-Z]?[a-z]+|[A-Z]+")
 def parts_of(name: str) -> tuple[str, ...]:
     """The words of a class, id or role token that may say what it holds."""
     every = [x.lower() for x in _PART.findall(name)]
+    if len(every) > 1 and not STATE.isdisjoint(every):
+        return ()
     if "header" in every and not OWN.isdisjoint(every):
         every = [x for x in every if x != "header"]
     return tuple(x for x in every if x not in BUILD)
@@ -174,10 +178,10 @@ def label_of(page: list[tuple]) -> str | None:
 class Open:
     """An open element: its name, the log odds of words in it, its features, whether it is in the label, and the innermost block before it."""
 
-    __slots__ = ("name", "odds", "feats", "inside", "block", "own")
+    __slots__ = ("name", "odds", "feats", "inside", "block")
 
-    def __init__(self, name: str, odds: float, feats: tuple[str, ...], inside: bool, block: int, own: bool):
-        self.name, self.odds, self.feats, self.inside, self.block, self.own = name, odds, feats, inside, block, own
+    def __init__(self, name: str, odds: float, feats: tuple[str, ...], inside: bool, block: int):
+        self.name, self.odds, self.feats, self.inside, self.block = name, odds, feats, inside, block
 
 
 def walk(page: list[tuple], weights: Weights, label: str | None, opened=None, closed=None) -> Iterator[tuple]:  # noqa: ANN001
@@ -222,12 +226,13 @@ def walk(page: list[tuple], weights: Weights, label: str | None, opened=None, cl
             now = stack[-1] if stack else None
             feats, hidden = features(name, attrs)
             hidden |= name == "head" or name in UNSEEN
-            marks = name == label
-            own = -9.0 if hidden else 0.0 if marks and weights.below(feats, True) >= -WORD else weights.below(feats, bool(now and now.inside))
-            odds = min(now.odds if now else 0.0, own)
+            # the label counts unless one of its names says as such that it is something else; what is around it doesn't matter
+            marks = name == label and not hidden and not any(against(f) for f in feats)
+            own = -9.0 if hidden else 0.0 if marks or name in ("html", "body") else weights.below(feats, bool(now and now.inside))
+            odds = own if marks else min(now.odds if now else 0.0, own)
             if odds < -WORD and not (now and now.odds < -WORD):
                 cut += 1
-            stack.append(Open(name, odds, () if marks or name in ("html", "body") else feats, bool(now and now.inside) or (marks and own >= -WORD), block, marks))
+            stack.append(Open(name, odds, () if marks or name in ("html", "body") else feats, bool(now and now.inside) or marks, block))
             names[name] += 1
             if opened and stack[-1].feats:
                 opened(stack[-1].feats)
@@ -258,7 +263,7 @@ def main_text(page: str | None, weights: Weights) -> str:
     items: list[tuple[str | None, bool]] = []  # text (None: a tag), whether it breaks a block
     scores: list[float] = []
     seen = list(walk(page, weights, label))
-    marked = any(x[3] for x in seen)  # the label counts unless it says itself that it is something else
+    marked = any(x[3] for x in seen)
     left: Counter = Counter()  # words counted against a stretch, by left-out element
     for x in seen:
         if x[0] == "tag":

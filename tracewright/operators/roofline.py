@@ -215,9 +215,9 @@ TIERS = ["likwid", "perf_uncore", "perf_llc", "perf_amd", "perf_llcproxy"]
 
 
 def best_source(candidates: DataFrame) -> DataFrame:
-    """Of counters from several tools the most exact ones."""
+    """Of counters from several tools the most exact ones; of equally exact ones the first by their values."""
     rank = F.coalesce(_dim(F.col("source"), {t: i for i, t in enumerate(TIERS)}), F.lit(len(TIERS)))
-    return candidates.withColumn("rank", rank).orderBy("rank").limit(1).drop("rank")
+    return candidates.withColumn("rank", rank).orderBy("rank", *candidates.columns).limit(1).drop("rank")
 
 
 def by_device(metrics: DataFrame) -> DataFrame:

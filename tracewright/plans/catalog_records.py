@@ -97,8 +97,13 @@ def _marks(s, d):  # noqa: ANN001, ANN202
 
 query(
     "best_source",
-    "WITH c AS (SELECT * FROM (VALUES ('perf_llcproxy', 1), ('perf_uncore', 2), ('likwid', 3)) t(source, n)) SELECT source, n FROM c WHERE source = 'likwid'",
-)(lambda s, d: roofline.best_source(s.sql("SELECT * FROM VALUES ('perf_llcproxy', 1), ('perf_uncore', 2), ('likwid', 3) AS t(source, n)")))
+    "SELECT CASE c_nationkey % 4 WHEN 0 THEN 'perf_llcproxy' WHEN 1 THEN 'perf_amd' WHEN 2 THEN 'other' ELSE 'perf_uncore' END AS source, cast(count(*) AS bigint) AS n FROM customer GROUP BY c_nationkey ORDER BY CASE source WHEN 'perf_uncore' THEN 1 WHEN 'perf_amd' THEN 3 WHEN 'perf_llcproxy' THEN 4 ELSE 9 END, n LIMIT 1",
+)(
+    lambda s, d: roofline.best_source(
+        V.load(s, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+        .select(F.when(F.col("c_nationkey") % 4 == 0, "perf_llcproxy").when(F.col("c_nationkey") % 4 == 1, "perf_amd").when(F.col("c_nationkey") % 4 == 2, "other").otherwise("perf_uncore").alias("source"), "n")
+    )
+)
 query(
     "likwid_rates",
     "WITH m AS (SELECT l_orderkey AS f, l_linenumber AS core, l_quantity AS value FROM lineitem) SELECT 'likwid.total.flops' AS name, f, sum(value) AS value FROM m GROUP BY f HAVING count(*) > 1",

@@ -122,7 +122,7 @@ def test_posterior_against_brute_force(spark, sf, monkeypatch, sample):
     monkeypatch.setattr(G, "SAMPLE", sample)
     monkeypatch.setattr(G.fit, "__defaults__", (sample,))
     docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("text", F.substring("text", 1, 600)).cache()
-    got = [(r.text, r.lang, r.source, r.lang_id, r.posterior, r.kept) for r in G.documents_identified(docs).select("row.text", "row.lang", "row.source", "lang_id", "posterior", "kept").collect()]
+    got = [(r.text, r.lang, r.source, r.lang_id, r.posterior, r.kept) for r in G.documents_identified(docs, give_text=True).select("text", "row.lang", "row.source", "lang_id", "posterior", "kept").collect()]
     model = G.fit(docs, sample)
     chosen = docs.where(G.sampled(F.col("text"), G.primary(F.col("lang")), model.share)).select("text", G.primary(F.col("lang")).alias("lang")).distinct()
     want = plain([(t, d, s) for t, d, s, *_ in got], [tuple(r) for r in chosen.collect()])

@@ -84,7 +84,7 @@ def fixed_binary(rows: np.ndarray) -> pa.Array:
     return binary_column(np.frombuffer(rows.tobytes(), np.uint8), offs)
 
 
-def slices(offs: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(offs: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Cut rows into runs of about ``most`` bytes; a longer row stands alone."""
     i, n = 0, len(offs) - 1
     while i < n:

@@ -154,8 +154,8 @@ def _tops(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(top.astype(np.int32))], ["declared", "host", "domain", "taught", "top"])
 
 
-def _fused(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-    """Row, language, posterior, decision."""
+def _fused(batches: Iterator[pa.RecordBatch], shared, give_text: bool) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    """Row, text (if asked for), language, posterior, decision."""
     model, agree, overall = shared.value
     names = model.languages
     index = {k: i for i, k in enumerate(names)}
@@ -194,7 +194,8 @@ def _fused(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
         sure = p[np.arange(len(best)), best]
         kept = ~blank & (sure >= LEAST_POSTERIOR) & (mean.max(axis=1, initial=-np.inf) > noise)
         lang = pa.array([None if b else names[k] for k, b in zip(best, blank)], pa.string())
-        yield pa.RecordBatch.from_arrays([row, lang, pa.array(np.where(blank, 0.0, sure)), pa.array(kept)], ["row", "lang_id", "posterior", "kept"])
+        own_text, names_ = ([text], ["text"]) if give_text else ([], [])
+        yield pa.RecordBatch.from_arrays([row, *own_text, lang, pa.array(np.where(blank, 0.0, sure)), pa.array(kept)], ["row", *names_, "lang_id", "posterior", "kept"])
 
 
 def address(url: Column) -> tuple[Column, Column, Column]:
@@ -204,11 +205,12 @@ def address(url: Column) -> tuple[Column, Column, Column]:
     return host, F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), "."), F.element_at(labels, -1)
 
 
-def identify(docs: DataFrame, text: Column, declared: Column, url: Column, model: Model | None = None) -> DataFrame:
-    """``docs`` as a column ``row``, with lang_id, posterior and kept."""
+def identify(docs: DataFrame, text: Column, declared: Column, url: Column, model: Model | None = None, keep: list[str] | None = None, give_text: bool = False) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all) as a column ``row``, the text if asked for, with lang_id, posterior and kept."""
     spark = docs.sparkSession
     host, domain, suffix = address(url)
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.cast("string").alias("text"), primary(declared).alias("declared"), host.alias("host"), domain.alias("domain"), suffix.alias("suffix"))
+    row = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]
+    base = docs.select(F.struct(*(row or [F.lit(0)])).alias("row"), text.cast("string").alias("text"), primary(declared).alias("declared"), host.alias("host"), domain.alias("domain"), suffix.alias("suffix"))
     model = model or fit(base.select("text", F.col("declared").alias("lang")))
     n = len(model.languages)
     shared = spark.sparkContext.broadcast(model)
@@ -240,17 +242,19 @@ def identify(docs: DataFrame, text: Column, declared: Column, url: Column, model
     everything = spark.sparkContext.broadcast((model, agree, overall))
     joined = base.join(hosts, "host", "left").select("row", "text", "declared", "suffix", "own")
     kind = dict(joined.dtypes)["row"]
-    return joined.mapInArrow(lambda it: _fused(it, everything), f"row {kind}, lang_id string, posterior double, kept boolean")
+    return joined.mapInArrow(lambda it: _fused(it, everything, give_text), f"row {kind}, {'text string, ' if give_text else ''}lang_id string, posterior double, kept boolean")
 
 
-def documents_identified(docs: DataFrame) -> DataFrame:
-    return identify(docs, F.col("text"), F.col("lang"), F.col("source"))
+def documents_identified(docs: DataFrame, give_text: bool = False) -> DataFrame:
+    """``identify`` for documents; their texts, which are large, are not in ``row``."""
+    return identify(docs, F.col("text"), F.col("lang"), F.col("source"), keep=[c for c in docs.columns if c != "text"], give_text=give_text)
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` without those whose language can't be told; their lang is the one found."""
-    out = documents_identified(docs).where("kept")
-    return out.select(*[(F.col("lang_id") if c == "lang" else F.col(f"row.`{c}`")).cast(t).alias(c) for c, t in docs.dtypes])
+    out = documents_identified(docs, give_text=True).where("kept")
+    source = {"lang": F.col("lang_id"), "text": F.col("text")}
+    return out.select(*[source.get(c, F.col(f"row.`{c}`")).cast(t).alias(c) for c, t in docs.dtypes])
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,5 +267,5 @@ def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     bare = F.regexp_replace(F.regexp_replace(F.col("html"), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), "<[^>]*>", " ")
     said = F.regexp_extract(F.col("html"), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", 1)
-    out = identify(pages, F.regexp_replace(bare, r"&[A-Za-z0-9#]+;", " "), said, F.col("url"))
+    out = identify(pages, F.regexp_replace(bare, r"&[A-Za-z0-9#]+;", " "), said, F.col("url"), keep=["page_id"])
     return out.select("row.page_id", F.col("lang_id").alias("lang"), "posterior", "kept")

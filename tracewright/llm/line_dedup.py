@@ -232,7 +232,7 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, digest: bool =
     release(first)
     # other columns travel packed, so that their names can't clash
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    packed = F.struct(F.lit(0).alias("none"), *([] if digest else [F.col(f"`{c}`") for c in others])).alias("packed")
+    packed = F.struct(*([] if digest else [F.col(f"`{c}`") for c in others]) or [F.lit(0)]).alias("packed")
     flat = has_id.select(*key, packed)
     joined = flat.join(info, ROW, "left").select(F.struct("doc_id", "n_near", "packed").alias("row"), "text", "stay")
     kind = dict(joined.dtypes)["row"]

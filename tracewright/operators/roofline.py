@@ -124,9 +124,11 @@ def static_kernels(lines: DataFrame) -> DataFrame:
 def static_roofline(spans: DataFrame, lines: DataFrame, devices: DataFrame) -> DataFrame:
     """Metrics of each disassembled kernel's longest span, on the device of its category."""
     order = lines.groupBy("kernel").agg(F.min("pos").alias("pos"))
-    bound_to = kernel_binding(spans, order)
-    best = F.max_by(F.struct("category", "duration_ns", "tags"), F.struct("duration_ns", -F.col("seq"))).alias("s")
-    rows = spans.join(bound_to, "name").groupBy("kernel").agg(best).select("kernel", "s.*").where("duration_ns > 0")
+    # the longest span of each name first: names are bound to kernels, not spans
+    key = F.struct("duration_ns", (-F.col("seq")).alias("first"))
+    named = spans.groupBy("name").agg(F.max_by(F.struct("category", "duration_ns", "tags"), key).alias("s"), F.max(key).alias("k"))
+    bound_to = kernel_binding(named.select("name"), order)
+    rows = named.join(bound_to, "name").groupBy("kernel").agg(F.max_by("s", "k").alias("s")).select("kernel", "s.*").where("duration_ns > 0")
     rows = device_of(rows.join(static_kernels(lines), "kernel"), devices).withColumn("threads", N.threads(F.col("tags")))
     d = devices.select("device_idx", F.col("fp32_tflops").alias("d32"), F.col("bandwidth_gbs").alias("dbw"))
     rows = rows.join(F.broadcast(d), "device_idx").withColumns({"flops": F.col("flops_per_thread") * F.col("threads"), "bytes": F.col("bytes_per_thread") * F.col("threads"), "secs": F.col("duration_ns") / 1e9})

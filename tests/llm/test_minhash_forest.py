@@ -190,3 +190,14 @@ def test_long_texts(spark):
         far[at] = "f"
     rows = [(3, " ".join(w)), (1, " ".join(near)), (2, " ".join(far))]
     assert {r.doc_id: r.component_id for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_pairs_between_texts_without_links_are_given_once(spark):
+    """Only what has a hub of its own is compared three times."""
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(10, 20)] + [(1, 30)], "a long, b long")
+    links = spark.createDataFrame([(0, 1), (0, 2), (30, 31), (31, 32)], "a long, b long")
+    label = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (30, 30), (31, 30), (32, 30)], "id long, component_id long")
+    out = M.between(pairs, links, label)
+    assert sorted(tuple(r) for r in out.collect()) == sorted([(i, i + 1) for i in range(10, 20)] + [(1, 30), (1, 31), (0, 30)])
+    node = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(array_distinct(" in node

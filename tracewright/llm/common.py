@@ -96,6 +96,9 @@ def slices(offs: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
 
 # --------------------------------------------------------------------------- connected components
 
+#: So many edges one task labels in an instant; the number doesn't grow with the input.
+FEW = 1 << 14
+
 
 def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace the edges of one partition by a star forest with the same components."""
@@ -131,6 +134,14 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield flush()
 
 
+def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every vertex of few edges with the smallest id it is connected to."""
+    for forest in _local_forest(batches):
+        root, leaf = forest.columns
+        top = root.unique()
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([leaf, top]), pa.concat_arrays([root, top])], ["id", "component_id"])
+
+
 def components(edges: DataFrame, name: str = "cc", most_rounds: int = 60) -> DataFrame:
     """Label vertices of ``edges`` (columns a, b: long) with the smallest id of their component.
 
@@ -138,15 +149,23 @@ def components(edges: DataFrame, name: str = "cc", most_rounds: int = 60) -> Dat
     vertex moves to its neighbour of least priority (a hash that changes from
     round to round, so that paths shrink geometrically); edges are relabelled,
     loops and repeats go.  A round is grouped aggregation and equi-joins: no vertex list is
-    gathered in one task, and no edge reaches the driver.  Returns (id, component_id).
+    gathered in one task, and no edge reaches the driver.  Once at most ``FEW`` edges are left,
+    however many there were, one task makes their forest.  Returns (id, component_id).
     """
     spark = edges.sparkSession
     live = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")
     live = materialize(live.mapInArrow(_local_forest, "a long, b long").distinct(), f"{name}-edges")
+    whole = lambda: materialize(live.coalesce(1).mapInArrow(_least, "id long, component_id long"), f"{name}-whole")
+    if live.count() <= FEW:
+        label = whole()
+        release(live)
+        return label
     vertices = live.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     label = materialize(vertices.select("id", F.col("id").alias("root")), f"{name}-label")
     for k in range(most_rounds):
-        if live.limit(1).count() == 0:
+        if live.count() <= FEW:
+            rest = whole().select(F.col("id").alias("root"), F.col("component_id").alias("to"))
+            label = label.join(rest, "root", "left").select("id", F.coalesce("to", "root").alias("root"))
             break
         both = live.select("a", "b").union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.xxhash64(F.col(c), F.lit(k))

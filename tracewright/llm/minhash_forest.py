@@ -286,8 +286,9 @@ def between(pairs: DataFrame, links: DataFrame, label: DataFrame) -> DataFrame:
     la = own.select(F.col("id").alias("a"), F.col("component_id").alias("ca"), F.col("hub").alias("ha"))
     lb = own.select(F.col("id").alias("b"), F.col("component_id").alias("cb"), F.col("hub").alias("hb"))
     rest = pairs.join(la, "a", "left").join(lb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", F.coalesce("ha", "a").alias("ha"), F.coalesce("hb", "b").alias("hb"))
-    rest = rest.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("a"), F.col("hb").alias("b")), F.struct(F.col("ha").alias("a"), F.col("b")))).alias("p"))
-    return rest.select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).distinct()
+    pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    # a text that has no links, or is a hub, is its own: its pairs are given once, not three times
+    return rest.select(F.explode(F.array_distinct(F.array(pair("a", "b"), pair("a", "hb"), pair("ha", "b")))).alias("p")).select("p.a", "p.b").distinct()
 
 
 def audit(texts: DataFrame, sketch: DataFrame, reps: DataFrame, words: int, per_cent: int) -> DataFrame:
@@ -323,9 +324,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     sketch = texts.mapInArrow(lambda it: _sketches(it, words), "doc_id long, n_shingles long, fp_a long, fp_b long, sig binary")
     sketch = materialize(sketch, "mh-sketch")
     full = sketch.where("n_shingles > 0")
-    classes = materialize(full.groupBy("fp_a", "fp_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "mh-classes")
-    reps = full.select("doc_id", "sig").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    rows = reps.mapInArrow(_tree_rows, "tree int, key binary, doc_id long, bits binary")
+    # the signature comes along: equal sets have equal ones
+    signed = materialize(full.groupBy("fp_a", "fp_b", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("m")).select("fp_a", "fp_b", "n_shingles", F.col("m.doc_id").alias("rep"), F.col("m.sig").alias("sig")), "mh-classes")
+    classes = signed.drop("sig")
+    rows = signed.select(F.col("rep").alias("doc_id"), "sig").mapInArrow(_tree_rows, "tree int, key binary, doc_id long, bits binary")
     n = max(partitions(spark), 2 * TREES)
     # equal keys in another order in each tree, so that what sorts next to them meets other ones of them each time
     order = ("tree", "key", F.xxhash64("doc_id", "tree"))

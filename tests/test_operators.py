@@ -217,3 +217,14 @@ def test_containment_over_many_ranges(spark):
             at = want[at]
         if at is None:  # no circle
             assert [x.split("\x1f")[0] for x in r.path] == path
+
+
+def test_numbers_as_c_prints_them(spark):
+    """Binary values are rounded, ties to even; Java would round their decimal text half up."""
+    from pyspark.sql import functions as F
+
+    from tracewright.functions import formats as X
+
+    ns = [0.5, 2.5, -2.5, 1250.0, 1350.0, 1005000.0, 1e6, 1015000.0, 9.9995e8, 1000500000.0, 1.5e9, 2.0**70, 1e30, 36000062500.0]
+    want = ["%.3fs" % (x / 1e9) if x >= 1e9 else "%.2fms" % (x / 1e6) if x >= 1e6 else "%.1fµs" % (x / 1e3) if x >= 1e3 else "%.0fns" % x for x in ns]
+    assert [r.t for r in spark.createDataFrame([(i, x) for i, x in enumerate(ns)], "i int, x double").orderBy("i").select(X.fmt_ns(F.col("x")).alias("t")).collect()] == want

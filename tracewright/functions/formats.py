@@ -2,26 +2,64 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _scaled(x: Column, steps: list[tuple[float, str]], last: str) -> Column:
-    """The first step that ``x`` reaches decides its unit; ``last`` formats what is smaller."""
-    out = F.format_string(last, x)
-    for least, text in reversed(steps):
-        out = F.when(x >= least, F.format_string(text, x / F.lit(least))).otherwise(out)
-    return F.when(x.isNotNull(), out)
+def printf(x: Column, digits: int, unit: str) -> Column:
+    """A double with so many digits after the point, as C's printf has it: its exact binary value is rounded, ties go to the even digit.
+
+    (Java rounds the shortest decimal text half up.)  With digits after the point ``x`` is 1 or more; whole
+    numbers of 2^106 and more have Java's zeros after their first 17 digits.
+    """
+    size = F.abs(x)
+    big = size >= F.lit(2.0**53)  # such a number is whole
+    high = F.floor(F.least(size, F.lit(2.0**105)) / F.lit(2.0**53))
+    low = (size - high.cast("double") * F.lit(2.0**53)).cast("long")
+    whole = (high.cast("decimal(19,0)") * F.lit(2**53).cast("decimal(16,0)") + F.when(big & (size < F.lit(2.0**106)), low).otherwise(F.lit(0)).cast("decimal(19,0)")).cast("string")
+    tail = F.lit("." + "0" * digits if digits else "")
+    whole = F.when(size < F.lit(2.0**106), F.concat(F.when(x < 0, "-").otherwise(""), whole, tail)).otherwise(F.format_string(f"%.{digits}f", x))
+    if digits:
+        small = F.when(big, F.lit(1.0)).otherwise(size)
+        i = F.floor(small)
+        p = ((small - i.cast("double")) * F.lit(2.0**52)).cast("long") * F.lit(10**digits)  # exact: below 2^62
+        q, r, half = F.shiftright(p, 52), p.bitwiseAND(F.lit(2**52 - 1)), F.lit(2**51)
+        over = q + F.when((r > half) | ((r == half) & (q % 2 == 1)), F.lit(1)).otherwise(F.lit(0))
+        carry = F.when(over >= 10**digits, F.lit(1)).otherwise(F.lit(0))
+        text = F.concat((i + carry).cast("string"), F.lit("."), F.lpad((over - carry * F.lit(10**digits)).cast("string"), digits, "0"))
+    else:
+        text = F.format_string("%.0f", F.rint(x))
+    out = F.when(F.isnan(x), "nan").when(size == F.lit(float("inf")), F.when(x < 0, "-inf").otherwise("inf")).when(big, whole).otherwise(text)
+    return F.concat(out, F.lit(unit))
+
+
+def _once(x: Column, text: Callable[[Column], Column]) -> Column:
+    """``text`` of ``x``, which is computed once: written out each time, it would make more code than the JVM compiles."""
+    return F.transform(F.array(x), text)[0]
+
+
+def _scaled(x: Column, steps: list[tuple[float, int, str]], last: str) -> Column:
+    """The first step that ``x`` reaches decides its unit; what is smaller is whole, with the ``last`` unit."""
+
+    def text(v: Column) -> Column:
+        out = printf(v, 0, last)
+        for least, digits, unit in reversed(steps):
+            out = F.when(v >= least, printf(v / F.lit(least), digits, unit)).otherwise(out)
+        return F.when(v.isNotNull(), out)
+
+    return _once(x, text)
 
 
 def fmt_ns(x: Column) -> Column:
     """Nanoseconds as s, ms, µs or ns."""
-    return _scaled(x.cast("double"), [(1e9, "%.3fs"), (1e6, "%.2fms"), (1e3, "%.1fµs")], "%.0fns")
+    return _scaled(x.cast("double"), [(1e9, 3, "s"), (1e6, 2, "ms"), (1e3, 1, "µs")], "ns")
 
 
 def fmt_bytes(x: Column) -> Column:
     """Bytes as GB, MB, KB or B (binary steps)."""
-    return _scaled(x.cast("double"), [(1024.0**3, "%.2f GB"), (1024.0**2, "%.1f MB"), (1024.0, "%.0f KB")], "%.0f B")
+    return _scaled(x.cast("double"), [(1024.0**3, 2, " GB"), (1024.0**2, 1, " MB"), (1024.0, 0, " KB")], " B")
 
 
 def fmt_tflops(x: Column) -> Column:

@@ -228,3 +228,7 @@ def test_numbers_as_c_prints_them(spark):
     ns = [0.5, 2.5, -2.5, 1250.0, 1350.0, 1005000.0, 1e6, 1015000.0, 9.9995e8, 1000500000.0, 1.5e9, 2.0**70, 1e30, 36000062500.0]
     want = ["%.3fs" % (x / 1e9) if x >= 1e9 else "%.2fms" % (x / 1e6) if x >= 1e6 else "%.1fµs" % (x / 1e3) if x >= 1e3 else "%.0fns" % x for x in ns]
     assert [r.t for r in spark.createDataFrame([(i, x) for i, x in enumerate(ns)], "i int, x double").orderBy("i").select(X.fmt_ns(F.col("x")).alias("t")).collect()] == want
+    tf = [1250.0, 1.25, 2.25, 0.0625, 0.0025, 1.15e-5, 1.25e-5, 1.45e-7, 8.35e-9, 0.0]
+    want = ["%.1f PF" % (x / 1000) if x >= 1000 else "%.1f TF" % x if x >= 1 else "%.0f GF" % (x * 1000) if x >= 0.001 else "%.1e TF" % x for x in tf]
+    assert [r.t for r in spark.createDataFrame([(i, x) for i, x in enumerate(tf)], "i int, x double").orderBy("i").select(X.fmt_tflops(F.col("x")).alias("t")).collect()] == want
+

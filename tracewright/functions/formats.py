@@ -62,14 +62,33 @@ def fmt_bytes(x: Column) -> Column:
     return _scaled(x.cast("double"), [(1024.0**3, 2, " GB"), (1024.0**2, 1, " MB"), (1024.0, 0, " KB")], " B")
 
 
+def _two_digits(x: Column) -> Column:
+    """A number below 0.001 as C's %.1e: Java rounds its shortest decimal text, which may end in a 5 that the binary value doesn't reach.
+
+    Whether it does is told by the exact product with a power of ten, as a sum of two doubles (Dekker); below 1e-20 it is Java's digits.
+    """
+    size = F.abs(x)
+    text = size.cast("string")
+    tie = (size < 1e-3) & (size > 1e-20) & text.rlike(r"^[1-9][.][0-9]5E-")
+    n = F.regexp_replace(F.substring(text, 1, 4), "[.]", "").cast("double")
+    scale = F.pow(F.lit(10.0), F.when(tie, 2.0 + F.substring(text, 7, 9).cast("double")).otherwise(0.0))  # 10^22 at most: exact
+    split = lambda v: v * F.lit(134217729.0) - (v * F.lit(134217729.0) - v)
+    xh, sh, product = split(size), split(scale), size * scale
+    xl, sl = size - xh, scale - sh
+    error = ((xh * sh - product) + xh * sl + xl * sh) + xl * sl
+    short = (product - n) + error < 0
+    number = F.format_string("%.1e", F.when(tie & short, x * F.lit(1 - 1e-12)).otherwise(x))
+    return F.when(F.isnan(x), "nan").when(size == F.lit(float("inf")), F.when(x < 0, "-inf").otherwise("inf")).otherwise(number)
+
+
 def fmt_tflops(x: Column) -> Column:
     """TFLOP/s as PF, TF or GF; below a GFLOP/s with two significant digits."""
-    x = x.cast("double")
-    return (
-        F.when(x >= 1000, F.format_string("%.1f PF", x / 1000))
-        .when(x >= 1, F.format_string("%.1f TF", x))
-        .when(x >= 0.001, F.format_string("%.0f GF", x * 1000))
-        .otherwise(F.format_string("%.1e TF", x))
+    return _once(
+        x.cast("double"),
+        lambda v: F.when(v >= 1000, printf(v / 1000, 1, " PF"))
+        .when(v >= 1, printf(v, 1, " TF"))
+        .when(v >= 0.001, printf(v * 1000, 0, " GF"))
+        .otherwise(F.concat(_two_digits(v), F.lit(" TF"))),
     )
 
 

@@ -232,3 +232,11 @@ def test_numbers_as_c_prints_them(spark):
     want = ["%.1f PF" % (x / 1000) if x >= 1000 else "%.1f TF" % x if x >= 1 else "%.0f GF" % (x * 1000) if x >= 0.001 else "%.1e TF" % x for x in tf]
     assert [r.t for r in spark.createDataFrame([(i, x) for i, x in enumerate(tf)], "i int, x double").orderBy("i").select(X.fmt_tflops(F.col("x")).alias("t")).collect()] == want
 
+
+def test_summary_columns_keep_their_width(spark):
+    from tracewright.plans.catalog_formats import summary
+
+    rows = [(1, "kernel_name", "a long category", 0, 60_000_000 * 10**9, 60_000_000 * 10**9, 0, 0, {}, [])]
+    spans = spark.createDataFrame(rows, "seq long, name string, category string, start_ns long, duration_ns long, end_ns long, pid long, tid long, tags map<string,string>, stack_frames array<string>")
+    line = lambda **k: summary.summary(spans, **k).split("\n")[1]
+    assert line() == "  a long category          1 60000000.000s" and line(exact=True) == "  a long categ          1 60000000.000"

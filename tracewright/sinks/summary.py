@@ -14,14 +14,18 @@ from ..operators import hotspots as H
 from ..operators import roofline as R
 
 
-def summary(spans: DataFrame, counters: DataFrame | None = None, top: int = 20) -> str:
-    """Counters, categories, hotspots and GPU stalls as text."""
+def summary(spans: DataFrame, counters: DataFrame | None = None, top: int = 20, exact: bool = False) -> str:
+    """Counters, categories, hotspots and GPU stalls as text.
+
+    Columns widen for what is longer than they are; with ``exact`` those of the categories keep their width, as SQL's lpad and rpad do.
+    """
+    cell = lambda x, width, side: f"{x:{side}{width}}"[: width if exact else None]
     out = []
     if counters is not None:
         out.append("Counters")
         out += [f"  {r.name:<40} {r.value:>16,.2f}" for r in A.last_values(counters).orderBy("name").collect()]
     out.append("Categories")
-    out += [f"  {r.category:<12} {r['count']:>10,} {r.t:>12}" for r in H.by_category(spans).orderBy(F.desc("total_ns")).select("category", "count", fmt_ns(F.col("total_ns")).alias("t")).collect()]
+    out += [f"  {cell(r.category, 12, '<')} {cell(format(r['count'], ','), 10, '>')} {cell(r.t, 12, '>')}" for r in H.by_category(spans).orderBy(F.desc("total_ns")).select("category", "count", fmt_ns(F.col("total_ns")).alias("t")).collect()]
     out.append(f"Hotspots (top {top})")
     rows = H.sorted_hotspots(spans, n=top).select("name", "category", "count", fmt_ns(F.col("total_ns")).alias("t"), fmt_ns(F.col("avg_ns")).alias("a"), "pct")
     out += [f"  {r.name[:42]:<42} {r.category:<8} {r['count']:>8,} {r.t:>10} {r.a:>10} {r.pct:>5.1f}%" for r in rows.collect()]
